@@ -14,11 +14,11 @@ def explode_count(df: DataFrame, n: Column, name: str) -> DataFrame:
     Two exploded levels keep every array short, however large n is; the blocks
     of one row are spread over tasks when a shuffle follows the first level.
     """
-    blocks = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), (n - 1) / STEP))
-    low = F.col("_block").cast("bigint") * STEP + 1
+    blocks = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / STEP)))
+    low = F.col("_block") * STEP + 1
     high = F.least(n, low + (STEP - 1))
     return (
-        df.withColumn("_block", F.explode(blocks.cast("array<bigint>")))
+        df.withColumn("_block", F.explode(blocks))
         .withColumn(name, F.explode(F.sequence(low, high)))
         .drop("_block")
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from docloom.plans import queries_names  # noqa: F401
+from docloom.plans import queries_members, queries_names, queries_refs, queries_sequence  # noqa: F401
 from docloom.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -74,14 +74,38 @@ FROM doc_lines GROUP BY doc_id""",
     "cache2": """SELECT user_id AS mod_id, CASE WHEN user_id % 4 = 0 THEN 0 ELSE 1 END AS version,
   concat('u', user_id, '.py') AS path, max(ts) AS mtime, max(event_id) AS size
 FROM events GROUP BY user_id HAVING min(event_type) <> max(event_type) AND sum(value) > avg(value) * 60""",
-    "url_files": """SELECT page_id, regexp_replace(url, '^[a-z]+://([^/?#]*)/?([^?#]*).*$', '\\1/\\2') AS raw
-FROM pages""",
+    "members": """SELECT modname AS parent_mod, parent_qual, name AS member_name, type_qual, false AS is_ref
+FROM sym WHERE qualname IS NOT NULL
+UNION ALL SELECT modname, NULL, CASE WHEN CAST(substr(member_name, 4) AS BIGINT) % 7 = 0
+  THEN concat('_', member_name) ELSE member_name END, NULL, true FROM imports""",
+    "objects": """SELECT modname, qualname, 'self' AS role, name, type_qual AS type_name,
+  type_qual IN ('function', 'type') AS callable, num FROM (
+  SELECT *, TRY_CAST(regexp_extract(name, '[sc]([0-9]+)', 1) AS BIGINT) AS num FROM sym)
+UNION ALL SELECT modname, qualname, 'func', name,
+  CASE WHEN num % 10 = 1 THEN 'type' ELSE 'function' END, true, num FROM (
+  SELECT *, TRY_CAST(regexp_extract(name, '[sc]([0-9]+)', 1) AS BIGINT) AS num FROM sym
+  WHERE type_qual IN ('staticmethod', 'classmethod'))
+UNION ALL SELECT modname, qualname, role, name, 'function', true, num FROM (
+  SELECT *, TRY_CAST(regexp_extract(name, '[sc]([0-9]+)', 1) AS BIGINT) AS num FROM sym
+  WHERE type_qual = 'property') CROSS JOIN (VALUES ('get', 1), ('set', 2), ('del', 3)) r(role, every)
+  WHERE num % every = 0""",
+    "tags": """SELECT obj, pos, CASE WHEN pos % 2 = 1 THEN 'param' ELSE 'type' END AS tag, name AS arg,
+  concat('about ', name) AS text FROM params
+UNION ALL SELECT obj, pos + 1000000, 'param', name, concat('again ', name) FROM params WHERE kind = 'KEYWORD_ONLY'
+UNION ALL SELECT obj, pos + 2000000, 'param', 'zz', concat('lost ', name) FROM params WHERE kind = 'VAR_KEYWORD'
+UNION ALL SELECT obj, pos + 3000000, 'return', CAST(NULL AS VARCHAR), concat('gives ', name) FROM params
+UNION ALL SELECT obj, pos + 4000000, 'rtype', NULL, concat('kind ', name) FROM params WHERE kind = 'VAR_POSITIONAL'
+UNION ALL SELECT obj, pos + 5000000, 'raise', concat('Error', pos), concat('when ', name) FROM params
+  WHERE kind = 'KEYWORD_ONLY'""",
 }
 
 VIEW_NEEDS = {
     "classes": ["mods"],
     "sym": ["mods", "classes"],
     "imports": ["mods", "classes"],
+    "members": ["mods", "classes", "sym", "imports"],
+    "objects": ["mods", "classes", "sym"],
+    "tags": ["params"],
     "docstr": ["doc_lines"],
     "docstr_lines": ["doc_lines", "docstr"],
 }
@@ -211,6 +235,69 @@ class Tables:
             .when(pos <= 2, "POSITIONAL_OR_KEYWORD").otherwise("KEYWORD_ONLY").alias("kind"),
         )
 
+    # members, roles, tags
+
+    def members(self) -> DataFrame:
+        """parent_mod, parent_qual, member_name, type_qual, is_ref; aliases are refs."""
+        own = self.sym().filter("qualname IS NOT NULL").select(
+            F.col("modname").alias("parent_mod"), "parent_qual",
+            F.col("name").alias("member_name"), "type_qual", F.lit(False).alias("is_ref"))
+        hidden = F.substr("member_name", F.lit(4)).cast("bigint") % 7 == 0
+        none = F.lit(None).cast("string")
+        refs = self.imports().select(
+            F.col("modname").alias("parent_mod"), none.alias("parent_qual"),
+            F.when(hidden, F.concat(F.lit("_"), "member_name")).otherwise(F.col("member_name"))
+            .alias("member_name"),
+            none.alias("type_qual"), F.lit(True).alias("is_ref"))
+        return own.unionByName(refs)
+
+    def objects(self) -> DataFrame:
+        """One row per object, and per function wrapped or used as an accessor (column `role`)."""
+        num = F.nullif(F.regexp_extract("name", "[sc]([0-9]+)", 1), F.lit("")).cast("bigint")
+        kind = F.col("type_qual")
+        wraps = kind.isin("staticmethod", "classmethod")
+        roles = F.filter(F.array(
+            F.lit("self"), F.when(wraps, "func"),
+            F.when(kind == "property", "get"),
+            F.when((kind == "property") & (num % 2 == 0), "set"),
+            F.when((kind == "property") & (num % 3 == 0), "del"),
+        ), lambda r: r.isNotNull())
+        role = F.col("role")
+        return (
+            self.sym().withColumn("num", num).withColumn("role", F.explode(roles)).select(
+                "modname", "qualname", "role", "name",
+                F.when(role == "self", kind)
+                .when((role == "func") & (F.col("num") % 10 == 1), "type")
+                .otherwise("function").alias("type_name"),
+                ((role != "self") | kind.isin("function", "type")).alias("callable"),
+                "num",
+            )
+        )
+
+    def tags(self) -> DataFrame:
+        """obj, pos, tag, arg, text: documentation tags about the parameters."""
+        params, kind, name = self.params(), F.col("kind"), F.col("name")
+
+        def tag(on, offset, word, arg, lead):
+            return F.when(on, F.struct(
+                (F.col("pos") + offset).alias("pos"), word.alias("tag"),
+                arg.cast("string").alias("arg"), F.concat(F.lit(lead), name).alias("text")))
+
+        first = F.when(F.col("pos") % 2 == 1, "param").otherwise("type")
+        keyword = kind == "KEYWORD_ONLY"
+        every = F.array(
+            tag(F.lit(True), 0, first, name, "about "),
+            tag(keyword, 1000000, F.lit("param"), name, "again "),
+            tag(kind == "VAR_KEYWORD", 2000000, F.lit("param"), F.lit("zz"), "lost "),
+            tag(F.lit(True), 3000000, F.lit("return"), F.lit(None), "gives "),
+            tag(kind == "VAR_POSITIONAL", 4000000, F.lit("rtype"), F.lit(None), "kind "),
+            tag(keyword, 5000000, F.lit("raise"),
+                F.concat(F.lit("Error"), F.col("pos")), "when "),
+        )
+        return params.select(
+            "obj", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")
+        ).select("obj", "x.*")
+
     # docstrings
 
     def docs(self) -> DataFrame:

@@ -54,7 +54,7 @@ SAME_TYPE = {
 def check(spark, con, folder, name, fn, sql):
     """Problem text, or None when the rows agree."""
     df = fn(spark, folder)
-    got = df.toPandas()
+    got = pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
     if sql is None:
         return None if len(got.columns) else "no columns"
     rel = con.sql(sql)
@@ -92,6 +92,7 @@ def main():
             problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += problem is not None
         kind = "sql" if name in sqls else "rows"
+        problem = problem and problem[:700]
         print(f"{'FAIL' if problem else 'ok':4} {kind:4} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print("failed:", bad)
     return bad

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from docloom.plans import queries_members, queries_names, queries_refs, queries_sequence  # noqa: F401
+from docloom.plans import (  # noqa: F401
+    queries_html,
+    queries_members,
+    queries_names,
+    queries_refs,
+    queries_sequence,
+    queries_text,
+)
 from docloom.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

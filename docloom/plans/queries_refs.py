@@ -67,6 +67,36 @@ def resolve_aliases(t):
         "path", F.array_join("path", " > "))
 
 
+# Aliases as before, except that those of every eighth part lead back to themselves.
+LOOPED = with_views("imports", recursive=True) + """, looped AS (SELECT i.modname, i.member_name,
+    CASE WHEN loops THEN m.modname ELSE target_mod END AS target_mod,
+    CASE WHEN loops THEN concat('imp', p * 4 + 1) ELSE target_qual END AS target_qual FROM (
+  SELECT *, CAST(substr(member_name, 4) AS BIGINT) AS p, CAST(substr(member_name, 4) AS BIGINT) % 8 = 0 AS loops FROM imports) i
+  JOIN mods m ON m.mod_id = (p * 4 + 1) % 5),
+r(modname, member_name, target_mod, target_qual, path) AS (
+  SELECT modname, member_name, target_mod, target_qual, [member_name] FROM looped
+  UNION ALL SELECT r.modname, r.member_name, i.target_mod, i.target_qual, list_append(r.path, i.member_name) FROM r
+  JOIN looped i ON i.modname = r.target_mod AND i.member_name = r.target_qual WHERE NOT list_contains(r.path, i.member_name)),
+fin AS (SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM looped i
+  WHERE i.modname = r.target_mod AND i.member_name = r.target_qual))"""
+
+
+@query("d11_alias_cycles", LOOPED + """ SELECT l.modname, l.member_name, fin.target_qual AS final_qual,
+CAST(len(fin.path) AS BIGINT) AS hops, fin.modname IS NULL AS is_cycle
+FROM looped l LEFT JOIN fin ON fin.modname = l.modname AND fin.member_name = l.member_name""")
+def alias_cycles(t):
+    p = F.substr("member_name", F.lit(4)).cast("bigint")
+    loops = p % 8 == 0
+    back = t.mods().select("mod_id", col("modname").alias("back_mod"))
+    looped = t.imports().join(back, col("mod_id") == (p * 4 + 1) % 5).select(
+        "modname", "member_name",
+        F.when(loops, col("back_mod")).otherwise(col("target_mod")).alias("target_mod"),
+        F.when(loops, F.concat(F.lit("imp"), p * 4 + 1)).otherwise(col("target_qual"))
+        .alias("target_qual"))
+    return R.resolve_aliases(looped).select(
+        "modname", "member_name", "final_qual", "hops", "is_cycle")
+
+
 REQUESTS = """, req AS (SELECT modname, CASE type_qual WHEN 'property' THEN qualname || '.x.y'
   WHEN 'classmethod' THEN 'no' || qualname WHEN 'function' THEN parent_qual || '.gone' ELSE qualname END AS q
 FROM sym WHERE qualname IS NOT NULL)"""
@@ -265,7 +295,7 @@ def _heirs(t):
     return t.read("part").select(
         F.concat(F.lit("m"), k % 7).alias("modname"), F.concat(F.lit("P"), k).alias("qualname"),
         bases.alias("bases"),
-        F.concat(F.array(ref(k)), bases, F.array(F.lit("#/modules/builtins/dict/object"))).alias("mro"))
+        F.concat(F.array(N.make_ref(F.concat(F.lit("m"), k % 7), F.concat(F.lit("P"), k))), bases, F.array(F.lit("#/modules/builtins/dict/object"))).alias("mro"))
 
 
 BASES_SQL = f"""WITH RECURSIVE {HEIRS}, raw AS (SELECT modname, qualname, 0 AS pos, k // 2 AS b FROM heirs WHERE k >= 2

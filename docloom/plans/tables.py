@@ -118,7 +118,7 @@ def with_views(*names: str, body: str = "", recursive: bool = False) -> str:
         for view in [*VIEW_NEEDS.get(name, []), name]:
             if view not in wanted:
                 wanted.append(view)
-    ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v]})" for v in wanted)
+    ctes = ",\n".join(f"{v} AS MATERIALIZED ({VIEW_SQL[v]})" for v in wanted)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{body}"
 
 

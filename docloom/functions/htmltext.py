@@ -155,10 +155,9 @@ def _mark_tags(html: Column) -> Column:
         turn = SHALLOWER if name in ("ol", "ul") else ""
         marks[f"/{name}"] = BREAK + spare + turn
 
-    # Plain replacement for the usual spellings, patterns for what is left.
+    # Plain replacement for the usual spelling, patterns for what is left.
     for name, mark in marks.items():
-        for spelled in (name, name.upper()):
-            text = F.replace(text, F.lit(TAG_OPEN + spelled + TAG_CLOSE), F.lit(mark))
+        text = F.replace(text, F.lit(TAG_OPEN + name + TAG_CLOSE), F.lit(mark))
 
     def odd_case(t):
         for name, mark in marks.items():
@@ -199,7 +198,8 @@ def _lay_out(text: Column) -> Column:
     text = F.regexp_replace(text, r"^ +|\x06(?=\x01)", "")
     text = F.regexp_replace(text, r"\x02(?=[\x01\x03-\x05]*\x02)", "")
     text = F.regexp_replace(text, rf"(?<={MARKS})\x01|^\x01", "")
-    text = F.translate(text, BREAK + SPARE_OPEN + SPARE_CLOSE, "\n\n\n")
+    for mark in (BREAK, SPARE_OPEN, SPARE_CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit("\n"))
     return F.replace(text, F.lit(PRE_NEWLINE), F.lit("\n" + GUARDED_PRE_MARK))
 
 
@@ -236,11 +236,11 @@ def _indent_lists(text: Column) -> Column:
 
 def to_text(html: Column) -> Column:
     """Plain text of an HTML page or fragment."""
-    clean = F.translate(html, "".join(map(chr, [*range(1, 9), 14, 15])), "")
+    clean = F.regexp_replace(html, r"[\x01-\x08\x0e\x0f]", "")
     marked = _mark_tags(_guard_pre(strip_hidden(clean)))
     text = F.regexp_replace(decode_entities(marked), rf"[{SPACE}&&[^\x1c-\x1f]]+", " ")
     text = _indent_lists(_lay_out(text))
-    text = F.translate(text, PRE_SPACE + PRE_TAB, " \t")
+    text = F.replace(F.replace(text, F.lit(PRE_SPACE), F.lit(" ")), F.lit(PRE_TAB), F.lit("\t"))
     return F.regexp_replace(text, r"[\n ]+\z", "")
 
 

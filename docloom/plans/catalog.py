@@ -6,6 +6,7 @@ from docloom.plans import (  # noqa: F401
     queries_names,
     queries_refs,
     queries_sequence,
+    queries_sources,
     queries_text,
 )
 from docloom.plans.registry import CHECK_SQL, QUERIES

@@ -2,6 +2,7 @@
 
 from docloom.plans import (  # noqa: F401
     queries_html,
+    queries_listings,
     queries_members,
     queries_names,
     queries_refs,

@@ -8,6 +8,8 @@ DataFrame here and as SQL text in `VIEW_SQL`, used only by the check queries.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,11 +131,13 @@ class Tables:
         self.spark = spark
         self.folder = folder
 
+    @cache  # reading a schema opens the file, so once per table is enough
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # modules, classes, symbols
 
+    @cache
     def mods(self) -> DataFrame:
         return self.read("region").select(
             F.col("r_regionkey").cast("bigint").alias("mod_id"),
@@ -142,6 +146,7 @@ class Tables:
             ).alias("modname"),
         )
 
+    @cache
     def classes(self) -> DataFrame:
         return (
             self.read("nation")
@@ -153,6 +158,7 @@ class Tables:
             )
         )
 
+    @cache
     def sym(self) -> DataFrame:
         """modname, qualname, parent_qual, name, type_qual of every object."""
         none = F.lit(None).cast("string")
@@ -170,28 +176,34 @@ class Tables:
         key = F.col("s_suppkey")
         text = key.cast("string")
         six, five = key % 6, key % 5
-        functions = self.read("supplier").join(owner, F.col("s_nationkey") == F.col("cls_id")).select(
-            "modname", "parent_qual",
+        functions = self.read("supplier").select(
+            F.col("s_nationkey").alias("nation"),
             F.when(six == 0, F.concat(F.lit("_s"), text))
             .when(six == 1, F.concat(F.lit("__s"), text, F.lit("__")))
-            .when(six == 2, F.concat(F.lit("_"), F.col("parent_qual"), F.lit("__s"), text))
-            .otherwise(F.concat(F.lit("s"), text)).alias("name"),
+            .when(six == 2, F.concat(F.lit("__s"), text))
+            .otherwise(F.concat(F.lit("s"), text)).alias("written"),
+            (six == 2).alias("mangled"),
             F.when(five == 0, "function").when(five == 1, "staticmethod")
             .when(five == 2, "classmethod").when(five == 3, "property")
             .otherwise("getset_descriptor").alias("type_qual"),
         )
         key = F.col("c_custkey")
-        attributes = self.read("customer").join(owner, F.col("c_nationkey") == F.col("cls_id")).select(
-            "modname", "parent_qual",
-            F.concat(F.when(key % 9 == 0, F.lit("_c")).otherwise(F.lit("c")), key).alias("name"),
-            F.lit("int").alias("type_qual"),
+        attributes = self.read("customer").select(
+            F.col("c_nationkey").alias("nation"),
+            F.concat(F.when(key % 9 == 0, F.lit("_c")).otherwise(F.lit("c")), key).alias("written"),
+            F.lit(False).alias("mangled"), F.lit("int").alias("type_qual"),
         )
-        members = functions.unionByName(attributes).select(
+        members = functions.unionByName(attributes).join(
+            owner, F.col("nation") == F.col("cls_id")
+        ).withColumn("name", F.when(
+            F.col("mangled"), F.concat(F.lit("_"), "parent_qual", "written")
+        ).otherwise(F.col("written"))).select(
             "modname", F.concat_ws(".", "parent_qual", "name").alias("qualname"),
             "parent_qual", "name", "type_qual",
         )
         return modules.unionByName(types).unionByName(members)
 
+    @cache
     def imports(self) -> DataFrame:
         """modname, member_name, target_mod, target_qual of every alias."""
         def mod(n):
@@ -217,6 +229,7 @@ class Tables:
             .otherwise(F.concat(F.lit("imp"), quarter)).alias("target_qual"),
         )
 
+    @cache
     def params(self) -> DataFrame:
         """obj, pos, name, kind: one parameter per order line.
 
@@ -237,6 +250,7 @@ class Tables:
 
     # members, roles, tags
 
+    @cache
     def members(self) -> DataFrame:
         """parent_mod, parent_qual, member_name, type_qual, is_ref; aliases are refs."""
         own = self.sym().filter("qualname IS NOT NULL").select(
@@ -251,6 +265,7 @@ class Tables:
             none.alias("type_qual"), F.lit(True).alias("is_ref"))
         return own.unionByName(refs)
 
+    @cache
     def objects(self) -> DataFrame:
         """One row per object, and per function wrapped or used as an accessor (column `role`)."""
         num = F.nullif(F.regexp_extract("name", "[sc]([0-9]+)", 1), F.lit("")).cast("bigint")
@@ -274,6 +289,7 @@ class Tables:
             )
         )
 
+    @cache
     def tags(self) -> DataFrame:
         """obj, pos, tag, arg, text: documentation tags about the parameters."""
         params, kind, name = self.params(), F.col("kind"), F.col("name")
@@ -306,6 +322,7 @@ class Tables:
     def doc_lines(self) -> DataFrame:
         return lines_of(self.docs())
 
+    @cache
     def docstr(self) -> DataFrame:
         """doc_id, text: documents with docstring features added line by line."""
         def feature(line, i):

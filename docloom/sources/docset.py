@@ -149,7 +149,7 @@ def docset_lines(rows: DataFrame) -> DataFrame:
     placed = rows.withColumn("_parts", parts).withColumn("_depth", F.size("_parts"))
     ordered = Ordered(placed, (), ["modname", "_parts"])
     near = ordered.neighbours({"_next": ("_depth", 1)})
-    key = F.to_json(F.array(F.coalesce(F.element_at("_parts", -1), "modname")))
+    key = F.to_json(F.array(F.coalesce(F.try_element_at("_parts", F.lit(-1)), "modname")))
     name = F.substr(key, F.lit(2), F.length(key) - 2)
     inner = F.substr("fields", F.lit(2), F.length("fields") - 2)
     child = F.coalesce(col("_next") > col("_depth"), F.lit(False))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions import names as N
 from docloom.functions import objects as O
@@ -37,6 +38,9 @@ RAW = T.StructType([
     T.StructField("signature", SIGNATURE),
 ])
 
+# Object rows handed back to Spark at a time.
+ROWS_PER_BATCH = 2_000
+
 # Decorators that change what a function is, and property accessors.
 WRAPPERS = ("classmethod", "staticmethod", "property")
 ACCESSORS = ("setter", "deleter")
@@ -107,28 +111,37 @@ def _row(modname, path, qualname, name, kind, node):
     return row
 
 
+def _module_rows(modname, path, source):
+    head = dict.fromkeys(RAW.names)
+    head.update(modname=modname, path=path, name=modname)
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, TypeError, RecursionError) as exc:
+        head.update(kind="error", value=f"{type(exc).__name__}: {exc}")
+        return [head]
+    head.update(
+        kind="module", line_start=0, line_end=len(source.splitlines()),
+        doc=ast.get_docstring(tree, clean=False))
+    return [head, *(_row(modname, path, *found) for found in _definitions(tree.body, ""))]
+
+
 def _parse(batches):
+    schema = to_arrow_schema(RAW)
     for batch in batches:
-        for modname, path, source in zip(batch["modname"], batch["path"], batch["source"]):
-            head = dict.fromkeys(RAW.names)
-            head.update(modname=modname, path=path, name=modname)
-            try:
-                tree = ast.parse(source)
-            except (SyntaxError, ValueError, TypeError, RecursionError) as exc:
-                head.update(kind="error", value=f"{type(exc).__name__}: {exc}")
-                yield pd.DataFrame([head], columns=RAW.names).astype(object)
-                continue
-            head.update(
-                kind="module", line_start=0, line_end=len(source.splitlines()),
-                doc=ast.get_docstring(tree, clean=False))
-            rows = [head]
-            rows += [_row(modname, path, *found) for found in _definitions(tree.body, "")]
-            yield pd.DataFrame(rows, columns=RAW.names).astype(object)
+        rows = []
+        # One source at a time: only its own tree is in memory.
+        for source in zip(*(batch.column(name) for name in ("modname", "path", "source"))):
+            rows += _module_rows(*(value.as_py() for value in source))
+            if len(rows) >= ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """Raw rows of every source (modname, path, source), one per binding."""
-    return sources.select("modname", "path", "source").mapInPandas(_parse, RAW)
+    return sources.select("modname", "path", "source").mapInArrow(_parse, RAW)
 
 
 def split_errors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

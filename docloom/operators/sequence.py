@@ -31,16 +31,25 @@ GROUP_ROWS = 2_000_000
 CHUNK = 100_000
 # Largest sample fetched with a plain limit.
 SMALL_SAMPLE = 10_000
+# Up to this rank map tasks drop the rows behind it before the shuffle
+# (default of spark.sql.optimizer.windowGroupLimitThreshold).
+RANK_LIMIT = 1_000
+
+
+def hashed(columns: list[str], seed: int) -> Column:
+    """Random key of a row: the same row and seed always give the same key."""
+    return F.xxhash64(*columns, F.lit(seed))
 
 
 class Ordered:
     def __init__(self, df: DataFrame, by=(), order=(), group_rows: int = GROUP_ROWS,
-                 chunk: int = CHUNK):
+                 chunk: int = CHUNK, draw=hashed):
         self.df = df
         self.by = list(by)
         self.order = list(order)
         self.group_rows = group_rows
         self.chunk = chunk
+        self.draw = draw
 
     # -- how to run -------------------------------------------------------
 
@@ -150,21 +159,33 @@ class Ordered:
             "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
     def take(self, n: int) -> DataFrame:
-        """First n rows of each group; map tasks already drop the rest."""
-        if not self.by:
+        """First n rows of each group."""
+        if not self.by and n <= SMALL_SAMPLE:
             return self.df.orderBy(*self.order).limit(n)
+        if not self.by or n > RANK_LIMIT:
+            return self.numbered.filter(col("pos") < n).drop("pos")
         return self._ranked(self.by).filter(col("_rank") <= n).drop("_rank")
 
     def tail(self, n: int) -> DataFrame:
         """Last n rows of each group."""
-        if not self.by:
+        if not self.by and n <= SMALL_SAMPLE:
             return self.df.orderBy(*[col(c).desc() for c in self.order]).limit(n).orderBy(*self.order)
+        if not self.by:
+            start = self.df.count() - n
+            return self.numbered.filter(col("pos") >= start).drop("pos")
+        if n > RANK_LIMIT:
+            sizes = self.df.groupBy(*self.by).agg(F.count("*").alias("_size"))
+            return self.numbered.join(sizes, self.by).filter(
+                col("pos") >= col("_size") - n).select(*self.df.columns)
         return self._ranked(self.by, descending=True).filter(col("_rank") <= n).drop("_rank")
 
     def nth(self, n: int, column: str, default=None, name: str = "nth") -> DataFrame:
         """The item at position n (from 0) of each group, or the default."""
-        at = col("_rank") == n + 1
-        return self._ranked(self.by).filter(col("_rank") <= n + 1).groupBy(*self.by).agg(
+        if n < RANK_LIMIT:
+            rows, at = self._ranked(self.by).filter(col("_rank") <= n + 1), col("_rank") == n + 1
+        else:
+            rows, at = self.numbered, col("pos") == n
+        return rows.groupBy(*self.by).agg(
             F.when(F.bool_or(at), F.max(F.when(at, col(column))))
             .otherwise(F.lit(default)).alias(name))
 
@@ -217,11 +238,11 @@ class Ordered:
     # draws the same rows again.
 
     def _drawn(self, seed: int) -> DataFrame:
-        return self.df.withColumn("_draw", F.xxhash64(*self.by, *self.order, F.lit(seed)))
+        return self.df.withColumn("_draw", self.draw([*self.by, *self.order], seed))
 
     def choose_each(self, column: str, repeat: int = 1, seed: int = 0) -> DataFrame:
         """One random item of every pool (`by`), drawn `repeat` times."""
-        keys = [F.xxhash64(*self.by, *self.order, F.lit(seed + i)) for i in range(repeat)]
+        keys = [self.draw([*self.by, *self.order], seed + i) for i in range(repeat)]
         wide = self.df.select(
             *self.by, column, *[k.alias(f"_draw{i}") for i, k in enumerate(keys)])
         picks = wide.groupBy(*self.by).agg(
@@ -248,10 +269,9 @@ class Ordered:
     def combination_with_replacement(self, r: int, seed: int = 0) -> DataFrame:
         """r random draws, rows may repeat, in their own order."""
         numbered = self.numbered
-        spark = self.df.sparkSession
         n = self.df.count()
-        draws = spark.range(r).select(
-            F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("pos"))
+        draws = self.df.sparkSession.range(r).select(
+            F.pmod(self.draw(["id"], seed), F.lit(max(n, 1))).alias("pos"))
         # Equal draws are counted first, then repeated.
         counted = draws.groupBy("pos").agg(F.count("*").alias("_times"))
         return explode_count(numbered.join(counted, "pos"), col("_times"), "copy").drop(

@@ -93,23 +93,42 @@ def first_true(t):
         "user_id", col("found").cast("bigint").alias("found"))
 
 
-@query("f13_choose_each")
+def _digest(columns, seed):
+    """Random key that DuckDB can compute as well: 60 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws(":", *[col(c).cast("string") for c in columns], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+DIGEST = "CAST('0x' || substr(md5({0} || ':{1}'), 1, 15) AS BIGINT)"
+
+
+@query("f13_choose_each", f"""SELECT user_id, CAST(0 AS BIGINT) AS round, max_by(event_type, {DIGEST.format("user_id || ':' || event_id", 7)}) AS event_type FROM events GROUP BY user_id
+UNION ALL SELECT user_id, 1, max_by(event_type, {DIGEST.format("user_id || ':' || event_id", 8)}) FROM events GROUP BY user_id""")
 def choose_each(t):
-    return Ordered(t.read("events"), ["user_id"], ["ts"]).choose_each("event_id", repeat=2, seed=7)
+    events = t.read("events").select("user_id", "event_id", "event_type")
+    return Ordered(events, ["user_id"], ["event_id"], draw=_digest).choose_each(
+        "event_type", repeat=2, seed=7)
+
+
+def _customers(t):
+    return Ordered(t.read("customer").select("c_custkey", "c_name"), (), ["c_custkey"], draw=_digest)
 
 
-@query("f14_permutation")
+@query("f14_permutation", f"""SELECT c_custkey, c_name, row_number() OVER (ORDER BY {DIGEST.format("c_custkey", 7)}, c_custkey) - 1 AS pos FROM customer""")
 def permutation(t):
-    return Ordered(t.read("customer").select("c_custkey", "c_name"), (), ["c_custkey"]).permutation(seed=7)
+    """Every customer with its place in the random order."""
+    drawn = _customers(t).permutation(seed=7).withColumn("_draw", _digest(["c_custkey"], 7))
+    return Ordered(drawn, (), ["_draw", "c_custkey"]).numbered.drop("_draw")
 
 
-@query("f15_combination")
+@query("f15_combination", f"""SELECT c_custkey, c_name FROM customer ORDER BY {DIGEST.format("c_custkey", 7)}, c_custkey LIMIT 100""")
 def combination(t):
-    rows = t.read("customer").select("c_custkey", "c_name")
-    return Ordered(rows, (), ["c_custkey"]).combination(100, seed=7)
+    return _customers(t).combination(100, seed=7)
 
 
-@query("f16_combination_with_replacement")
+@query("f16_combination_with_replacement", f"""SELECT c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey) AS copy FROM (
+SELECT {DIGEST.format("id", 7)} % (SELECT count(*) FROM customer) AS pos FROM range(100) r(id)) d
+JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer) c ON c.pos = d.pos""")
 def combination_with_replacement(t):
-    rows = t.read("customer").select("c_custkey", "c_name")
-    return Ordered(rows, (), ["c_custkey"]).combination_with_replacement(100, seed=7)
+    return _customers(t).combination_with_replacement(100, seed=7).select(
+        "c_custkey", "c_name", "copy")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,8 +127,14 @@ def usable_roots(rows: DataFrame, install_prefix: str) -> DataFrame:
 
 def modules_in_path(spark: SparkSession, roots: list[str], install_prefix: str) -> DataFrame:
     """Modules of several roots; roots under the prefix are skipped, duplicates kept."""
-    kept = [r for r in roots if not r.startswith(install_prefix)]
-    return modules(list_files(spark, kept))
+    times = Counter(r for r in roots if not r.startswith(install_prefix))
+    found = modules(list_files(spark, list(times)))
+    # A root named twice is listed twice.
+    for root, n in times.items():
+        if n > 1:
+            copies = F.when(col("root") == root, F.lit(n)).otherwise(F.lit(1))
+            found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    return found
 
 
 def _read_sources(batches):

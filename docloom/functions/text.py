@@ -15,6 +15,12 @@ from docloom.functions.arrays import let
 # The whitespace characters a docstring may contain, as a Java class body.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 
+# The same characters one by one, for trimming the ends of a text.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Tags whose first word is an argument.
 ARG_TAGS = ("cvar", "ivar", "param", "raise", "raises", "type", "var")
 
@@ -45,11 +51,11 @@ def block_indent(line: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
 def cut(line: Column, n: Column) -> Column:
@@ -82,24 +88,39 @@ def escape_html(text: Column) -> Column:
 def inline_markup(text: Column) -> Column:
     """Backticks, underscores and asterisks to code, i and b elements, in that order."""
     inner = rf"([^{SPACE}][^\n]{{0,{SPAN_LIMIT}}}[^{SPACE}])"
-    for pattern, element in (
-        (r"``([^\n]+?)``", "<code>$1</code>"),
-        (r"`([^\n]+?)`", "<code>$1</code>"),
-        (rf"([{SPACE}])_{inner}_([{SPACE}])", "$1<i>$2</i>$3"),
-        (rf"([{SPACE}])\*\*{inner}\*\*([{SPACE}])", "$1<b>$2</b>$3"),
-        (rf"([{SPACE}])\*{inner}\*([{SPACE}])", "$1<i>$2</i>$3"),
-    ):
-        text = F.regexp_replace(text, pattern, element)
+    steps = (
+        ("`", ((r"``([^\n]+?)``", "<code>$1</code>"), (r"`([^\n]+?)`", "<code>$1</code>"))),
+        ("_", ((rf"([{SPACE}])_{inner}_([{SPACE}])", "$1<i>$2</i>$3"),)),
+        ("*", (
+            (rf"([{SPACE}])\*\*{inner}\*\*([{SPACE}])", "$1<b>$2</b>$3"),
+            (rf"([{SPACE}])\*{inner}\*([{SPACE}])", "$1<i>$2</i>$3"),
+        )),
+    )
+
+    def applied(text, char, patterns):
+        # Most texts hold no such character; the patterns run on those that do.
+        def change(t):
+            changed = t
+            for pattern, element in patterns:
+                changed = F.regexp_replace(changed, pattern, element)
+            return F.when(t.contains(char), changed).otherwise(t)
+
+        return let(text, change)
+
+    for char, patterns in steps:
+        text = applied(text, char, patterns)
     return text
 
 
 def bullet(line: Column) -> Column:
     """struct(bullet, text) of a line; bullet is NULL when there is none."""
-    pattern = r"^( *)([-*]) *([^\n]*)\z"
-    found = line.rlike(pattern)
+    inner = F.ltrim(line)
+    found = inner.startswith("-") | inner.startswith("*")
+    lead = F.repeat(F.lit(" "), indent(line))
     return F.struct(
-        F.when(found, F.regexp_extract(line, pattern, 2)).alias("bullet"),
-        F.when(found, F.regexp_replace(line, pattern, "$1$3")).otherwise(line).alias("text"),
+        F.when(found, F.substr(inner, F.lit(1), F.lit(1))).alias("bullet"),
+        F.when(found, F.concat(lead, F.ltrim(F.substr(inner, F.lit(2))))).otherwise(line)
+        .alias("text"),
     )
 
 
@@ -134,8 +155,11 @@ def normal_lines(text: Column) -> Column:
 def universal_lines(text: Column) -> Column:
     """Lines split at every Unicode line boundary; no empty line after a final break."""
     breaks = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-    body = F.regexp_replace(text, rf"({breaks})\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, breaks))
+    def unended(pieces):
+        last = F.size(pieces) - 1
+        return F.when(F.get(pieces, last) == "", F.slice(pieces, F.lit(1), last)).otherwise(pieces)
+
+    return let(F.split(text, breaks), unended)
 
 
 def common_indent(lines: Column) -> Column:
@@ -180,7 +204,7 @@ def paragraphs(lines: Column) -> Column:
         F.transform(lines, lambda l: F.when(is_blank(l), F.lit("")).otherwise(l)), "\n"
     )
     return F.filter(
-        F.split(F.regexp_replace(text, r"^\n+|\n+\z", ""), "\n\n+"), lambda p: p != ""
+        F.split(F.btrim(text, F.lit("\n")), "\n\n+"), lambda p: p != ""
     )
 
 
@@ -222,7 +246,8 @@ def lead_lines(lines: Column, is_start) -> Column:
 
 
 def is_tag_line(line: Column) -> Column:
-    return line.rlike(TAG_START)
+    lead = F.ltrim(line, F.lit(SPACE_CHARS))
+    return lead.startswith("@") & line.rlike(TAG_START)
 
 
 def split_tags(lines: Column) -> Column:
@@ -232,25 +257,30 @@ def split_tags(lines: Column) -> Column:
     latest tag; the others are documentation and do not close it.
     """
     def one_tag(run):
-        depth = indent(run["head"])
-        tag = F.regexp_extract(run["head"], rf"^[{SPACE}]*@([^{SPACE}]+)", 1)
-        rest = strip(F.regexp_replace(run["head"], rf"^[{SPACE}]*@[^{SPACE}]+", ""))
+        # The head without its white space is `@tag`, then the rest.
+        return let(strip(run["head"]), lambda h: let(
+            F.regexp_extract(h, rf"^@([^{SPACE}]+)", 1), lambda tag: let(
+                strip(cut(h, F.length(tag) + 1)), lambda rest: filled(run, tag, rest))))
+
+    def filled(run, tag, rest):
         takes_arg = tag.isin(*ARG_TAGS) & (rest != "")
-        first = F.regexp_extract(rest, rf"^([^{SPACE}]+)", 1)
-        after = F.regexp_replace(rest, rf"^[^{SPACE}]+[{SPACE}]*", "")
-        opening = F.when(takes_arg, after).otherwise(rest)
-        more = F.transform(F.filter(run["rest"], lambda l: indent(l) >= depth), strip)
-        text = F.array_join(
-            F.concat(F.filter(F.array(opening), lambda t: t != ""), more), "\n"
-        )
-        return F.struct(
-            tag.alias("tag"),
-            F.when(takes_arg, first).alias("arg"),
-            inline_markup(text).alias("text"),
-        )
+        first = F.when(takes_arg, F.regexp_extract(rest, rf"^([^{SPACE}]+)", 1))
+        return let(first, lambda arg: F.struct(
+            tag.alias("tag"), arg.alias("arg"),
+            inline_markup(let(
+                F.when(arg.isNull(), rest).otherwise(strip(cut(rest, F.length(arg)))),
+                lambda opening: joined(run, opening))).alias("text"),
+        ))
+
+    def joined(run, opening):
+        more = let(indent(run["head"]), lambda depth: F.transform(
+            F.filter(run["rest"], lambda l: indent(l) >= depth), strip))
+        return F.array_join(F.when(
+            opening != "", F.concat(F.array(opening), more)).otherwise(more), "\n")
 
     def outside(run):
-        return F.filter(run["rest"], lambda l: indent(l) < indent(run["head"]))
+        return let(indent(run["head"]), lambda depth: F.filter(
+            run["rest"], lambda l: indent(l) < depth))
 
     def split(ls):
         return let(runs(ls, is_tag_line), lambda rs: F.struct(
@@ -358,7 +388,7 @@ def doctest_labels(lines: Column) -> Column:
     """One label a line: S prompt, C continuation, O output, - text."""
     def step(acc, line):
         depth = indent(line)
-        prompt = line.rlike(r"^ *>>> ")
+        prompt = F.ltrim(line).startswith(">>> ")
         at_depth = depth >= acc["indent"]
         tail = cut(line, acc["indent"])
         more = (acc["mode"] == 1) & at_depth & tail.startswith("... ")
@@ -419,7 +449,7 @@ def body_blocks(lines: Column) -> Column:
     def step(acc, p):
         code = acc["inside"] & (p["indent"] > acc["base"])
         test = p["text"].startswith(">>>")
-        colon = p["text"].rlike(rf":[{SPACE}]*\z")
+        colon = rstrip(p["text"]).endswith(":")
         label = F.when(code, F.lit("c")).when(test, F.lit("d")).otherwise(F.lit("p"))
         return {
             "base": F.when(code, acc["base"]).otherwise(p["indent"]),

@@ -8,6 +8,7 @@ from docloom.functions import names as N
 from docloom.operators import signatures as S
 from docloom.plans.registry import query
 from docloom.plans.tables import with_views
+from docloom.session import spread
 from docloom.sources import cache as C
 from docloom.sources import docset as D
 from docloom.sources import extract as E
@@ -144,7 +145,7 @@ def _sources(t):
         F.lit("(T"), i, F.lit("):\n    size = "), n,
         F.lit("\n    @property\n    def value(self): return 1\n    @staticmethod\n    def make(a, /, b=2): pass\n"),
         F.when(col("lang") == "de", F.lit("def broken(:\n")).otherwise(""))
-    return t.read("documents").select(
+    return spread(t.read("documents"), "doc_id").select(
         F.concat(F.lit("docs.m"), i).alias("modname"), F.concat(F.lit("docs/m"), i, F.lit(".py")).alias("path"),
         source.alias("source"))
 

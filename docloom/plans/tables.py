@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.generate import explode_count
+from docloom.session import spread
 
 VIEW_SQL = {
     "mods": """SELECT CAST(r_regionkey AS BIGINT) AS mod_id,
@@ -316,8 +317,13 @@ class Tables:
 
     # docstrings
 
+    @cache
     def docs(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return spread(self.read("documents").select("doc_id", "text"), "doc_id")
+
+    @cache
+    def pages(self) -> DataFrame:
+        return spread(self.read("pages").select("page_id", "html"), "page_id")
 
     def doc_lines(self) -> DataFrame:
         return lines_of(self.docs())

@@ -38,6 +38,19 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give row-wise heavy work enough tasks.
+
+    A small input may come as one or two splits and would keep the other cores idle;
+    it is then hashed by its unique key. An input with more splits than cores, as any
+    large one has, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores, key)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and forget its lineage."""
     _ensure_checkpoint_dir(df.sparkSession)

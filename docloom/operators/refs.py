@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import names as N
+from docloom.functions.generate import explode_rows
 from docloom.session import durable
 
 col = F.col
@@ -117,9 +118,8 @@ def look_up(requests: DataFrame, objects: DataFrame) -> DataFrame:
     asked = requests.select("modname", "qualname").distinct()
     have = objects.select("modname", "qualname").filter("qualname IS NOT NULL")
     failed = asked.join(have, ["modname", "qualname"], "left_anti")
-    prefixes = failed.select(
-        "modname", "qualname",
-        F.posexplode(N.prefix_names(col("qualname"))).alias("depth", "prefix"))
+    prefixes = explode_rows(
+        failed, ["modname", "qualname"], N.prefix_names(col("qualname")), "prefix", pos="depth")
     absent = prefixes.join(
         have.withColumnRenamed("qualname", "prefix"), ["modname", "prefix"], "left_anti")
     first = absent.groupBy("modname", "qualname").agg(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.generate import explode_rows
+
 col = F.col
 
 
@@ -129,8 +131,8 @@ def parse_signature(text: pd.Series) -> pd.DataFrame:
 
 def parsed_params(signatures: DataFrame) -> DataFrame:
     """Parameter rows of signature texts (obj, text)."""
-    return signatures.withColumn("_s", parse_signature("text")).select(
-        "obj", F.explode("_s.params").alias("p")).select("obj", "p.*")
+    parsed = signatures.select("obj", parse_signature("text").alias("s"))
+    return explode_rows(parsed, ["obj"], col("s.params"), "p", pos="_at").select("obj", "p.*")
 
 
 def effective_signature(own: Column, wrapped: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.functions.generate import explode_rows
 from docloom.plans.registry import query
 from docloom.plans.tables import lines_of, with_views
 
@@ -21,10 +22,9 @@ def _lines(t):
 
 
 def _exploded(df, column, *names):
-    """posexplode of an array of structs, with a bigint position from 0."""
+    """Rows of an array of structs."""
     fields = [col(f"_x.{n}").alias(n) for n in names]
-    return df.select("doc_id", F.posexplode(column).alias("no", "_x")).select(
-        "doc_id", col("no").cast("bigint").alias("no"), *fields)
+    return explode_rows(df, ["doc_id"], col(column), "_x", pos="no").select("doc_id", "no", *fields)
 
 
 @query("g01_indent", LINES + f""" SELECT doc_id, line_no, CAST({IND.format('line')} AS BIGINT) AS indent,
@@ -76,9 +76,7 @@ PARS = f""", pars AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDE
 
 @query("g04_paragraphs", LINES + PARS + " SELECT doc_id, no, text FROM pars")
 def paragraphs(t):
-    return _lines(t).select(
-        "doc_id", F.posexplode(X.paragraphs(col("lines"))).alias("no", "text")
-    ).withColumn("no", col("no").cast("bigint"))
+    return explode_rows(_lines(t), ["doc_id"], X.paragraphs(col("lines")), "text", pos="no")
 
 
 @query("g05_normal_lines", """SELECT doc_id, string_agg(rtrim(array_to_string(list_transform(p, lambda x, i: CASE WHEN i < len(p)
@@ -131,7 +129,7 @@ SELECT tag, CAST(count(*) AS BIGINT) AS n FROM found
 WHERE tag NOT IN ('cvar', 'param', 'raise', 'return', 'rtype', 'signature', 'type') GROUP BY tag""")
 def unknown_tags(t):
     renamed = F.split(F.replace("text", F.lit("@return "), F.lit("@returns ")), "\n")
-    found = t.docstr().select(F.explode(X.split_tags(renamed)["tags"]).alias("x")).select("x.tag")
+    found = explode_rows(t.docstr(), [], X.split_tags(renamed)["tags"], "x").select("x.tag")
     return found.filter(~col("tag").isin(*X.KNOWN_TAGS)).groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -270,11 +268,10 @@ fold AS (
 string_agg(CASE WHEN label = 'C' THEN line ELSE regexp_replace(line, {BULLET_RE}, '\\1\\3') END, chr(10) ORDER BY line_no) AS text
 FROM fold JOIN l USING (doc_id, line_no) WHERE label <> '-' GROUP BY doc_id, list_no, item_no""")
 def bullet_lists(t):
-    lists = _bulleted(t).select(
-        "doc_id", F.posexplode(X.bullet_lists(col("lines"))).alias("list_no", "items"))
-    return lists.select("doc_id", "list_no", F.posexplode("items").alias("item_no", "i")).select(
-        "doc_id", col("list_no").cast("bigint").alias("list_no"),
-        col("item_no").cast("bigint").alias("item_no"), "i.text")
+    lists = explode_rows(
+        _bulleted(t), ["doc_id"], X.bullet_lists(col("lines")), "items", pos="list_no")
+    return explode_rows(lists, ["doc_id", "list_no"], col("items"), "i", pos="item_no").select(
+        "doc_id", "list_no", "item_no", "i.text")
 
 
 @query("g16_paragraph_blocks", LINES + PARS + " SELECT doc_id, no, n_lines FROM pars")

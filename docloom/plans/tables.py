@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.generate import explode_count
+from docloom.functions.generate import explode_count, explode_rows
 from docloom.session import spread
 
 VIEW_SQL = {
@@ -384,6 +384,4 @@ class Tables:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """Line table (doc_id, line_no, line) of a text table."""
-    return docs.select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return explode_rows(docs, ["doc_id"], F.split("text", "\n"), "line", pos="line_no")

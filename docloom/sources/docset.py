@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import names as N
 from docloom.functions import objects as O
+from docloom.functions.generate import explode_rows
 from docloom.operators.sequence import Ordered
 from docloom.session import durable
 
@@ -34,6 +35,12 @@ def _has(node: str, key: str) -> Column:
     return F.try_variant_get(col(node), f"$.{key}", "variant").isNotNull()
 
 
+def _entries(df: DataFrame, keep: list, entries: Column, name: str) -> DataFrame:
+    """One row per map entry: its key as `name`, its value as `node`, computed once."""
+    return df.select(*keep, F.explode_outer(entries).alias(name, "node")).filter(
+        col(name).isNotNull())
+
+
 def flatten(documents: DataFrame) -> DataFrame:
     """All objects and refs of documents (column `json`), one row each.
 
@@ -43,8 +50,8 @@ def flatten(documents: DataFrame) -> DataFrame:
     a leaf, so a loop made of refs is never followed.
     """
     none = F.lit(None).cast("string")
-    modules = documents.select(F.explode(
-        _get(F.parse_json("json"), "$.modules", "map<string,variant>")).alias("modname", "node"))
+    modules = _entries(
+        documents, [], _get(F.parse_json("json"), "$.modules", "map<string,variant>"), "modname")
     level = durable(modules.select(
         "modname", none.alias("qualname"), none.alias("parent_qual"),
         col("modname").alias("name"), _get("node", "$['$ref']").alias("ref"), "node"))
@@ -52,9 +59,9 @@ def flatten(documents: DataFrame) -> DataFrame:
     while not level.isEmpty():
         levels.append(level)
         level = durable(
-            level.filter("ref IS NULL").select(
-                "modname", col("qualname").alias("parent_qual"),
-                F.explode(_get("node", "$.dict", "map<string,variant>")).alias("name", "node"),
+            _entries(
+                level.filter("ref IS NULL"), ["modname", col("qualname").alias("parent_qual")],
+                _get("node", "$.dict", "map<string,variant>"), "name",
             ).select(
                 "modname", N.child(col("parent_qual"), col("name")).alias("qualname"),
                 "parent_qual", "name", _get("node", "$['$ref']").alias("ref"), "node"))
@@ -65,8 +72,9 @@ def flatten(documents: DataFrame) -> DataFrame:
         F.struct(F.lit(key).alias("role"), _get("node", f"$.{key}", "variant").alias("node"))
         for key in NESTED])
     own = F.array(F.struct(F.lit("self").alias("role"), col("node").alias("node")))
-    rows = every.withColumn("r", F.explode(F.concat(own, F.filter(
-        inner, lambda x: x["node"].isNotNull() & ~F.is_variant_null(x["node"])))))
+    present = F.filter(inner, lambda x: x["node"].isNotNull() & ~F.is_variant_null(x["node"]))
+    rows = explode_rows(
+        every, ["modname", "qualname", "parent_qual", "name"], F.concat(own, present), "r")
     ref = _get(col("r.node"), "$['$ref']")
     return rows.select(
         "modname", "qualname", "parent_qual", "name", col("r.role").alias("role"),
@@ -112,11 +120,11 @@ def params(nodes: DataFrame) -> DataFrame:
         named = N.context_name(ref["modname"], ref["qualname"])
         return F.when(ref.isNotNull(), named).otherwise(_get("p", f"$.{key}.repr"))
 
-    rows = nodes.filter("NOT is_ref").select(
-        "modname", "qualname", "role",
-        F.posexplode(_get("node", "$.signature.params", "array<variant>")).alias("pos", "p"))
+    rows = explode_rows(
+        nodes.filter("NOT is_ref"), ["modname", "qualname", "role"],
+        _get("node", "$.signature.params", "array<variant>"), "p")
     return rows.select(
-        "modname", "qualname", "role", (col("pos") + 1).cast("bigint").alias("pos"),
+        "modname", "qualname", "role", (col("pos") + 1).alias("pos"),
         _get("p", "$.name").alias("name"), _get("p", "$.kind").alias("kind"),
         shown("default").alias("default_repr"), shown("annotation").alias("annotation"),
         _get("p", "$.doc").alias("doc"), _get("p", "$.doc_type").alias("doc_type"))

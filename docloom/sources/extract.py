@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions import names as N
 from docloom.functions import objects as O
+from docloom.functions.generate import explode_rows
 from docloom.operators.signatures import SIGNATURE, param_rows
 
 col = F.col
@@ -228,6 +229,6 @@ def settle_module_targets(edges: DataFrame, modules: DataFrame) -> DataFrame:
 
 def params(raw: DataFrame) -> DataFrame:
     """Parameter rows of every function: modname, qualname, pos, name, kind, ..."""
-    return raw.filter("signature IS NOT NULL").select(
-        "modname", "qualname", F.explode("signature.params").alias("p")
+    return explode_rows(
+        raw, ["modname", "qualname"], col("signature.params"), "p", pos="_at"
     ).select("modname", "qualname", "p.*")

@@ -1,6 +1,6 @@
 """Headline queries, timed warm; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2).
 Every query computes its whole result; the rows go to Spark's no-op sink.
 """
 
@@ -45,7 +45,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session(
         f"local[{cpus}]", "docloom-bench", spark__ui__enabled="false",
         spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g")

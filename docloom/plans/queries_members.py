@@ -234,11 +234,10 @@ def count_true(t):
     return t.read("events").groupBy("user_id").agg(F.count_if(col("value") > 10).alias("n"))
 
 
-@query("e03_dot_product", """ SELECT vec_id, round(list_sum(list_transform(embedding[:40], lambda x, i: CAST(x AS DOUBLE) * CAST(embedding[41 - i] AS DOUBLE))), 6) AS dot FROM embeddings""")
+@query("e03_dot_product", """ SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CAST(embedding[len(embedding) + 1 - i] AS DOUBLE))), 6) AS dot FROM embeddings""")
 def dot_product(t):
     v = col("embedding")
-    flipped = F.reverse(F.slice(v, 1, 40))
-    return t.read("embeddings").select("vec_id", F.round(A.dot(v, flipped), 6).alias("dot"))
+    return t.read("embeddings").select("vec_id", F.round(A.dot(v, F.reverse(v)), 6).alias("dot"))
 
 
 @query("e04_distinct_modules", with_views("sym", "imports") + """ SELECT DISTINCT modname FROM

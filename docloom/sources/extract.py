@@ -187,12 +187,8 @@ def exports(raw: DataFrame) -> DataFrame:
     ).groupBy("modname").agg(F.max_by("all_names", "line_start").alias("all_names"))
 
 
-def aliases(raw: DataFrame, packages: DataFrame | None = None) -> DataFrame:
-    """Import edges: modname, member_name, target_mod, target_qual (NULL for a module).
-
-    Relative imports are taken from the module's own package. `packages` (modname)
-    tells which modules are packages themselves.
-    """
+def _targets(raw: DataFrame, packages: DataFrame | None) -> DataFrame:
+    """Import rows with `from_mod` (absolute) and `item`, NULL for a plain module import."""
     rows = raw.filter(col("kind") == "import")
     if packages is None:
         own = rows.withColumn("_is_package", F.lit(False))
@@ -203,16 +199,44 @@ def aliases(raw: DataFrame, packages: DataFrame | None = None) -> DataFrame:
     pieces = N.parts(col("modname"))
     keep = F.size(pieces) - col("level") + F.when(col("_is_package"), 1).otherwise(0)
     base = F.array_join(F.slice(pieces, F.lit(1), F.greatest(keep, F.lit(0))), ".")
-    from_mod = F.substring_index("target", ":", 1)
-    item = F.regexp_replace("target", r"^[^:]*:", "")
+    named = F.substring_index("target", ":", 1)
     absolute = F.when(
-        col("level") > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(from_mod, F.lit("")))
-    ).otherwise(from_mod)
+        col("level") > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(named, F.lit("")))
+    ).otherwise(named)
     is_from = col("target").contains(":")
-    return own.filter(item != "*").select(
-        "modname", col("qualname").alias("member_name"),
-        F.when(is_from, absolute).otherwise(col("target")).alias("target_mod"),
-        F.when(is_from, item).alias("target_qual"))
+    return own.select(
+        "modname", col("qualname").alias("member_name"), absolute.alias("from_mod"),
+        F.when(is_from, F.regexp_replace("target", r"^[^:]*:", "")).alias("item"))
+
+
+def aliases(raw: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Import edges: modname, member_name, target_mod, target_qual (NULL for a module).
+
+    Relative imports are taken from the module's own package. `packages` (modname)
+    tells which modules are packages themselves. See `star_aliases` for `*`.
+    """
+    return _targets(raw, packages).filter("item IS NULL OR item <> '*'").select(
+        "modname", "member_name", col("from_mod").alias("target_mod"),
+        col("item").alias("target_qual"))
+
+
+def star_aliases(raw: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Import edges of `from module import *`: one per public top-level name of the module.
+
+    A module with `__all__` gives the names in it, another one its names without a
+    leading underscore; names it imports itself count too.
+    """
+    stars = _targets(raw, packages).filter("item = '*'").select(
+        "modname", col("from_mod").alias("target_mod")).distinct()
+    own = raw.filter(
+        ~col("kind").isin("module", "error") & col("qualname").isNotNull()
+        & ~col("qualname").contains(".") & (col("qualname") != "*")
+    ).select(col("modname").alias("target_mod"), col("qualname").alias("target_qual")).distinct()
+    listed = exports(raw).withColumnRenamed("modname", "target_mod")
+    public = own.join(listed, "target_mod", "left").filter(F.coalesce(
+        F.array_contains("all_names", col("target_qual")), ~col("target_qual").startswith("_")))
+    return stars.join(public, "target_mod").select(
+        "modname", col("target_qual").alias("member_name"), "target_mod", "target_qual")
 
 
 def settle_module_targets(edges: DataFrame, modules: DataFrame) -> DataFrame:

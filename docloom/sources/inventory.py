@@ -44,14 +44,16 @@ def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     spread over the cluster, whatever root they belong to.
     """
     level = spark.createDataFrame([(r, "") for r in roots], "root string, path string")
+    folders, most = len(roots), int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = []
     while True:
-        tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = max(1, min(most, folders))
         listed = durable(
             level.repartition(tasks, "root", "path").mapInPandas(_list_folders, _LISTED))
         files.append(listed.filter("NOT is_dir").drop("is_dir"))
         level = listed.filter("is_dir").select("root", "path")
-        if level.isEmpty():
+        folders = level.count()
+        if not folders:
             break
     every = files[0]
     for part in files[1:]:

@@ -44,6 +44,7 @@ class Box(Thing):
     "pkg/helper.py": "",
     "pkg/sub/__init__.py": "from .deep import Thing\n",
     "pkg/sub/deep.py": "class Thing:\n    pass\n",
+    "pkg/star.py": "from .core import *\nfrom .sub import *\n",
     "pkg/plain/lost.py": "x = 1\n",
     "pkg/plain/inner/__init__.py": "",
     "pkg/plain/inner/gone.py": "",
@@ -74,7 +75,7 @@ def names(df, column="modname"):
 
 
 def test_discovery(spark, root, modules):
-    want = ["latest", "pkg", "pkg._priv", "pkg.core", "pkg.helper", "pkg.sub", "pkg.sub.deep", "top"]
+    want = ["latest", "pkg", "pkg._priv", "pkg.core", "pkg.helper", "pkg.star", "pkg.sub", "pkg.sub.deep", "top"]
     assert names(modules) == want
     assert names(V.standard_modules(modules)) == want[1:]
     assert names(V.submodules(modules, "pkg.sub")) == ["pkg.sub", "pkg.sub.deep"]
@@ -109,6 +110,10 @@ def test_imports_resolve(raw, modules):
         ("pkg.core", "Thing"): ("pkg.sub.deep", "Thing"), ("pkg.sub", "Thing"): ("pkg.sub.deep", "Thing")}
     ends = R.resolve_aliases(edges)
     assert ends.filter("is_cycle").count() == 0
+    stars = E.star_aliases(raw, modules.filter("is_package"))
+    assert sorted(tuple(r) for r in stars.collect()) == [
+        ("pkg.star", "Box", "pkg.core", "Box"), ("pkg.star", "Thing", "pkg.sub", "Thing"),
+        ("pkg.star", "run", "pkg.core", "run")]
 
 
 DOCSET = {"modules": {
@@ -156,7 +161,7 @@ def test_write_docset_round_trip(spark, tmp_path):
 def test_cache_refresh(spark, root, tmp_path):
     folder = str(tmp_path / "cache")
     first = C.refresh(spark, [root], ["pkg", "pkg.sub"], folder, "one")
-    assert len(names(first)) == 6
+    assert len(names(first)) == 7
     second = C.refresh(spark, [root], ["pkg"], folder, "two")
     # The empty helper modules have rows too, so nothing is left to do.
     assert names(second) == []

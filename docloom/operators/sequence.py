@@ -226,10 +226,14 @@ class Ordered:
 
         One item of every source in turn, by source value; finished sources drop out.
         """
-        turns = Ordered(
-            self.df, [*self.by, source], self.order, self.group_rows, self.chunk
-        ).numbered.withColumnRenamed("pos", "_turn")
+        by_source = Ordered(
+            self.df, [*self.by, source], self.order, self.group_rows, self.chunk)
+        if not self.is_split:
+            # A source is part of its group, so it fits as well.
+            by_source.is_split = False
+        turns = by_source.numbered.withColumnRenamed("pos", "_turn")
         merged = Ordered(turns, self.by, ["_turn", source], self.group_rows, self.chunk)
+        merged.is_split = self.is_split
         return merged.numbered.withColumnRenamed("pos", "slot").drop("_turn")
 
     # -- sampling ---------------------------------------------------------

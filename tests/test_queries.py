@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from docloom.plans import catalog
 from tests.compare import check, connect
 
 
@@ -11,10 +12,9 @@ def con(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, data, con, name):
-    sql = entry.oracle_sql().get(name)
-    assert sql is not None, "every query has its check SQL"
+    sql = entry.oracle_sql()[name]
     assert check(spark, con, data, name, entry.queries()[name], sql) is None
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "docloom", **conf) -> SparkSession:
-    """A session with the settings the jobs expect; `conf` keys use `__` for dots."""
+    """A session with the settings the jobs expect; `conf` keys use `__` for dots.
+
+    Python workers find this package where the driver has it. On a cluster without a
+    shared installation, pass `--py-files` a zip of the package as well.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -16,6 +21,8 @@ def build_session(master: str | None = None, app: str = "docloom", **conf) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.executorEnv.PYTHONPATH",
+                os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")])))
     )
     if master is not None:
         builder = builder.master(master)
@@ -33,7 +40,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
         # One machine only: executors and driver share this disk.
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-ckpt-"))
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 

@@ -14,7 +14,7 @@ CHECK_SQL: dict[str, str] = {}
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["CHECK_SQL", "QUERIES", "durable", "lower_ascii", "query", "table", "words"]
+__all__ = ["CHECK_SQL", "QUERIES", "durable", "lower_ascii", "query", "small_batches", "table", "words"]
 
 
 def query(name: str, sql: str | None = None):
@@ -32,6 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of at most 500 rows, so that long texts fit a Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """Only A-Z become small; `lower` does that on plain ASCII, and much faster."""
     upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

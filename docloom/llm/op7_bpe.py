@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from docloom.llm.common import query, table
+from docloom.llm.common import query, small_batches, table
 
 # Entries of the word cache of one Python worker; it is emptied when full.
-CACHE = 300_000
+CACHE = 100_000
 
 _WIDE_SPACE = r"\t-\r \x85\xa0  -     　"
 _WIDE = regex.compile(
@@ -169,7 +169,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids",
             yield pd.Series([np.array(bpe.encode(t or ""), "<u4").tobytes() for t in texts],
                             dtype=object)
 
-    return df.withColumn(out, packed(F.col(text)))
+    return small_batches(df).withColumn(out, packed(F.col(text)))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded",
@@ -184,17 +184,32 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded",
             yield pd.Series([bpe.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in packs],
                             dtype=object)
 
-    return df.withColumn(out, unpacked(F.col(ids)))
+    return small_batches(df).withColumn(out, unpacked(F.col(ids)))
+
+
+def round_trip(df: DataFrame, text: str = "text", out: str = "coded",
+               path: str | None = None) -> DataFrame:
+    """Add `out`: struct of packed `ids` and the text `decoded` from them, in one worker."""
+    where = path or default_path()
+
+    @F.pandas_udf("ids binary, decoded string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = load(where)
+        for texts in batches:
+            ids = [np.array(bpe.encode(t or ""), "<u4") for t in texts]
+            yield pd.DataFrame({"ids": [x.tobytes() for x in ids],
+                                "decoded": [bpe.decode(x.tolist()) for x in ids]}, dtype=object)
+
+    return small_batches(df).withColumn(out, coded(F.col(text)))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each document: counts and digests of its ids and of the decoded text."""
-    coded = encode(docs.select("doc_id", "text"), path=path)
-    return decode(coded, path=path).select(
+    return round_trip(docs.select("doc_id", "text"), path=path).select(
         "doc_id",
-        F.floor(F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+        F.floor(F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("coded.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op7_bpe")

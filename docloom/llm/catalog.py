@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from docloom.llm import op5_minhash, op7_bpe  # noqa: F401
+from docloom.llm import op2_toxicity, op5_minhash, op7_bpe  # noqa: F401
 from docloom.llm.common import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

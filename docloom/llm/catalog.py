@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from docloom.llm import op2_toxicity, op3_decontaminate, op5_minhash, op7_bpe, op9_pii  # noqa: F401
+from docloom.llm import op10_suffix, op2_toxicity, op3_decontaminate, op4_quality, op5_minhash, op7_bpe, op9_pii  # noqa: F401
 from docloom.llm.common import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -1,6 +1,17 @@
 """All queries of this subpackage."""
 
-from docloom.llm import op10_suffix, op2_toxicity, op3_decontaminate, op4_quality, op5_minhash, op7_bpe, op9_pii  # noqa: F401
+from docloom.llm import (  # noqa: F401
+    op1_chaining,
+    op2_toxicity,
+    op3_decontaminate,
+    op4_quality,
+    op5_minhash,
+    op6_language,
+    op7_bpe,
+    op8_token_counts,
+    op9_pii,
+    op10_suffix,
+)
 from docloom.llm.common import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -38,6 +38,14 @@ _NARROW = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+def pre_tokens(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+        return _NARROW.findall(text)
+    except UnicodeEncodeError:
+        return _WIDE.findall(text)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -132,12 +140,7 @@ class Bpe:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            try:
-                part.encode("latin-1")
-                found = _NARROW.findall(part)
-            except UnicodeEncodeError:
-                found = _WIDE.findall(part)
-            for w in found:
+            for w in pre_tokens(part):
                 got = known.get(w)
                 put(self.word(w) if got is None else got)
         return ids

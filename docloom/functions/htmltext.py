@@ -90,6 +90,9 @@ def decode_entities(text: Column) -> Column:
         return chosen
 
     def numeric(digits, base):
+        # Leading zeros mean nothing; more than 8 digits are beyond every character.
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+        digits = F.when(F.length(digits) > 8, F.lit("0")).otherwise(digits)
         code = F.conv(digits, base, 10).cast("bigint")
         fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         control = code.between(1, 8) | code.between(11, 11) | code.between(14, 31) | (code == 127)
@@ -103,8 +106,8 @@ def decode_entities(text: Column) -> Column:
 
     def piece(p):
         name = F.regexp_extract(p, r"^([a-zA-Z][a-zA-Z0-9]*);", 1)
-        dec = F.regexp_extract(p, r"^#([0-9]{1,9});?", 1)
-        hexa = F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,8});?", 1)
+        dec = F.regexp_extract(p, r"^#([0-9]+);?", 1)
+        hexa = F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]+);?", 1)
         short = F.regexp_extract(p, rf"^({bare})", 1)
         after = F.regexp_replace(p, r"^[^;]*;", "")
         known = named(name)
@@ -112,9 +115,9 @@ def decode_entities(text: Column) -> Column:
         return (
             F.when((name != "") & known.isNotNull(), F.concat(known, after))
             .when(dec != "", F.concat(
-                numeric(dec, 10), F.regexp_replace(p, r"^#[0-9]{1,9};?", "")))
+                numeric(dec, 10), F.regexp_replace(p, r"^#[0-9]+;?", "")))
             .when(hexa != "", F.concat(
-                numeric(hexa, 16), F.regexp_replace(p, r"^#[xX][0-9a-fA-F]{1,8};?", "")))
+                numeric(hexa, 16), F.regexp_replace(p, r"^#[xX][0-9a-fA-F]+;?", "")))
             .when(short != "", F.concat(
                 named(short), F.substr(p, F.length(short) + 1)))
             .otherwise(kept)
@@ -205,21 +208,17 @@ def _lay_out(text: Column) -> Column:
 
 def _indent_lists(text: Column) -> Column:
     """Indent lines by the list depth at their start."""
-    width = 5
-
     def delta(segment):
         marks = F.regexp_extract(segment, r"^[\x04\x05]*", 0)
         opens = F.length(F.translate(marks, SHALLOWER, ""))
         return opens * 2 - F.length(marks)
 
     def depths(segments):
-        zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("all"))
+        zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all"))
 
         def step(acc, segment):
-            depth = F.greatest(F.lit(0), acc["depth"] + delta(segment))
-            return F.struct(
-                depth.alias("depth"),
-                F.concat(acc["all"], F.lpad(depth.cast("string"), width, "0")).alias("all"))
+            depth = F.greatest(F.lit(0), acc["depth"] + delta(segment)).cast("int")
+            return F.struct(depth.alias("depth"), F.concat(acc["all"], F.array(depth)).alias("all"))
 
         return F.aggregate(segments, zero, step, lambda acc: acc["all"])
 
@@ -228,7 +227,7 @@ def _indent_lists(text: Column) -> Column:
         return let(segments, lambda segs: let(depths(segs), lambda d: F.array_join(F.transform(
             segs, lambda s, i: F.regexp_replace(
                 F.regexp_replace(s, r"^[\x04\x05]*", ""), F.lit(r"(?md)^(?=[^\n])"),
-                F.repeat(F.lit(LIST_INDENT), F.substr(d, i * width + 1, F.lit(width)).cast("int")),
+                F.repeat(F.lit(LIST_INDENT), F.get(d, i)),
             )), "\n")))
 
     return _where(text, lambda t: t.rlike(r"[\x04\x05]"), indented)

@@ -140,9 +140,6 @@ def look_up_through(requests: DataFrame, objects: DataFrame, aliases: DataFrame)
     # One table of steps: an object leads to itself, an alias to its final target if that exists.
     steps = durable(
         resolved.join(
-            plain.select(col("_m").alias("_to_mod"), col("_q").alias("_fq")),
-            ["_to_mod"], "left_semi",
-        ).join(
             plain.select(
                 col("_m").alias("_tm"), F.coalesce("_q", F.lit("")).alias("_tq")),
             (col("_to_mod") == col("_tm")) & (F.coalesce("_to_qual", F.lit("")) == col("_tq")),

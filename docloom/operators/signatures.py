@@ -83,6 +83,14 @@ SIGNATURE = T.StructType([
 ])
 
 
+def source_of(node: ast.AST) -> str:
+    """Source text of an expression; a marker where it is nested too deeply to be written out."""
+    try:
+        return ast.unparse(node)
+    except (RecursionError, MemoryError):
+        return "..."
+
+
 def param_rows(args: ast.arguments) -> list[dict]:
     """Parameters of a parsed argument list, in order, with source text of their parts."""
     positional = [(a, "POSITIONAL_ONLY") for a in args.posonlyargs]
@@ -99,8 +107,8 @@ def param_rows(args: ast.arguments) -> list[dict]:
             "pos": i,
             "name": a.arg,
             "kind": kind,
-            "default_repr": None if d is None else ast.unparse(d),
-            "annotation": None if a.annotation is None else ast.unparse(a.annotation),
+            "default_repr": None if d is None else source_of(d),
+            "annotation": None if a.annotation is None else source_of(a.annotation),
         }
         for i, (a, kind, d) in enumerate(every, 1)
     ]
@@ -115,11 +123,11 @@ def parse_signature(text: pd.Series) -> pd.DataFrame:
     def one(signature):
         try:
             node = ast.parse(f"def {signature.strip()}: pass").body[0]
-        except (SyntaxError, ValueError, AttributeError):
+        except (SyntaxError, ValueError, AttributeError, RecursionError, MemoryError):
             return None, None
         if not isinstance(node, ast.FunctionDef):
             return None, None
-        back = None if node.returns is None else ast.unparse(node.returns)
+        back = None if node.returns is None else source_of(node.returns)
         return param_rows(node.args), back
 
     parsed = [one(s) for s in text]

@@ -35,8 +35,11 @@ def stale(entries: DataFrame, scan: DataFrame, key: str = "modname") -> DataFram
 
 def evict(entries: DataFrame, scan: DataFrame, key: str = "modname") -> DataFrame:
     """What is left after stale entries are dropped; modules not scanned are kept."""
-    gone = stale(entries, scan, key).join(scan.select(key), key, "left_semi")
-    return entries.join(gone.select(key, *PRINT), [key, *PRINT], "left_anti")
+    # One join: a scan has one row a module, so no entry is repeated.
+    now = scan.select(col(key).alias("_key"), *[col(c).alias(f"_{c}") for c in PRINT])
+    same = reduce(lambda a, b: a & b, [col(c) == col(f"_{c}") for c in PRINT])
+    return (entries.join(now, col(key) == col("_key"), "left")
+            .filter(col("_key").isNull() | F.coalesce(same, F.lit(False))).select(*entries.columns))
 
 
 def tiered_lookup(scan: DataFrame, tiers: list[DataFrame], key: str = "modname") -> DataFrame:
@@ -61,11 +64,12 @@ def bucket_of(modname: Column) -> Column:
 
 
 def store(entries: DataFrame, folder: str, run: str) -> None:
-    """Write entries as one run, bucketed by module name.
+    """Write entries as one run, bucketed by module name, one file a bucket.
 
-    A repeated run replaces its own folder only, so a retry is harmless.
+    A repeated run replaces its own folder only, so a retry is harmless. `entries` must
+    not be read from that folder.
     """
-    entries.withColumn("bucket", bucket_of(col("modname"))).write.partitionBy("bucket").mode(
+    entries.withColumn("bucket", bucket_of(col("modname"))).repartition("bucket").write.partitionBy("bucket").mode(
         "overwrite").parquet(f"{folder}/run={run}")
 
 
@@ -114,7 +118,8 @@ def refresh(spark: SparkSession, roots: list[str], packages: list[str], folder:
         DataFrame.unionByName, [inventory.submodules(names, p) for p in packages]).distinct()
     scan = fingerprints(files, wanted)
     try:
-        known = load(spark, folder).select("modname", *PRINT).distinct()
+        # This run's own rows are written anew, so a repeated run neither reads nor loses them.
+        known = load(spark, folder).filter(col("run") != run).select("modname", *PRINT).distinct()
         todo = stale(scan, known)
     except Exception as exc:  # no cache yet
         if "PATH_NOT_FOUND" not in str(exc):

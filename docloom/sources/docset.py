@@ -41,6 +41,11 @@ def _entries(df: DataFrame, keep: list, entries: Column, name: str) -> DataFrame
         col(name).isNotNull())
 
 
+def bad_documents(documents: DataFrame) -> DataFrame:
+    """The documents that are not JSON; `flatten` passes them over."""
+    return documents.filter(col("json").isNotNull() & F.try_parse_json("json").isNull())
+
+
 def flatten(documents: DataFrame) -> DataFrame:
     """All objects and refs of documents (column `json`), one row each.
 
@@ -51,7 +56,7 @@ def flatten(documents: DataFrame) -> DataFrame:
     """
     none = F.lit(None).cast("string")
     modules = _entries(
-        documents, [], _get(F.parse_json("json"), "$.modules", "map<string,variant>"), "modname")
+        documents, [], _get(F.try_parse_json("json"), "$.modules", "map<string,variant>"), "modname")
     level = durable(modules.select(
         "modname", none.alias("qualname"), none.alias("parent_qual"),
         col("modname").alias("name"), _get("node", "$['$ref']").alias("ref"), "node"))

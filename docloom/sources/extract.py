@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docloom.functions import names as N
 from docloom.functions import objects as O
 from docloom.functions.generate import explode_rows
-from docloom.operators.signatures import SIGNATURE, param_rows
+from docloom.operators.signatures import SIGNATURE, param_rows, source_of
 
 col = F.col
 
@@ -76,9 +76,24 @@ def _definitions(body, owner):
                 for leaf in ast.walk(target):
                     if isinstance(leaf, ast.Name) and isinstance(leaf.ctx, ast.Store):
                         yield (f"{owner}.{leaf.id}" if owner else leaf.id), leaf.id, "value", node
-        elif isinstance(node, (ast.If, ast.Try, ast.With)):
+        else:
+            yield from _bound(node, owner)
             for inner in ("body", "orelse", "finalbody"):
                 yield from _definitions(getattr(node, inner, []), owner)
+            for part in (*getattr(node, "handlers", ()), *getattr(node, "cases", ())):
+                yield from _definitions(part.body, owner)
+
+
+def _bound(node, owner):
+    """Names that a compound or type statement binds by itself: loop, with and type names."""
+    targets = [node.target] if isinstance(node, (ast.For, ast.AsyncFor)) else []
+    targets += [i.optional_vars for i in getattr(node, "items", ()) if getattr(i, "optional_vars", None)]
+    if isinstance(node, ast.TypeAlias):
+        targets.append(node.name)
+    for target in targets:
+        for leaf in ast.walk(target):
+            if isinstance(leaf, ast.Name):
+                yield (f"{owner}.{leaf.id}" if owner else leaf.id), leaf.id, "bound", node
 
 
 def _row(modname, path, qualname, name, kind, node):
@@ -94,9 +109,12 @@ def _row(modname, path, qualname, name, kind, node):
             row["target"], row["level"] = alias.name if alias.asname else name, 0
         return row
     row["line_start"], row["line_end"] = node.lineno - 1, node.end_lineno
+    if kind == "bound":
+        row["kind"] = "value"
+        return row
     if kind == "value":
         if node.value is not None:
-            row["value"] = ast.unparse(node.value)
+            row["value"] = source_of(node.value)
             if name == "__all__" and isinstance(node.value, (ast.Tuple, ast.List)):
                 row["all_names"] = [
                     e.value for e in node.value.elts if isinstance(e, ast.Constant)]
@@ -105,9 +123,9 @@ def _row(modname, path, qualname, name, kind, node):
     row["line_start"] = min([node.lineno, *first]) - 1
     row["doc"] = ast.get_docstring(node, clean=False)
     if kind == "type":
-        row["bases"] = [ast.unparse(b) for b in node.bases]
+        row["bases"] = [source_of(b) for b in node.bases]
     else:
-        back = None if node.returns is None else ast.unparse(node.returns)
+        back = None if node.returns is None else source_of(node.returns)
         row["signature"] = {"params": param_rows(node.args), "return_annotation": back}
     return row
 
@@ -117,13 +135,17 @@ def _module_rows(modname, path, source):
     head.update(modname=modname, path=path, name=modname)
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, TypeError, RecursionError) as exc:
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError) as exc:
         head.update(kind="error", value=f"{type(exc).__name__}: {exc}")
         return [head]
     head.update(
         kind="module", line_start=0, line_end=len(source.splitlines()),
         doc=ast.get_docstring(tree, clean=False))
-    return [head, *(_row(modname, path, *found) for found in _definitions(tree.body, ""))]
+    try:
+        return [head, *(_row(modname, path, *found) for found in _definitions(tree.body, ""))]
+    except (RecursionError, MemoryError) as exc:
+        head.update(kind="error", value=f"{type(exc).__name__}: {exc}")
+        return [head]
 
 
 def _parse(batches):

@@ -20,7 +20,8 @@ SNAPSHOT = (
 def _newest(snapshots: DataFrame) -> DataFrame:
     """One snapshot per module, the latest by mtime; combines before the shuffle."""
     return snapshots.groupBy("modname").agg(
-        F.max_by(F.struct("version", "path", "mtime", "size", "source"), "mtime").alias("s")
+        F.max_by(F.struct("version", "path", "mtime", "size", "source"),
+                 F.struct("mtime", "version", "size", "path")).alias("s")
     ).select("modname", "s.*")
 
 

@@ -31,3 +31,9 @@ def test_audits(value):
     assert sorted(value(H.unknown_marks, page)) == [
         ("div class", "x"), ("tag", "blink"), ("tag", "br")]
     assert ("br", 1) not in value(H.tag_events, page)
+
+
+def test_number_references_of_any_length(value):
+    from docloom.functions import htmltext
+    for html, text in (("&#0000000065;x", "Ax"), ("&#x000000041;x", "Ax"), ("&#9999999999;x", "\ufffdx")):
+        assert value(htmltext.to_text, html).strip() == text

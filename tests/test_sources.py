@@ -201,3 +201,40 @@ def test_type_labels(spark):
     assert label("function", "<lambda>") == "lambda function"
     assert label("int") is None
     assert spark.range(1).select(O.category(F.lit("builtins"), F.lit("getset_descriptor")).alias("c")).first().c == "attributes"
+
+
+def test_bodies_of_every_statement_are_followed(spark):
+    source = (
+        "try:\n    import ujson as json\nexcept ImportError:\n    json = None\n    def fallback(): pass\n"
+        "for i in range(2):\n    def looped(): pass\nwhile x:\n    y = 1\n"
+        "match z:\n    case 1:\n        matched = 1\nwith open('f') as handle:\n    inside = 1\ntype Alias = int\n")
+    from docloom.sources import extract
+    raw = extract.parse_sources(spark.createDataFrame([("m", "p", source)], "modname string, path string, source string"))
+    names = {r["name"] for r in raw.collect()}
+    assert {"fallback", "looped", "i", "y", "matched", "handle", "inside", "Alias", "json"} <= names
+
+
+def test_deep_sources_do_not_stop_the_run(spark):
+    from docloom.sources import extract
+    deep = "x = " + "-" * 3000 + "1"
+    rows = spark.createDataFrame([("deep", "p", deep), ("good", "q", "def f(): pass")],
+                                 "modname string, path string, source string")
+    assert "f" in {r["name"] for r in extract.parse_sources(rows).collect()}
+
+
+def test_a_repeated_run_keeps_its_rows(spark, tmp_path):
+    from docloom.sources import cache
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "one.py").write_text("a = 1\n")
+    folder = str(tmp_path / "cache")
+    for _ in range(2):
+        cache.refresh(spark, [str(root)], ["one"], folder, "r1")
+        assert cache.load(spark, folder).count() > 0
+
+
+def test_one_malformed_document_leaves_the_others(spark):
+    from docloom.sources import docset
+    docs = spark.createDataFrame([('{"modules": {"m": {"type": {}}}}',), ("{broken",)], "json string")
+    assert [r.modname for r in docset.flatten(docs).collect()] == ["m"]
+    assert docset.bad_documents(docs).count() == 1

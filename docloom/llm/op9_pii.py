@@ -17,7 +17,8 @@ equal values get equal pseudonyms in all documents and different values differen
 | secret | letters and digits of `AKIA...` keys and of `password=` and `token = "..."` values |
 
 Values that fail validation stay as they are. Null texts stay null; empty texts stay empty.
-Repeated rows are treated alike; other columns are kept, whatever their names.
+Repeated rows are treated alike; other columns are kept, whatever their names, but for one
+named like `changed`, which is replaced.
 """
 
 from __future__ import annotations
@@ -203,16 +204,20 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
 
     Texts without a digit or `@` are passed on after one quick search.
     """
+    taken = {c.lower() for c in docs.columns}
+    found, fresh = (next(c for c in (stem + "_" * k for k in range(len(taken) + 1)) if c not in taken)
+                    for stem in ("found", "fresh"))
     whole = F.col(text)
     has = whole.rlike("[0-9@]|password=|token = ") & whole.rlike(ANY)
-    parts = docs.select("*", F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"))
-    parts = parts.withColumn("_fresh", F.transform("_found", lambda v: pseudonym(v, key)))
+    parts = docs.select("*", F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias(found))
+    parts = parts.withColumn(fresh, F.transform(found, lambda v: pseudonym(v, key)))
     gaps = F.split(whole, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_fresh"), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    n = F.size(F.filter(F.arrays_zip("_found", "_fresh"), lambda z: z["_found"] != z["_fresh"]))
-    out = parts.withColumns({text: F.when(F.col("_found").isNotNull(), joined).otherwise(whole),
-                             changed: F.coalesce(F.when(F.col("_found").isNotNull(), n), F.lit(0)).cast("bigint")})
-    return out.drop("_found", "_fresh")
+    joined = F.array_join(F.zip_with(gaps, F.col(fresh), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    n = F.size(F.filter(F.zip_with(found, fresh, lambda a, b: a != b), lambda d: d))
+    any_ = F.col(found).isNotNull()
+    out = parts.withColumns({text: F.when(any_, joined).otherwise(whole),
+                             changed: F.coalesce(F.when(any_, n), F.lit(0)).cast("bigint")})
+    return out.drop(found, fresh)
 
 
 @query("op9_pii")

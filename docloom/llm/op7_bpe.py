@@ -2,8 +2,8 @@
 
 A pair of adjacent bytes that occurs inside no vocabulary entry can never end up in one
 token, whatever the order of merges. Such a pair is therefore a certain cut: what stands
-before and after it is encoded on its own and the ids are concatenated. The fragments are
-short and repeat much more often than words do, so each is merged once and then looked up.
+before and after it is encoded on its own and the ids are concatenated. The merges within
+a fragment are left to a library; ids of common words are kept.
 
 Null texts are empty; an empty text has no ids. Lone added tokens (`<|endoftext|>`) written
 out in a text become their own id, as in the tokenizers library. Every row is encoded by
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from docloom.llm.common import query, small_batches, table
 
-# Entries of the word cache of one Python worker; it is emptied when full.
+# Words whose ids a Python worker keeps: the first ones it meets, which are the commonest.
 CACHE = 100_000
 
 _WIDE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -60,7 +61,7 @@ def _alphabet() -> dict[str, int]:
 
 
 class Bpe:
-    """Vocabulary, merge ranks and certain cuts of one file."""
+    """Vocabulary and certain cuts of one file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -71,13 +72,11 @@ class Bpe:
                     if k not in self.added}
         self.entry = {v: k for k, v in self.ids.items()}
         self.entry |= {v: k.encode() for k, v in self.added.items()}
-        self.rank = {}
-        for n, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank[bytes(byte[c] for c in a), bytes(byte[c] for c in b)] = n
         joined = {entry[i:i + 2] for entry in self.ids for i in range(len(entry) - 1)}
         self.cut = {bytes((a, b)) for a in range(256) for b in range(256)} - joined
-        self.fragments: dict[bytes, tuple] = {}
+        # Ids follow the order of merges, so they are the ranks by which a fragment is merged.
+        self.piece = tiktoken.Encoding(
+            "fragments", pat_str=r"[\s\S]", mergeable_ranks=self.ids, special_tokens={})._encode_single_piece
         self.words: dict[str, tuple] = {}
         self.split_added = (
             re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None)
@@ -91,44 +90,15 @@ class Bpe:
         out.append(word[start:])
         return out
 
-    def merge(self, fragment: bytes) -> tuple:
-        whole = self.ids.get(fragment)
-        parts = [fragment[i:i + 1] for i in range(len(fragment))]
-        rank = self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get((parts[i], parts[i + 1]), 1 << 60), i)
-                           for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            pair, out, i = (parts[at], parts[at + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        if len(parts) == 1 and whole is not None:
-            return (whole,)
-        return tuple(self.ids[p] for p in parts)
-
     def word(self, word: str) -> tuple:
-        out: tuple = ()
+        """Ids of a pre-token: those of its fragments, one after the other."""
+        out: list[int] = []
         for fragment in self.fragments_of(word.encode()):
-            ids = self.fragments.get(fragment)
-            if ids is None:
-                if len(self.fragments) >= CACHE:
-                    self.fragments.clear()
-                ids = self.merge(fragment)
-                if len(fragment) < 100:
-                    self.fragments[fragment] = ids
-            out += ids
-        if len(word) < 100:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = out
-        return out
+            out += self.piece(fragment)
+        ids = tuple(out)
+        if len(self.words) < CACHE and len(word) < 100:
+            self.words[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []

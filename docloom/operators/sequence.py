@@ -1,21 +1,18 @@
 """Operators on ordered rows.
 
 `Ordered(df, by, order)` is a DataFrame whose rows have a total order inside each
-`by` group (no `by`: one sequence of all rows). Two exact ways are used:
+`by` group (no `by`: one sequence of all rows). Rows are range-partitioned by (by,
+order), so a huge group lies over many partitions in order; row counts of the earlier
+partitions are added to the local numbers, and neighbour lookups use chunks of
+consecutive positions that share a few rows with the next chunk. Every size takes this
+one way; nothing is counted while the plan is made.
 
-* groups that fit a task go through a window over `by`;
-* otherwise rows are range-partitioned by (by, order), so a huge group lies over
-  many partitions in order; row counts of the earlier partitions are added to the
-  local numbers, and neighbour lookups use chunks of consecutive positions that
-  share a few rows with the next chunk.
-
-First-n, nth, keyed-distinct and first-match need neither: they combine on the map
-side, so any group size is fine.
+First-n of a whole table, keyed-distinct and first-match combine on the map side.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +22,8 @@ from docloom.session import durable
 
 col = F.col
 
-# Largest group handled by one window task.
-GROUP_ROWS = 2_000_000
 # Rows of consecutive positions handled together when groups are split.
 CHUNK = 100_000
-# Largest sample fetched with a plain limit.
-SMALL_SAMPLE = 10_000
-# Up to this rank map tasks drop the rows behind it before the shuffle
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-RANK_LIMIT = 1_000
-
 
 def hashed(columns: list[str], seed: int) -> Column:
     """Random key of a row: the same row and seed always give the same key."""
@@ -42,35 +31,18 @@ def hashed(columns: list[str], seed: int) -> Column:
 
 
 class Ordered:
-    def __init__(self, df: DataFrame, by=(), order=(), group_rows: int = GROUP_ROWS,
-                 chunk: int = CHUNK, draw=hashed):
+    def __init__(self, df: DataFrame, by=(), order=(), chunk: int = CHUNK, draw=hashed):
         self.df = df
         self.by = list(by)
         self.order = list(order)
-        self.group_rows = group_rows
         self.chunk = chunk
         self.draw = draw
 
     # -- how to run -------------------------------------------------------
 
-    @cached_property
-    def is_split(self) -> bool:
-        """Whether some group is too large for one task; a count that combines map-side."""
-        if not self.by:
-            return True
-        sizes = self.df.groupBy(*self.by).agg(F.count("*").alias("n"))
-        largest = sizes.agg(F.max("n")).first()[0]
-        return (largest or 0) > self.group_rows
-
-    def _window(self):
-        return Window.partitionBy(*self.by).orderBy(*self.order)
-
     @cached_property
     def numbered(self) -> DataFrame:
         """Rows with `pos`, counted from 0 in each group."""
-        if not self.is_split:
-            return self.df.withColumn(
-                "pos", F.row_number().over(self._window()).cast("bigint") - 1)
         spark = self.df.sparkSession
         shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
         keys = [*self.by, *self.order]
@@ -106,11 +78,6 @@ class Ordered:
             return [F.lead(c, o).over(window) if o >= 0 else F.lag(c, -o).over(window)
                     for c, o in values.values()]
 
-        if not self.is_split:
-            window = self._window()
-            named = [c.alias(n) for n, c in zip(values, looked_up(window))]
-            return self.numbered.select("*", *named)
-
         ahead = max([o for _, o in values.values() if o > 0], default=0)
         behind = max([-o for _, o in values.values() if o < 0], default=0)
         size = max(self.chunk, ahead, behind, 1)
@@ -133,8 +100,7 @@ class Ordered:
 
     def last_flags(self) -> DataFrame:
         """A row is last when no row follows it."""
-        after = self.neighbours({"_next": ("pos", 1)}) if self.is_split else self.numbered.withColumn(
-            "_next", F.lead(F.lit(1)).over(self._window()))
+        after = self.neighbours({"_next": ("pos", 1)})
         return after.withColumn("is_last", col("_next").isNull()).drop("_next")
 
     def peek(self, column: str, ahead: int = 0, name: str = "peeked") -> DataFrame:
@@ -144,11 +110,7 @@ class Ordered:
     def pairs(self, *columns: str) -> DataFrame:
         """Adjacent pairs: each row but the last, with `next_<column>` values."""
         lookups = {f"next_{c}": (c, 1) for c in columns}
-        if self.is_split:
-            paired = self.neighbours({**lookups, "_next": ("pos", 1)})
-        else:
-            paired = self.neighbours(lookups).withColumn(
-                "_next", F.lead(F.lit(1)).over(self._window()))
+        paired = self.neighbours({**lookups, "_next": ("pos", 1)})
         return paired.filter("_next IS NOT NULL").drop("_next")
 
     # -- picking ----------------------------------------------------------
@@ -160,31 +122,23 @@ class Ordered:
 
     def take(self, n: int) -> DataFrame:
         """First n rows of each group."""
-        if not self.by and n <= SMALL_SAMPLE:
+        if not self.by:
             return self.df.orderBy(*self.order).limit(n)
-        if not self.by or n > RANK_LIMIT:
-            return self.numbered.filter(col("pos") < n).drop("pos")
-        return self._ranked(self.by).filter(col("_rank") <= n).drop("_rank")
+        return self.numbered.filter(col("pos") < n).drop("pos")
 
     def tail(self, n: int) -> DataFrame:
         """Last n rows of each group."""
-        if not self.by and n <= SMALL_SAMPLE:
-            return self.df.orderBy(*[col(c).desc() for c in self.order]).limit(n).orderBy(*self.order)
         if not self.by:
-            start = self.df.count() - n
-            return self.numbered.filter(col("pos") >= start).drop("pos")
-        if n > RANK_LIMIT:
-            sizes = self.df.groupBy(*self.by).agg(F.count("*").alias("_size"))
-            return self.numbered.join(sizes, self.by).filter(
-                col("pos") >= col("_size") - n).select(*self.df.columns)
-        return self._ranked(self.by, descending=True).filter(col("_rank") <= n).drop("_rank")
+            return self.df.orderBy(*[col(c).desc() for c in self.order]).limit(n).orderBy(*self.order)
+        sizes = self.numbered.groupBy(*self.by).agg(F.count("*").alias("_size")).alias("r")
+        rows = self.numbered.alias("l")
+        same = reduce(lambda a, b: a & b, [col(f"l.`{k}`").eqNullSafe(col(f"r.`{k}`")) for k in self.by])
+        return rows.join(sizes, same).filter(col("pos") >= col("_size") - n).select(
+            *[col(f"l.`{c}`") for c in self.df.columns])
 
     def nth(self, n: int, column: str, default=None, name: str = "nth") -> DataFrame:
         """The item at position n (from 0) of each group, or the default."""
-        if n < RANK_LIMIT:
-            rows, at = self._ranked(self.by).filter(col("_rank") <= n + 1), col("_rank") == n + 1
-        else:
-            rows, at = self.numbered, col("pos") == n
+        rows, at = self.numbered, col("pos") == n
         return rows.groupBy(*self.by).agg(
             F.when(F.bool_or(at), F.max(F.when(at, col(column))))
             .otherwise(F.lit(default)).alias(name))
@@ -227,13 +181,9 @@ class Ordered:
         One item of every source in turn, by source value; finished sources drop out.
         """
         by_source = Ordered(
-            self.df, [*self.by, source], self.order, self.group_rows, self.chunk)
-        if not self.is_split:
-            # A source is part of its group, so it fits as well.
-            by_source.is_split = False
+            self.df, [*self.by, source], self.order, self.chunk)
         turns = by_source.numbered.withColumnRenamed("pos", "_turn")
-        merged = Ordered(turns, self.by, ["_turn", source], self.group_rows, self.chunk)
-        merged.is_split = self.is_split
+        merged = Ordered(turns, self.by, ["_turn", source], self.chunk)
         return merged.numbered.withColumnRenamed("pos", "slot").drop("_turn")
 
     # -- sampling ---------------------------------------------------------
@@ -261,10 +211,7 @@ class Ordered:
         keys = ["_draw", *self.order]
         if r is None:
             return drawn.orderBy(*keys).drop("_draw")
-        if r <= SMALL_SAMPLE:
-            return drawn.orderBy(*keys).limit(r).drop("_draw")
-        numbered = Ordered(drawn, (), keys, chunk=self.chunk).numbered
-        return numbered.filter(col("pos") < r).orderBy("pos").drop("_draw", "pos")
+        return drawn.orderBy(*keys).limit(r).drop("_draw")
 
     def combination(self, r: int, seed: int = 0) -> DataFrame:
         """r random rows in their own order."""

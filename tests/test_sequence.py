@@ -14,14 +14,12 @@ ROWS = [("hot" if i % 2 else f"k{i % 7}", i, random.choice("abc")) for i in rang
 GROUPS = {k: [(i, x) for g, i, x in ROWS if g == k] for k in {g for g, _, _ in ROWS}}
 
 
-@pytest.fixture(params=["window", "split"])
+@pytest.fixture(params=["default", "short chunks"])
 def seq(request, spark):
     shuffled = random.sample(ROWS, len(ROWS))
     df = spark.createDataFrame(shuffled, "g string, i bigint, x string").repartition(5)
-    limits = {} if request.param == "window" else {"group_rows": 10, "chunk": 8}
-    made = Ordered(df, ["g"], ["i"], **limits)
-    assert made.is_split == (request.param == "split")
-    return made
+    limits = {} if request.param == "default" else {"chunk": 8}
+    return Ordered(df, ["g"], ["i"], **limits)
 
 
 def got(df, *columns):
@@ -103,8 +101,7 @@ def test_sampling(spark):
     assert len(drawn) == 900 and drawn == sorted(drawn) and set(drawn) <= set(range(500))
 
 
-def test_large_sample_uses_positions(spark, monkeypatch):
-    monkeypatch.setattr("docloom.operators.sequence.SMALL_SAMPLE", 5)
+def test_samples_of_a_whole_table(spark):
     whole = Ordered(spark.range(300), (), ["id"], chunk=16)
     small = Ordered(spark.range(300), (), ["id"])
     assert [r.id for r in whole.permutation(40, seed=3).collect()] == [

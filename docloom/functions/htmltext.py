@@ -45,9 +45,18 @@ MARKS = r"[\x01-\x05]"
 
 
 def strip_hidden(html: Column) -> Column:
-    """Without comments, scripts and style sheets."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(text, rf"(?is)<(script|style){ATTRS}>.*?</\1\s*>", "")
+    """Without comments, scripts and style sheets.
+
+    Elements are sought only up to the last end mark: behind it none is closed, so very
+    many unclosed ones are not each followed to the end of the page.
+    """
+    def closed(text, last, element):
+        head = F.regexp_extract(text, rf"(?is)^.*{last}", 0)
+        return F.concat(F.regexp_replace(head, element, ""), F.substr(text, F.length(head) + 1))
+
+    text = let(html, lambda h: closed(h, "-->", r"(?s)<!--.*?-->"))
+    return let(text, lambda t: closed(
+        t, r"</(?:script|style)\s*>", rf"(?is)<(script|style){ATTRS}>.*?</\1\s*>"))
 
 
 def _entity_tables() -> dict[str, dict[str, str]]:

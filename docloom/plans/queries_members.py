@@ -148,10 +148,10 @@ def show_repr(t):
 
 
 @query("c11_is_package", SYM + """ SELECT name, name = CASE WHEN type_qual = 'module' THEN modname ELSE parent_qual END
-AND type_qual = 'module' AS is_package FROM sym WHERE parent_qual IS NOT NULL OR type_qual = 'module'""")
+AND type_qual = 'module' AS is_package FROM sym""")
 def is_package(t):
     package = F.when(col("type_qual") == "module", col("modname")).otherwise(col("parent_qual"))
-    return t.sym().filter((col("type_qual") == "module") | col("parent_qual").isNotNull()).select(
+    return t.sym().select(
         "name", O.is_package(col("name"), package).alias("is_package"))
 
 

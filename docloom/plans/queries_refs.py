@@ -124,7 +124,7 @@ THROUGH = """, req AS (SELECT m.modname, concat('imp', p, '.', s.name) AS q, p F
   FROM sym s JOIN classes c ON c.modname = s.modname AND c.qualname = s.parent_qual) s
 JOIN mods m ON m.mod_id = s.p % 5
 UNION ALL SELECT concat('no', modname), qualname, NULL FROM sym WHERE type_qual = 'type'
-UNION ALL SELECT modname, qualname, NULL FROM sym WHERE type_qual <> 'int')"""
+UNION ALL SELECT modname, qualname, NULL FROM sym)"""
 
 
 def _through(t):
@@ -139,7 +139,7 @@ def _through(t):
         "modname", F.concat(F.lit("imp"), "p", F.lit("."), "name").alias("qualname"))
     no_module = sym.filter("type_qual = 'type'").select(
         F.concat(F.lit("no"), "modname").alias("modname"), "qualname")
-    plain = sym.filter("type_qual <> 'int'").select("modname", "qualname")
+    plain = sym.select("modname", "qualname")
     return aliased.union(no_module).union(plain)
 
 

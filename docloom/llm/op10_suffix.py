@@ -11,7 +11,8 @@ can begin, the one with the least code is taken, so two equal strings pick the s
 about a sixteenth of all positions is sorted. A picked position stands for the run of
 strings that pick it. The second round ranks whole runs of shared picks: a run that occurs
 in a smaller document goes as a whole. Only first occurrences are left for the third round,
-which ranks their single 50-byte strings. Ranks of the last two rounds are 128-bit codes.
+which ranks their single 50-byte strings. A rank is a 64-bit code of the bytes; two strings
+of a table of n ranked ones get the same by chance with n * n / 2^65.
 
 Exact copies of a text are settled by one aggregate before. Within a batch of documents a
 rank is sent once, by its smallest document; the others are known to be shared and travel
@@ -60,33 +61,17 @@ def ranks(data: np.ndarray, length: int, salt: np.uint64) -> np.ndarray:
 
 
 def picks(codes: np.ndarray, span: int) -> np.ndarray:
-    """For each start, the position of the least code among `span` from it (the first such)."""
-    low, have = codes, 1
+    """For each start, the position of the least code (by its upper half) among `span`, the first such.
+
+    Upper half and position share one number, so a sliding minimum gives both.
+    """
+    half = np.uint64(32)
+    low, have = (codes >> half << half) | np.arange(len(codes), dtype=np.uint64), 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[:len(low) - step], low[step:])
         have += step
-    # The position of the minimum: the next one from each start that equals it.
-    n = len(low)
-    best = np.empty(n, np.int64)
-    change = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    ends = np.append(change[1:], n)
-    best[:] = -1
-    for at in range(span):
-        open_ = change[best[change] < 0]
-        if not len(open_):
-            break
-        hit = open_[codes[open_ + at] == low[open_]]
-        best[hit] = hit + at
-    first = np.repeat(best[change], ends - change)
-    # Inside a stretch of one minimum, a later equal position takes over once the first is passed.
-    late = np.flatnonzero(first < np.arange(n))
-    for i in late:
-        j = max(i, first[i - 1] if i and low[i - 1] == low[i] else 0)
-        while codes[j] != low[i]:
-            j += 1
-        first[i] = j
-    return first
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +90,9 @@ def _bytes(text: str | None) -> np.ndarray:
 
 def _once(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row is of the smallest document of its key, key is shared) within a batch."""
-    order = np.lexsort((docs, *keys.T))
+    order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+    new = np.concatenate([[True], k[1:] != k[:-1]])
     group = np.cumsum(new) - 1
     low = d[np.flatnonzero(new)][group]
     high = d[np.append(np.flatnonzero(new)[1:], len(d)) - 1][group]
@@ -116,18 +101,15 @@ def _once(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smallest, shared
 
 
-_ROW = "c1 long, c2 long, row long, doc_id long, a int, b int, low boolean, known boolean"
+_ROW = "code long, row long, doc_id long, a int, b int, low boolean, known boolean"
 
 
 def _frame(keys, row, doc, a, b) -> pd.DataFrame:
     """Rows to sort. Those of a key's larger documents are settled here and get keys of their own."""
     low, shared = _once(keys, doc)
     keys = keys.copy()
-    own = _mix(row[~low].astype(np.uint64) * _B + a[~low].astype(np.uint64))
-    keys[~low, 0] = own
-    keys[~low, 1] = _mix(own + _A)
-    k = keys.view(np.int64)
-    return pd.DataFrame({"c1": k[:, 0], "c2": k[:, 1], "row": row, "doc_id": doc, "a": a, "b": b,
+    keys[~low] = _mix(row[~low].astype(np.uint64) * _B + a[~low].astype(np.uint64))
+    return pd.DataFrame({"code": keys.view(np.int64), "row": row, "doc_id": doc, "a": a, "b": b,
                          "low": low, "known": shared})
 
 
@@ -142,7 +124,7 @@ def _first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.append((code[keep], np.full(len(keep), row), np.full(len(keep), doc), at[keep]))
         if found:
             code, row, doc, at = (np.concatenate(x) for x in zip(*found))
-            yield _frame(np.stack([code, np.zeros_like(code)], 1), row, doc, at.astype(np.int32),
+            yield _frame(code, row, doc, at.astype(np.int32),
                          np.zeros(len(at), np.int32))
 
 
@@ -156,17 +138,11 @@ def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep = np.isin(at, np.asarray(picked))
             begin, last = begin[keep], last[keep]
             size = last - begin
-            c = []
-            for salt in (_A, _B):
-                full = ranks(data, LENGTH, salt)
-                # A run is a chain of overlapping strings; its code sums theirs, place by place.
-                place = _mix(np.arange(LENGTH, dtype=np.uint64) + salt) | np.uint64(1)
-                total = _mix(size.astype(np.uint64) + salt)
-                for j in range(int(size.max()) + 1 if len(size) else 0):
-                    on = np.flatnonzero(size >= j)
-                    total[on] += full[begin[on] + j] * place[j]
-                c.append(_mix(total))
-            found.append((np.stack(c, 1), np.full(len(begin), row), np.full(len(begin), doc), begin, last))
+            full = ranks(data, LENGTH, _A)
+            # A run's code sums those of its strings: equal sums mean equal strings, in whatever order.
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(full, dtype=np.uint64)])
+            code = _pair(sums[last + 1] - sums[begin], size.astype(np.uint64), _A)
+            found.append((code, np.full(len(begin), row), np.full(len(begin), doc), begin, last))
         if found:
             keys, row, doc, a, b = (np.concatenate(x) for x in zip(*found))
             yield _frame(keys, row, doc, a.astype(np.int32), b.astype(np.int32))
@@ -179,17 +155,16 @@ def _third_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, doc, text, left in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["left"]):
             data = _bytes(text)
             starts = np.unique(np.concatenate([np.arange(x["a"], x["b"] + 1) for x in left]))
-            keys = np.stack([ranks(data, LENGTH, salt)[starts] for salt in (_A, _B)], 1)
-            found.append((keys, np.full(len(starts), row), np.full(len(starts), doc), starts))
+            found.append((ranks(data, LENGTH, _A)[starts], np.full(len(starts), row), np.full(len(starts), doc), starts))
         if found:
             keys, row, doc, a = (np.concatenate(x) for x in zip(*found))
             a = a.astype(np.int32)
             yield _frame(keys, row, doc, a, a)
 
 
-def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
+def _ranked(rows: DataFrame) -> DataFrame:
     """The least and greatest document of every rank, beside each of its rows."""
-    rank = Window.partitionBy(*keys)
+    rank = Window.partitionBy("code")
     return rows.withColumns({"least": F.min("doc_id").over(rank), "most": F.max("doc_id").over(rank)})
 
 
@@ -235,16 +210,18 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
               .filter("n > 1"))
     copies = _settled(coded.join(copies, "code").filter("doc_id > first").select("row"))
     wide = docs.filter("doc_id IS NOT NULL")
-    rows = wide.join(copies, "row", "left_anti").mapInPandas(_first_round, _ROW)
-    shared = _ranked(rows.select("c1", "row", "doc_id", "a", "known"), "c1") \
+    rows = wide.mapInPandas(_first_round, _ROW)
+    shared = _ranked(rows.select("code", "row", "doc_id", "a", "known")) \
         .filter("known OR least < most").select("row", "a")
-    picked = _settled(shared.groupBy("row").agg(F.collect_set("a").alias("picked")))
+    # Copies are settled, and whatever they hold is held by the document that they copy.
+    picked = shared.join(copies, "row", "left_anti").groupBy("row").agg(F.collect_set("a").alias("picked"))
+    picked = _settled(picked)
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
-    second = _settled(_ranked(rows, "c1", "c2").select(
+    second = _settled(_ranked(rows).select(
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
     left = (second.filter("NOT gone").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("left")))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
-    third = _ranked(rows, "c1", "c2").filter("NOT low OR least < doc_id").select("row", "a", "b")
+    third = _ranked(rows).filter("NOT low OR least < doc_id").select("row", "a", "b")
     gone = (second.filter("gone").select("row", "a", "b").unionByName(third)
             .groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
     gone = _settled(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")

@@ -107,7 +107,7 @@ def test_repeated_substrings_of_odd_rows(odd):
 @pytest.mark.parametrize("size", [12, 20, 31])
 def test_picks_are_the_first_least(size):
     import numpy as np
-    codes = np.random.default_rng(size).integers(0, 4, 200).astype(np.uint64)
+    codes = np.random.default_rng(size).integers(0, 4, 200).astype(np.uint64) << np.uint64(40)
     got = op10_suffix.picks(codes, size)
     assert got.tolist() == [i + int(codes[i:i + size].argmin()) for i in range(200 - size + 1)]
 

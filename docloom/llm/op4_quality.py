@@ -52,8 +52,9 @@ def figures(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", text.alias("t"), words(F.col("text")).alias("w"))
     base = base.select("doc_id", "t", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("c"))
     n = F.size("w")
+    # Single elements: `slice` would copy the whole array for every window.
     base = base.select("doc_id", "t", "w", F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(1), n - WINDOW + 1), lambda s: F.xxhash64(F.slice("c", s, WINDOW))))
+        F.sequence(F.lit(0), n - WINDOW), lambda s: F.xxhash64(*[F.get("c", s + k) for k in range(WINDOW)])))
         .otherwise(F.array().cast("array<bigint>")).alias("h"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.select("doc_id", "t", "w", "h", lines.alias("lines"))

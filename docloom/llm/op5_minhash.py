@@ -7,9 +7,9 @@ candidates; every link is confirmed on the full shingle sets.
 Work is done on distinct shingle sets: exact copies join the class of the smallest doc_id
 by one aggregate. In each bucket, members are first compared with one pivot, in a few
 rounds with other pivots; what is linked then needs no further test, since only components
-are asked for. Pairs of a bucket that still lie in different components and whose sizes
-allow the similarity are all compared at the end, so no link between different texts of
-a bucket is lost.
+are asked for. Members of buckets that still hold several components meet at the end by the
+rarest shingles of their sets (prefix filter with bounds on sizes and places, which no
+similar pair fails), so no link between different texts of a bucket is lost.
 
 Null and blank texts have an empty set and are linked with nothing. A text of fewer words
 than a shingle is one shingle. Rows without doc_id are documents of their own with a null
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import durable, query, table
@@ -134,6 +134,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of `rows` (id, n, component) in different components that may be similar.
+
+    With the shingles of every set in one order, rarest first, two similar sets share one
+    of their first `n - ceil(n * percent / 100) + 1` shingles, and at the first shared one
+    enough of both sets is still to come. Both are necessary, so no similar pair is lost.
+    """
+    tokens = (sets.join(rows.select("id"), "id", "left_semi")
+              .select("id", F.explode("shingles").alias("token")))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    head = (tokens.join(common, "token", "left")
+            .select("id", "token", F.coalesce("df", F.lit(1)).alias("df"))
+            .withColumn("place", place).join(rows, "id")
+            .filter(F.expr(f"place * 100 <= n * {100 - percent} + 100"))
+            .filter("df > 1"))
+    head = durable(head.select("id", "token", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")))
+    other = head.select("token", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "component", "left")])
+    most = "least(left, p_left)"
+    return (head.join(other, "token")
+            .filter("id < p_id AND component != p_component")
+            .filter(F.expr(f"{most} * 100 >= (n + p_n - {most}) * {percent}"))
+            .select(F.col("id").alias("a"), F.col("p_id").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
                     rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row."""
@@ -173,15 +198,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
         label = (banded.select("id").distinct().join(parts, "id", "left")
                  .select("id", F.coalesce("component", "id").alias("component")))
         label = durable(label)
-    # What is left: pairs of one bucket in different components, whatever the pivot.
+    # What is left: members of one bucket in different components, whatever the pivot.
     now = banded.join(label, "id")
     open_keys = (now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .filter("low < high").select("key"))
-    rest = now.join(open_keys, "key")
-    other = rest.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"),
-                        F.col("component").alias("pc"))
-    pairs = (rest.join(other, "key").filter("component < pc").filter(fits)
-             .select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
+    rest = durable(now.join(open_keys, "key").select("id", "n", "component").distinct())
+    pairs = _prefix_pairs(rest, sets, percent)
     links = links.unionByName(_confirmed(pairs, sets, percent)).unionByName(ties)
     parts = durable(components(links))
     found = (member.join(classes.select("whole", "id"), "whole").groupBy("doc_id")

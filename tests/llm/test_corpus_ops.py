@@ -67,6 +67,25 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == brute_components(rows)
 
 
+def test_a_bucket_of_copies_too_far_to_link(docs):
+    """Every text shares buckets with most others, few are similar enough, none next to the pivot."""
+    base, rows = words(120, 7), []
+    for i in range(60):
+        r = random.Random(i)
+        text = list(base)
+        for at in range(0, 120, 12 if i % 3 else 24):
+            text[min(119, at + r.randrange(12))] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    for i in range(0, 60, 7):
+        rows.append((100 + i, rows[i][1] + " tail"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_minhash.near_duplicates(docs(rows)).collect()}
+    assert got == brute_components(rows)
+    assert 20 < len({c for _, c in got.values()}) < len(rows)
+    one = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in op5_minhash.near_duplicates(docs(rows), rounds=1).collect()}
+    assert one == got
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = op5_minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)

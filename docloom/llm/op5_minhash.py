@@ -19,7 +19,6 @@ the input are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +33,16 @@ SIZE, PERCENT = 5, 85
 ROWS, BANDS = 10, 48
 ROUNDS = 2
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SMALL = {c: c + 32 for c in range(65, 91)}
+class Known(dict):
+    """64-bit codes of the words seen so far; emptied when there are many."""
 
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def _codes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """A 64-bit code of each word; `known` keeps those seen before."""
-    import xxhash
-
-    out = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            if len(known) > 300_000:
-                known.clear()
-            c = known[w] = xxhash.xxh3_64_intdigest(w.encode())
-        out.append(c)
-    return np.array(out, np.uint64)
+        if len(self) > 300_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,9 +51,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_codes(text: str | None, size: int, known: dict[str, int]) -> np.ndarray:
+def word_codes(text: str | None, known: Known) -> np.ndarray:
+    """A code of every word; on bytes, `lower` and `split` know ASCII letters and gaps only."""
+    words = (text or "").encode().lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_codes(text: str | None, size: int, known: Known) -> np.ndarray:
     """Sorted distinct 64-bit codes of the word shingles of a text."""
-    codes = _codes(_WORD.findall((text or "").translate(_SMALL)), known)
+    codes = word_codes(text, known)
     if not len(codes):
         return codes
     width = min(size, len(codes))
@@ -101,7 +99,7 @@ def sign(docs: DataFrame, size: int = SIZE, rows: int = ROWS, bands: int = BANDS
         a = rng.integers(0, 1 << 32, half, np.uint32) | np.uint32(1)
         b = rng.integers(0, 1 << 32, half, np.uint32)
         order = _band_order(2 * half)
-        known: dict[str, int] = {}
+        known = Known()
         for pdf in batches:
             n, whole, keys = [], [], []
             for text in pdf["text"]:
@@ -217,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = Known()
         for pdf in batches:
             yield pd.DataFrame({
                 "id": pdf["doc_id"], "shingles": [shingle_codes(t, size, known).view(np.int64)

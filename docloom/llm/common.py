@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import durable
+from docloom import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -32,6 +32,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """`session.durable`, whose shuffle files go as soon as the result is written.
+
+    They are of no use behind a checkpoint, and would otherwise stay until the driver
+    happens to collect its garbage.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return session.durable(df)
+    finally:
+        conf.set(key, before)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, with Arrow batches of at most 500 rows, so that long texts fit a Python worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

@@ -26,7 +26,6 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -194,37 +193,29 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Write a round's result to the shared folder and let Spark drop the shuffle files behind it."""
-    out = durable(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """One row for each input row: its size, what repeats smaller documents, and what is left."""
     docs = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     coded = docs.select("row", "doc_id", F.sha2("text", 256).alias("code"))
     copies = (coded.filter("doc_id IS NOT NULL").groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
               .filter("n > 1"))
-    copies = _settled(coded.join(copies, "code").filter("doc_id > first").select("row"))
+    copies = durable(coded.join(copies, "code").filter("doc_id > first").select("row"))
     wide = docs.filter("doc_id IS NOT NULL")
     rows = wide.mapInPandas(_first_round, _ROW)
     shared = _ranked(rows.select("code", "row", "doc_id", "a", "known")) \
         .filter("known OR least < most").select("row", "a")
     # Copies are settled, and whatever they hold is held by the document that they copy.
     picked = shared.join(copies, "row", "left_anti").groupBy("row").agg(F.collect_set("a").alias("picked"))
-    picked = _settled(picked)
+    picked = durable(picked)
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
-    second = _settled(_ranked(rows).select(
+    second = durable(_ranked(rows).select(
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
     left = (second.filter("NOT gone").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("left")))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
     third = _ranked(rows).filter("NOT low OR least < doc_id").select("row", "a", "b")
     gone = (second.filter("gone").select("row", "a", "b").unionByName(third)
             .groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
-    gone = _settled(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")
+    gone = durable(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")
                     .select("row", "gone", F.coalesce("copy", F.lit(False)).alias("copy")))
     return (docs.join(gone, "row", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")
             .mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"

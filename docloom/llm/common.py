@@ -42,7 +42,8 @@ def durable(df: DataFrame) -> DataFrame:
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return session.durable(df)
+        # The setting holds for frames made under it, so `df` is made anew.
+        return session.durable(df.select("*"))
     finally:
         conf.set(key, before)
 

@@ -162,6 +162,45 @@ def test_passages_are_found_and_clean_texts_left_alone(docs):
         assert r.end - r.start >= 75 and r.identity >= 0.9
 
 
+@pytest.mark.parametrize("gap", [20, 31, 60, 100, 150])
+def test_passages_on_either_side_of_unshared_words(docs, gap):
+    first, second = words(60, 51), words(60, 52)
+    rows = [(i, " ".join(words(30, 500 + i) + first + words(gap, 600 + i) + second + words(30, 700 + i)))
+            for i in (1, 2)]
+    got = sorted((r.start, r.end, r.source_start, r.source_end) for r in op1_chaining.passages(docs(rows)).collect())
+    # Up to 30 unshared words leave one passage of identity 0.8.
+    ends = [(30, 150 + gap)] if gap <= 30 else [(30, 90), (90 + gap, 150 + gap)]
+    assert len(got) == len(ends)
+    for (a, b, c, d), (low, high) in zip(got, ends):
+        # Words that are equal by chance may lengthen a passage while its identity allows.
+        assert a <= low and c <= low and b >= high and d >= high and max(b - a, d - c) <= (high - low) * 1.25 + 5
+
+
+def test_parts_equal_brute_force():
+    import numpy as np
+    for seed in range(8):
+        r = random.Random(seed)
+        x = y = -1
+        places = []
+        for k in range(160):
+            odd = r.random() < (0.1 if k // 40 % 2 else 0.3)
+            x, y = x + 1 + odd * r.randrange(3), y + 1 + odd * r.randrange(3)
+            places.append((x, y))
+
+        def longest(a, b):
+            best = (0, 0, 0)
+            for p in range(a, b):
+                for q in range(p, b):
+                    size = [places[q][s] - places[p][s] + 1 for s in (0, 1)]
+                    if min(size) >= 50 and 5 * (q - p + 1) >= 4 * max(size):
+                        best = max(best, (q - p + 1, -p, q))
+            n, p, q = best[0], -best[1], best[2]
+            return [*longest(a, p), (p, q), *longest(q + 1, b)] if n else []
+
+        xs, ys = (np.array(v) for v in zip(*places))
+        assert op1_chaining.parts(xs, ys) == longest(0, len(places))
+
+
 def test_chains_equal_quadratic_programming():
     import numpy as np
     r = random.Random(2)

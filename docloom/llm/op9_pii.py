@@ -14,9 +14,10 @@ equal values get equal pseudonyms in all documents and different values differen
 | phone, national | `+1 (ddd) ddd-dddd`, `ddd-ddd-dddd`, `ddd-dd-dddd`: digits; a leading 0-1 of a group and 2-9 stay apart |
 | address | four octets: each within its number of digits |
 | mail | letters and digits before the `@` |
-| secret | letters and digits of `AKIA...` keys and of `password=` and `token = "..."` values |
+| secret | letters and digits of `AKIA...` keys and of `password=` and `token = "..."` values, markers in any case and spacing |
 
-Values that fail validation stay as they are. Null texts stay null; empty texts stay empty.
+A run of numbers is searched for cards from left to right, the longest first at each number;
+what belongs to no card is judged number by number. Values that fail validation stay as they are. Null texts stay null; empty texts stay empty.
 Repeated rows are treated alike; other columns are kept, whatever their names, but for one
 named like `changed`, which is replaced.
 """
@@ -35,16 +36,20 @@ TURNS = 8
 KINDS = ("mail", "secret", "phone", "national", "date", "address", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# What stands before a secret; it belongs to the match and stays.
+_MARK = r"(?i:password\s*+=\s*+[\"']?+|token\s*+=\s*+[\"'])"
+_CARD = r"\d(?:[ -]?\d){12,18}"
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-              r"|(?<=password=)[A-Za-z0-9]+|(?<=token = \")[A-Za-z0-9]+",
+    "mail": rf"(?<![A-Za-z0-9._%+-]){_MAIL}",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{_MARK}(?!{_MAIL})[A-Za-z0-9]+",
     "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])"
             r"|(?<![\d./])\d\d([./])\d\d\1(?:19|20)\d\d(?![\d/])",
     "address": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # The whole run of numbers; `pieces` finds the cards in it.
+    "card": r"(?<![\d-])(?=\d(?:[ -]?\d){12})\d[\d -]*\d(?![\d-])",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -176,15 +181,50 @@ def _date(value: Column, key: str) -> Column:
     return F.when(valid, F.element_at(F.transform(F.array(moved), shown), 1)).otherwise(value)
 
 
+def pieces(value: Column) -> Column:
+    """The parts of a found value: cards and single numbers of a run, anything else whole."""
+    groups = F.split(value, " ")
+    numbers = F.sequence(F.lit(0), F.size(groups) - 1)
+    # Single numbers with a kind of their own are no part of a card.
+    own = "|".join(PATTERNS[k] for k in ("phone", "national", "date"))
+
+    def joined(i: Column, j: Column) -> Column:
+        return F.array_join(F.slice(groups, i + 1, j - i + 1), " ")
+
+    def valid(i: Column, j: Column) -> Column:
+        return F.when(joined(i, j).rlike(f"^{_CARD}$"),
+                      (F.pmod(_luhn(_digits(joined(i, j)), 0), F.lit(10)) == 0)
+                      & ~F.exists(F.slice(groups, i + 1, j - i + 1), lambda g: g.rlike(f"^(?:{own})$"))) \
+            .otherwise(F.lit(False))
+
+    last = F.transform(numbers, lambda i: F.array_max(F.filter(
+        F.sequence(i, F.least(i + 18, F.size(groups) - 1)), lambda j: valid(i, j))))
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def walk(ends: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            end = F.coalesce(F.element_at(ends, i + 1), i)
+            return F.when(i <= s["end"], s).otherwise(F.struct(
+                end.alias("end"), F.concat(s["out"], F.array(joined(i, end))).alias("out")))
+        return F.aggregate(numbers, start, step, lambda s: s["out"])
+
+    run = value.rlike(f"^(?:{PATTERNS['card']})$")
+    return F.when(run, F.element_at(F.transform(F.array(last), walk), 1)).otherwise(F.array(value))
+
+
 def kind_of(value: Column) -> Column:
+    """The kind whose pattern found the value; null for a number without one."""
     whole = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
-    return reduce(lambda out, k: out.when(whole(k), k), [*KINDS[2:]],
-                  F.when(value.contains("@"), "mail")) .otherwise("secret")
+    return reduce(lambda out, k: out.when(whole(k), k), KINDS[2:-1],
+                  F.when(whole("secret"), "secret").when(value.contains("@"), "mail")) \
+        .when(value.rlike(f"^{_CARD}$"), "card")
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one found value."""
+    """The pseudonym of one piece of a found value."""
     kind, none = kind_of(value), F.lit(0)
+    mark = F.regexp_extract(value, f"^{_MARK}", 0)
+    bare = F.substring(value, F.char_length(mark) + 1, F.char_length(value))
     return (F.when(kind == "mail", F.concat(
                 _characters(F.substring_index(value, "@", 1), none, "mail", key), F.lit("@"),
                 F.substring_index(value, "@", -1)))
@@ -195,7 +235,9 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
             .when(kind == "date", _date(value, key))
             .when(kind == "address", _address(value, key))
             .when(kind == "card", _card(value, key))
-            .otherwise(_characters(value, F.when(value.rlike("^AKIA[A-Z0-9]{16}$"), 4).otherwise(0), "secret", key)))
+            .when(kind == "secret", F.concat(mark, _characters(
+                bare, F.when(bare.rlike("^AKIA[A-Z0-9]{16}$"), 4).otherwise(0), "secret", key)))
+            .otherwise(value))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
@@ -208,12 +250,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
     found, fresh = (next(c for c in (stem + "_" * k for k in range(len(taken) + 1)) if c not in taken)
                     for stem in ("found", "fresh"))
     whole = F.col(text)
-    has = whole.rlike("[0-9@]|password=|token = ") & whole.rlike(ANY)
-    parts = docs.select("*", F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias(found))
-    parts = parts.withColumn(fresh, F.transform(found, lambda v: pseudonym(v, key)))
-    gaps = F.split(whole, ANY, -1)
+    has = whole.rlike(r"[0-9@]|(?i:password|token)\s*+=") & whole.rlike(ANY)
+    parts = docs.select("*", F.when(has, F.transform(
+        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces)).alias(found))
+    parts = parts.withColumn(fresh, F.transform(F.flatten(found), lambda v: pseudonym(v, key)))
+    # A space stands between the pieces of a value.
+    gaps = F.flatten(F.zip_with(F.split(whole, ANY, -1), F.col(found), lambda g, ps: F.when(
+        ps.isNull(), F.array(g)).otherwise(F.concat(F.array(g), F.array_repeat(F.lit(" "), F.size(ps) - 1)))))
     joined = F.array_join(F.zip_with(gaps, F.col(fresh), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    n = F.size(F.filter(F.zip_with(found, fresh, lambda a, b: a != b), lambda d: d))
+    n = F.size(F.filter(F.zip_with(F.flatten(found), fresh, lambda a, b: a != b), lambda d: d))
     any_ = F.col(found).isNotNull()
     out = parts.withColumns({text: F.when(any_, joined).otherwise(whole),
                              changed: F.coalesce(F.when(any_, n), F.lit(0)).cast("bigint")})

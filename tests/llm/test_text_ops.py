@@ -144,6 +144,31 @@ def test_pseudonyms_keep_format_and_links(docs):
         assert old not in got[0].text
 
 
+
+def test_secrets_in_any_case_and_spacing(docs):
+    lines = ['TOKEN = "9233A8BC04"', "token='9233a8bc04'", "Password=hunter2x", 'PASSWORD  =  "hunter2x"',
+             "password=1234567890123456", "password=4387513035237269", "password=hunter"]
+    got = [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(lines)))).orderBy("doc_id").collect()]
+    for old, new in zip(lines, got):
+        value = re.search(r"\w+\W*$", old)[0]
+        assert new != old and value not in new and new.startswith(old[:-len(value)]) and len(new) == len(old)
+    assert re.search("=(.*)", got[2])[1] == re.search('"(.*)"', got[3])[1]
+    kept = ["password is set", "token = word", "the token"]
+    assert [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(kept)))).orderBy("doc_id").collect()] == kept
+
+
+def test_cards_beside_other_numbers(docs):
+    card = "4387513035237269"
+    spaced = "4111 1111 1111 1111"
+    lines = [f"{card} 123", f"{card} 7 of 9", f"12 {card}", f"{spaced} 123", f"2024 {spaced} 99", f"123456 {spaced} 123456",
+             f"{spaced} {card}", f"5 2024-02-29 {card}", f"7 555-123-4567 {spaced}"]
+    got = [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(lines)))).orderBy("doc_id").collect()]
+    for old, new in zip(lines, got):
+        assert card not in new and "1111 1111" not in new and re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new)
+    assert "2024-02-29" not in got[7] and "555-123-4567" not in got[8]
+    long = "1234567 " * 3 + "9" * 30_000
+    assert op9_pii.pseudonymise(docs([(1, long)])).first().text[24:] == "9" * 30_000
+
 def test_pseudonyms_are_one_to_one(spark):
     from pyspark.sql import functions as F
     ips = spark.range(300).select(F.concat(F.lit("9.8.7."), "id").alias("v")).filter("v rlike '[.][0-9]$|[.]1?[0-9][0-9]$'")

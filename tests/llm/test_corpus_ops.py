@@ -37,7 +37,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -49,7 +49,7 @@ def brute_components(rows):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((top(a), top(b)))
                 parent[y] = x
     return {i: (len(sets[i]), top(i)) for i in sets}
@@ -256,3 +256,17 @@ def test_pipeline_stages(spark, data):
 def test_every_query_is_registered_once():
     numbers = collections.Counter(re.match(r"op(\d+)_", n)[1] for n in catalog.QUERIES)
     assert numbers == {str(n): 1 for n in range(1, 11)}
+
+
+def test_pipeline_links_copies_of_four_fifths(docs, spark):
+    rows = []
+    for i in range(12):
+        text = words(200, 900 + i)
+        rows.append((i, " ".join(text)))
+        for k in range(3 + i % 3):  # 3, 4 or 5 edits: similarity 0.86, 0.81 or 0.77
+            text[20 + 40 * k % 180] = f"edit{i}x{k}"
+        rows.append((100 + i, " ".join(text)))
+    want = {i for i, (_, c) in brute_components(rows, 80).items() if i == c}
+    assert len(want) == 16
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs(rows), "")
+    assert {r.doc_id for r in got.collect()} == want

@@ -195,11 +195,13 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """One row for each input row: its size, what repeats smaller documents, and what is left."""
-    docs = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # A key made from the data: it holds in every job, however the scan is split. Rows that repeat
+    # both doc_id and text have one key and the same spans.
+    docs = small_batches(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     coded = docs.select("row", "doc_id", F.sha2("text", 256).alias("code"))
     copies = (coded.filter("doc_id IS NOT NULL").groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
               .filter("n > 1"))
-    copies = durable(coded.join(copies, "code").filter("doc_id > first").select("row"))
+    copies = durable(coded.join(copies, "code").filter("doc_id > first").select("row").distinct())
     wide = docs.filter("doc_id IS NOT NULL")
     rows = wide.mapInPandas(_first_round, _ROW)
     shared = _ranked(rows.select("code", "row", "doc_id", "a", "known")) \
@@ -210,11 +212,11 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
     second = durable(_ranked(rows).select(
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
-    left = (second.filter("NOT gone").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("left")))
+    left = (second.filter("NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left")))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
     third = _ranked(rows).filter("NOT low OR least < doc_id").select("row", "a", "b")
     gone = (second.filter("gone").select("row", "a", "b").unionByName(third)
-            .groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("gone")))
+            .groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
     gone = durable(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")
                     .select("row", "gone", F.coalesce("copy", F.lit(False)).alias("copy")))
     return (docs.join(gone, "row", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")

@@ -270,3 +270,26 @@ def test_pipeline_links_copies_of_four_fifths(docs, spark):
     assert len(want) == 16
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs(rows), "")
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_repeated_substrings_when_splits_change_between_jobs(docs, spark, monkeypatch, tmp_path):
+    passage = " ".join(words(30, 3))
+    rows = [(i, " ".join(words(40 + i, 200 + i)) + passage) for i in range(24)] + [(30, "é" * 70)] * 3
+    docs(rows).select("doc_id", "text").repartition(12).write.parquet(str(tmp_path / "d"))
+    key, turn, real = "spark.sql.files.openCostInBytes", [0], op10_suffix.durable
+    before = spark.conf.get(key)
+
+    def other_splits(df):
+        out = real(df)
+        turn[0] += 1
+        spark.conf.set(key, str(1 << (27 if turn[0] % 2 else 10)))
+        return out
+
+    monkeypatch.setattr(op10_suffix, "durable", other_splits)
+    spark.conf.set(key, "1024")
+    try:
+        got = op10_suffix.repeated_substrings(spark.read.parquet(str(tmp_path / "d"))).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removed(rows)

@@ -1,10 +1,10 @@
-"""Exact substring removal by distributed prefix doubling.
+"""Exact substring removal by grouping winnowed fingerprints, in place of prefix doubling.
 
-Positions of all texts are ranked by the first 20 bytes that follow them, then by 40, then
-by 50: the rank at a longer prefix is the pair of the ranks at a position and at an offset
-behind it (20, then 10). Spark sorts the (rank, position) pairs of all documents, and a
-position whose rank is unique to one document drops out; only the others reach the next
-round.
+This is not distributed prefix doubling: no rank that Spark sorted is carried to a later
+round. Doubling is only used within a Python task, to hash the bytes that follow a position.
+Spark groups those codes in three rounds: 20-byte codes of picked positions, sums of 50-byte
+codes over runs of positions, and 50-byte codes of single positions; what no other document
+shares drops out between rounds.
 
 The first round is sparse. Of the 31 positions at which a 20-byte piece of a 50-byte string
 can begin, the one with the least code is taken, so two equal strings pick the same one and

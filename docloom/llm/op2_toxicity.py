@@ -1,13 +1,13 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses.
+"""Toxicity by a damped sum of lexicon weights over clauses.
 
-Five transducers are composed on the words of a clause: insults and threats (weighted word
-and word-beginning lexicons), targets (address forms), negation and reported speech. One
-pass over the words runs the composed machine: its state holds how many words a negation
-still reaches and whether speech is reported; each insult or threat leaves its weight,
-damped in those states and raised when a target is near. The clause is what is matched;
-isolated words do not decide, and a document's evidence is its clauses' weights.
+This replaces a composition of separate insult and threat transducers, which is not made:
+there is one learnt lexicon with one weight a word and no pattern of several words, so a
+single word can decide, and a threat made of ordinary words has no pattern. One pass over
+the words of a clause holds how many words a negation still reaches and whether speech is
+reported; each lexicon word leaves its weight, damped in those states and raised when a
+target is near. A document's evidence is its clauses' weights.
 
-The insult and threat lexicon is learnt from labelled rows: beginnings of 4 to 6 letters
+The lexicon is learnt from labelled rows: beginnings of 4 to 6 letters
 and whole words that are much likelier in toxic texts. At most `SAMPLE` rows of each
 label are read for it, chosen by a hash of the text, not by order; the final calibration
 is a logistic curve fitted on the same rows. Labels, language, source and doc_id never
@@ -59,7 +59,7 @@ def features(text: str | None) -> set[str]:
 
 
 class Grammar:
-    """The composed machine; `weights` is the learnt lexicon."""
+    """The machine over the words of a clause; `weights` is the learnt lexicon."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights

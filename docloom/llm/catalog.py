@@ -11,6 +11,9 @@ from docloom.llm import (  # noqa: F401
     op8_token_counts,
     op9_pii,
     op10_suffix,
+    op11_chat,
+    op12_resample,
+    op13_periodic,
 )
 from docloom.llm.common import CHECK_SQL, QUERIES
 

@@ -108,12 +108,12 @@ def is_callable(callable_: Column, func_callable: Column) -> Column:
     return _no(callable_) | _no(func_callable)
 
 
-def is_function_like(has_func: Column, callable_: Column, type_name: Column,
-                     func_callable: Column, func_type_name: Column) -> Column:
-    """Innermost wrapped object is callable and not a type (one wrapper deep)."""
+def is_function_like(wraps: Column, callable_: Column, type_name: Column,
+                     inner_callable: Column, inner_type_name: Column) -> Column:
+    """The innermost wrapped object, or the object itself if it wraps none, is callable and not a type."""
     own = _no(callable_) & ~_no(type_name == "type")
-    inner = _no(func_callable) & ~_no(func_type_name == "type")
-    return F.when(_no(has_func), inner).otherwise(own)
+    inner = _no(inner_callable) & ~_no(inner_type_name == "type")
+    return F.when(F.coalesce(wraps, F.lit(0)) > 0, inner).otherwise(own)
 
 
 def owns_doc(doc: Column, is_type: Column, type_doc: Column) -> Column:

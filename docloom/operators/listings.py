@@ -67,16 +67,14 @@ def member_rows(members: DataFrame, objects: DataFrame, web: bool = False) -> Da
     has_set, has_del, params, function_like, repr, summary, body. A ref that leads
     nowhere keeps its own row, without details.
     """
-    refs = members.filter("is_ref AND parent_qual IS NULL").select(
-        col("parent_mod").alias("modname"), "member_name", "target_mod", "target_qual")
-    ends = R.resolve_aliases(refs).select(
-        col("modname").alias("_m"), col("member_name").alias("_n"), "final_mod", "final_qual")
+    place_qual = N.child(col("parent_qual"), col("member_name"))
+    refs = members.filter("is_ref").select(
+        col("parent_mod").alias("modname"), place_qual.alias("qualname"), "target_mod", "target_qual")
+    ends = R.resolve_refs(refs).select(
+        col("modname").alias("_m"), col("qualname").alias("_n"), "final_mod", "final_qual")
     led = members.join(
-        ends,
-        (col("parent_mod") == col("_m")) & (col("member_name") == col("_n"))
-        & col("is_ref") & col("parent_qual").isNull(), "left",
+        ends, (col("parent_mod") == col("_m")) & (place_qual == col("_n")) & col("is_ref"), "left",
     ).drop("_m", "_n")
-    place_qual = N.child(col("parent_qual"), col("member_name"))
     at_mod = F.when(col("is_ref"), F.coalesce("final_mod", "target_mod")).otherwise(col("parent_mod"))
     at_qual = F.when(
         col("is_ref"), F.when(col("final_mod").isNotNull(), col("final_qual")).otherwise(col("target_qual"))

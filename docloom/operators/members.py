@@ -71,6 +71,21 @@ def attach_func(objects: DataFrame, payload: list[str]) -> DataFrame:
     ).drop("_m", "_q")
 
 
+def attach_innermost(objects: DataFrame, payload: list[str]) -> DataFrame:
+    """Objects with columns of the innermost function that they wrap, through wrappers of any
+    number (`inner_...`), and `wraps`, how many there are. A role names the whole way inward,
+    so the longest one is the innermost: one aggregate for all depths."""
+    own = objects.filter(col("role") == "self")
+    depth = F.size(F.split("role", r"\."))
+    inner = objects.filter(col("role").rlike(r"^func(\.func)*$")).groupBy(
+        col("modname").alias("_m"), col("qualname").alias("_q")
+    ).agg(F.max(depth).cast("bigint").alias("wraps"), F.max_by(F.struct(*payload), depth).alias("_in"))
+    return own.join(
+        inner, (col("modname") == col("_m")) & col("qualname").eqNullSafe(col("_q")), "left"
+    ).select(*own.columns, F.coalesce("wraps", F.lit(0)).alias("wraps"),
+             *[col(f"_in.{c}").alias(f"inner_{c}") for c in payload])
+
+
 def accessors(objects: DataFrame) -> DataFrame:
     """One row per property and accessor word; `present` tells whether it exists."""
     words = F.array(*[F.lit(w) for w in ("get", "set", "del")])

@@ -96,10 +96,10 @@ def callable_objects(t):
 FROM objects o LEFT JOIN objects f ON f.role = 'func' AND f.modname = o.modname AND f.qualname = o.qualname
 WHERE o.role = 'self'""")
 def function_like(t):
-    joined = M.attach_func(t.objects(), ["callable", "type_name"])
+    joined = M.attach_innermost(t.objects(), ["callable", "type_name"])
     return joined.select("modname", "qualname", O.is_function_like(
-        col("has_func"), col("callable"), col("type_name"), col("func_callable"),
-        col("func_type_name")).alias("function_like"))
+        col("wraps"), col("callable"), col("type_name"), col("inner_callable"),
+        col("inner_type_name")).alias("function_like"))
 
 
 DOC_SQL = """CASE WHEN num % 3 = 0 THEN NULL WHEN num % 3 = 1 THEN concat('about ', type_name)

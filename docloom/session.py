@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def build_session(master: str | None = None, app: str = "docloom", **conf) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.executorEnv.PYTHONPATH",
                 os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")])))
     )
@@ -63,3 +65,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and forget its lineage."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table of its own in the shared checkpoint folder.
+
+    A checkpoint keeps the size that the planner once guessed, which joins multiply; over
+    many rounds that number grows without bound. A written table is known by its files.
+    """
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

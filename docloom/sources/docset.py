@@ -49,41 +49,52 @@ def bad_documents(documents: DataFrame) -> DataFrame:
 def flatten(documents: DataFrame) -> DataFrame:
     """All objects and refs of documents (column `json`), one row each.
 
-    Columns: modname, qualname, parent_qual, name, role, is_ref, ref, node. `role`
-    is `self`, or func/get/set/del for the function inside a wrapper or property.
-    Level by level: each round explodes the `dict` of the last level only. A ref is
-    a leaf, so a loop made of refs is never followed.
+    Columns: modname, qualname, parent_qual, name, role, is_ref, ref, node. `role` is
+    `self`, or tells how the object is wrapped: func, get, set or del for the function
+    inside a wrapper or property, `func.func` for the one inside that, and so on.
+    One frontier moves over both kinds of edges, entries of `dict` and inner functions,
+    until it is empty. A ref is a leaf, so a loop made of refs is never followed.
     """
     none = F.lit(None).cast("string")
     modules = _entries(
         documents, [], _get(F.try_parse_json("json"), "$.modules", "map<string,variant>"), "modname")
     level = durable(modules.select(
-        "modname", none.alias("qualname"), none.alias("parent_qual"),
-        col("modname").alias("name"), _get("node", "$['$ref']").alias("ref"), "node"))
+        "modname", none.alias("qualname"), none.alias("parent_qual"), col("modname").alias("name"),
+        F.lit("self").alias("role"), _get("node", "$['$ref']").alias("ref"), "node"))
     levels = []
     while not level.isEmpty():
         levels.append(level)
-        level = durable(
-            _entries(
-                level.filter("ref IS NULL"), ["modname", col("qualname").alias("parent_qual")],
-                _get("node", "$.dict", "map<string,variant>"), "name",
-            ).select(
-                "modname", N.child(col("parent_qual"), col("name")).alias("qualname"),
-                "parent_qual", "name", _get("node", "$['$ref']").alias("ref"), "node"))
+        level = durable(_below(level.filter("ref IS NULL")))
     every = levels[0] if levels else level
     for part in levels[1:]:
         every = every.unionByName(part)
-    inner = F.array(*[
-        F.struct(F.lit(key).alias("role"), _get("node", f"$.{key}", "variant").alias("node"))
-        for key in NESTED])
-    own = F.array(F.struct(F.lit("self").alias("role"), col("node").alias("node")))
-    present = F.filter(inner, lambda x: x["node"].isNotNull() & ~F.is_variant_null(x["node"]))
+    return every.select(
+        "modname", "qualname", "parent_qual", "name", "role", N.is_ref(col("ref")).alias("is_ref"), "ref", "node")
+
+
+def _below(level: DataFrame) -> DataFrame:
+    """The objects right inside those of a level: members, then wrapped functions and accessors."""
+    def entry(key: str | None, name: Column, node: Column) -> Column:
+        return F.struct(F.lit(key).cast("string").alias("key"), name.alias("name"), node.alias("node"))
+
+    # A member that is a JSON null counts; a missing accessor is written as one and does not.
+    own = F.transform(
+        F.map_entries(_get("node", "$.dict", "map<string,variant>")),
+        lambda e: entry(None, e["key"], e["value"]))
+    inner = F.filter(
+        F.array(*[entry(k, col("name"), _get("node", f"$.{k}", "variant")) for k in NESTED]),
+        lambda e: e["node"].isNotNull() & ~F.is_variant_null(e["node"]))
+    none = F.array().cast("array<struct<key:string,name:string,node:variant>>")
     rows = explode_rows(
-        every, ["modname", "qualname", "parent_qual", "name"], F.concat(own, present), "r")
-    ref = _get(col("r.node"), "$['$ref']")
+        level, ["modname", "qualname", "parent_qual", "role"], F.concat(F.coalesce(own, none), inner), "e")
+    member, role = col("e.key").isNull(), F.when(col("role") != "self", col("role"))
     return rows.select(
-        "modname", "qualname", "parent_qual", "name", col("r.role").alias("role"),
-        N.is_ref(ref).alias("is_ref"), ref.alias("ref"), col("r.node").alias("node"))
+        "modname",
+        F.when(member, N.child(col("qualname"), col("e.name"))).otherwise(col("qualname")).alias("qualname"),
+        F.when(member, col("qualname")).otherwise(col("parent_qual")).alias("parent_qual"),
+        col("e.name").alias("name"),
+        F.when(member, F.lit("self")).otherwise(F.concat_ws(".", role, "e.key")).alias("role"),
+        _get("e.node", "$['$ref']").alias("ref"), col("e.node").alias("node"))
 
 
 def objects(nodes: DataFrame) -> DataFrame:

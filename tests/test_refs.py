@@ -135,3 +135,100 @@ def test_signature_tags_are_parsed_not_run(spark):
         (1, "a", "POSITIONAL_ONLY", None, None), (2, "b", "POSITIONAL_OR_KEYWORD", "3", "int"),
         (3, "c", "VAR_POSITIONAL", None, None), (4, "d", "KEYWORD_ONLY", "None", None),
         (5, "e", "VAR_KEYWORD", None, None)]
+
+
+REF = "modname string, qualname string, target_mod string, target_qual string"
+
+
+def brute_ref(refs, mod, qual, limit=400):
+    """(end, hops) by replacing the first prefix that is a ref, over and over."""
+    hops = 0
+    while hops < limit:
+        parts = qual.split(".") if qual else []
+        for i in range(1, len(parts) + 1):
+            hit = refs.get((mod, ".".join(parts[:i])))
+            if hit:
+                mod, qual = hit[0], ".".join([*(hit[1].split(".") if hit[1] else []), *parts[i:]])
+                hops += 1
+                break
+        else:
+            return (mod, qual or None), hops
+    return None, None
+
+
+def test_refs_at_any_depth_equal_brute_force(spark):
+    import random
+    r = random.Random(4)
+    for _ in range(1):
+        refs = {}
+        for i in range(120):
+            place = ".".join(r.choice("abcd") + str(r.randrange(9)) for _ in range(r.choice([1, 1, 2, 3])))
+            # No ref below another ref: a walk never comes there.
+            ups = [place[:k] for k in range(len(place)) if place[k] == "."]
+            mod = r.choice("mn")
+            if any((mod, u) in refs for u in ups) or any(m == mod and q.startswith(place + ".") for m, q in refs):
+                continue
+            qual = ".".join(r.choice("abcd") + str(r.randrange(9)) for _ in range(r.choice([0, 1, 1, 2, 3])))
+            refs[mod, place] = (r.choice("mn"), qual or None)
+        df = spark.createDataFrame([(*k, *v) for k, v in refs.items()], REF)
+        got = {(x.modname, x.qualname): x for x in R.resolve_refs(df, with_path=True).collect()}
+        assert len(got) == len(refs)
+        for key in refs:
+            end, hops = brute_ref(refs, *key)
+            x = got[key]
+            assert (((x.final_mod, x.final_qual) if end else None), x.hops, x.is_cycle) == (end, hops, end is None), key
+            if end:
+                assert x.path[-1] == ".".join(filter(None, end)) and len(x.path) == hops
+
+
+def test_a_name_through_many_class_refs(spark):
+    n = 30
+    objects = [("m", None), ("m", "x"), *[(f"k{i}", None) for i in range(n + 1)], *[(f"k{i}", "C") for i in range(n + 1)]]
+    aliases = [("m", "p0", "k0", "C"), *[(f"k{i}", f"C.p{i + 1}", f"k{i + 1}", "C") for i in range(n)]]
+    nested = ".".join(f"q{i}" for i in range(30))
+    objects += [(f"k{n}", "C." + ".".join(nested.split(".")[:i])) for i in range(1, 31)]
+    # One ref reaches the end of the line through all others.
+    aliases.append(("m", "far", "m", ".".join(f"p{i}" for i in range(n + 1))))
+    asked = [("m", "far." + nested), ("m", "far.q0.nope.q2"), ("m", "p0.p1.p2"), ("m", "p0.p1.zz.p3"), ("m", "x.y")]
+    got = R.look_up_through(spark.createDataFrame(asked, OBJECT), spark.createDataFrame(objects, OBJECT),
+                            spark.createDataFrame(aliases, ALIAS))
+    assert {r.qualname: (r.status, r.found_mod, r.found_qual, r.missing_name) for r in got.collect()} == {
+        "far." + nested: ("found", f"k{n}", "C." + nested, None),
+        "far.q0.nope.q2": ("missing_name", None, None, "far.q0.nope"), "p0.p1.p2": ("found", "k2", "C", None),
+        "p0.p1.zz.p3": ("missing_name", None, None, "p0.p1.zz"), "x.y": ("missing_name", None, None, "x.y")}
+
+
+def test_closure_equals_brute_force(spark):
+    import random
+    r = random.Random(8)
+    edges = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(70)} | {(f"l{i}", f"l{i + 1}") for i in range(50)}
+    want = {}
+    for start in {a for a, _ in edges}:
+        depth, layer, seen = 1, {b for a, b in edges if a == start}, set()
+        while layer:
+            want.update({(start, x): depth for x in layer})
+            seen |= layer
+            layer = {b for a, b in edges if a in layer} - seen
+            depth += 1
+    got = R.ancestor_closure(spark.createDataFrame(sorted(edges), "child string, base string")).collect()
+    assert {(x.child, x.ancestor): x.depth for x in got} == want
+
+
+def test_orders_equal_those_of_python(spark):
+    import random
+    r = random.Random(5)
+    classes, edges, bad = {"object": object}, [], {}
+    for i in range(60):
+        picked = r.sample(list(classes), min(len(classes), r.choice([1, 1, 2, 3])))
+        name = f"C{i}"
+        try:
+            classes[name] = type(name, tuple(classes[p] for p in picked), {})
+            edges += [(name, k, p) for k, p in enumerate(picked)]
+        except TypeError:
+            bad[name] = None
+            edges += [(name, k, p) for k, p in enumerate(picked)] + [(name + "x", 0, name)]
+            bad[name + "x"] = None
+    edges += [("L1", 0, "L2"), ("L2", 0, "L1")]
+    got = {x.child: x.mro for x in R.linearize(spark.createDataFrame(edges, "child string, pos int, base string")).collect()}
+    want = {n: [k.__name__ for k in c.__mro__] for n, c in classes.items()} | bad | {"L1": None, "L2": None}
+    assert bad and got == want

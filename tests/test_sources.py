@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import objects as O
+from docloom.operators import members as M
 from docloom.operators import refs as R
 from docloom.sources import cache as C
 from docloom.sources import docset as D
@@ -144,6 +145,25 @@ def test_read_docset(spark, tmp_path):
     assert [tuple(r) for r in R.base_edges(D.ref_edges(nodes, "bases")).collect()] == [("m", "C", 0, "m", "B")]
 
 
+def test_wrappers_inside_wrappers(spark):
+    made = {"type_name": "function", "callable": True, "dict": {"inner": {"type_name": "int", "dict": {"deep": {"$ref": "#/modules/n"}}}}}
+    doc = {"modules": {"m": {"type_name": "module", "dict": {"C": {"type_name": "type", "dict": {
+        "w": {"type_name": "classmethod", "callable": False, "func": {"type_name": "staticmethod", "func": {
+            "type_name": "wrapper", "func": made}}},
+        "t": {"type_name": "staticmethod", "func": {"type_name": "wrapper", "func": {"type_name": "type", "callable": True}}},
+        "p": {"type_name": "property", "get": {"type_name": "wrapper", "func": {"type_name": "function"}}, "del": None}}}}}}}
+    nodes = D.flatten(spark.createDataFrame([(json.dumps(doc),)], "json string"))
+    got = {(r.qualname, r.role) for r in nodes.collect()}
+    assert got == {
+        (None, "self"), ("C", "self"), ("C.w", "self"), ("C.w", "func"), ("C.w", "func.func"), ("C.w", "func.func.func"),
+        ("C.w.inner", "self"), ("C.w.inner.deep", "self"), ("C.t", "self"), ("C.t", "func"), ("C.t", "func.func"),
+        ("C.p", "self"), ("C.p", "get"), ("C.p", "get.func")}
+    joined = M.attach_innermost(D.objects(nodes), ["callable", "type_name"])
+    like = {r.qualname: (r.wraps, r.f) for r in joined.select("qualname", "wraps", O.is_function_like(
+        F.col("wraps"), F.col("callable"), F.col("type_name"), F.col("inner_callable"), F.col("inner_type_name")).alias("f")).collect()}
+    assert like["C.w"] == (3, True) and like["C.t"] == (2, False) and like["C.p"] == (0, False) and like["C"] == (0, False)
+
+
 def test_write_docset_round_trip(spark, tmp_path):
     rows = [("m", None), ("m", "A"), ("m", "A.x"), ("m", "A.x.y"), ("m", "B"), ("n", None), ("n", "Z"), ("n", "Z.q")]
     df = spark.createDataFrame(rows, "modname string, qualname string").withColumn(

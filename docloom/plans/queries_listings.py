@@ -11,6 +11,8 @@ from docloom.plans.queries_refs import FOLLOW
 from docloom.plans.queries_text import DEDENT, ESCAPED, MARKUP, TAG_SQL
 from docloom.plans.registry import query
 from docloom.plans.tables import with_views
+from docloom.session import spread
+from docloom.sources import corpus as K
 
 col = F.col
 
@@ -74,15 +76,19 @@ def member_rows(t):
 
 
 @query("g27_page_rows", ROWS_SQL + """
-SELECT modname, qualname, CAST(0 AS BIGINT) AS section, 'Head' AS title, '' AS key FROM sym
-UNION ALL SELECT modname, qualname, 2, 'Documentation', '' FROM sym
-UNION ALL SELECT modname, qualname, 3, 'Type', lpad('0', 19, '0') FROM sym WHERE type_qual = 'type'
-UNION ALL SELECT modname, qualname, 4, 'Parameters', '1.' || lpad(CAST(p AS VARCHAR), 19, '0') FROM detail, (VALUES (1), (2)) v(p)
+SELECT modname, qualname, CAST(0 AS BIGINT) AS section, 'Head' AS title, '' AS key,
+  '{"name":"' || name || '"' || coalesce(',"qualname":"' || qualname || '"', '') || ',"modname":"' || modname || '","type_name":"' || type_qual || '","repr":"<' || name || '>"}' AS json FROM sym
+UNION ALL SELECT modname, qualname, 2, 'Documentation', '', '{"summary":"about ' || name || '","body":"' || CASE WHEN length(name) % 2 = 0 THEN 'more' ELSE '' END || '"}' FROM sym
+UNION ALL SELECT modname, qualname, 3, 'Type', lpad('0', 19, '0'), '{"base_mod":"builtins","base_qual":"object"}' FROM sym WHERE type_qual = 'type'
+UNION ALL SELECT modname, qualname, 4, 'Parameters', '1.' || lpad(CAST(p AS VARCHAR), 19, '0'),
+  '{"part":1,"bullet":"' || CASE p WHEN 1 THEN 'right-circled' ELSE 'cc-nd' END || '","name":"' || CASE p WHEN 1 THEN 'a' ELSE 'b' END || '"}' FROM detail, (VALUES (1), (2)) v(p)
   WHERE signature IS NOT NULL AND (p = 1 OR even)
 UNION ALL SELECT parent_mod, parent_qual, CASE category WHEN 'modules' THEN 5 WHEN 'types' THEN 6 WHEN 'properties' THEN 7 WHEN 'functions' THEN 8 ELSE 9 END,
   CASE category WHEN 'modules' THEN 'Modules' WHEN 'types' THEN CASE WHEN parent_qual IS NULL THEN 'Types' ELSE 'Member Types' END
     WHEN 'properties' THEN 'Properties' WHEN 'functions' THEN CASE WHEN parent_qual IS NULL THEN 'Functions' ELSE 'Methods' END ELSE 'Attributes' END,
-  member_name FROM rows""")
+  member_name, '{"plain_name":"' || plain_name || '"' || coalesce(',"signature":"' || signature || '"', '') || coalesce(',"type_label":"' || type_label || '"', '')
+  || coalesce(',"import_path":"' || import_path || '"', '') || coalesce(',"repr":"' || repr || '"', '') || coalesce(',"summary":"' || summary || '"', '')
+  || ',"has_more":' || has_more || '}' FROM rows""")
 def page_rows(t):
     details = _details(t)
     bases = R.base_edges(details.filter("type_qual = 'type'").select(
@@ -92,7 +98,63 @@ def page_rows(t):
         S.bullet_for(col("p.kind")).alias("bullet"), "p.name",
         F.lit(None).cast("string").alias("doc_type"), F.lit(None).cast("string").alias("doc"))
     rows = L.member_rows(_placed_members(t), details)
-    return L.page_rows(details, rows, signed, bases).drop("json")
+    return L.page_rows(details, rows, signed, bases)
+
+
+def _boxes(t):
+    """A module around every document; its class follows that of the document with half the number."""
+    i, n = col("doc_id").cast("string"), col("n_chars").cast("string")
+    source = F.concat(
+        F.lit('"""About '), "lang", F.lit('."""\nfrom box.m'), F.floor(col("doc_id") / 2).cast("string"),
+        F.lit(' import Box as Base\n__all__ = ("Box", "run")\nclass Box(Base):\n    """A box."""\n    size = '), n,
+        F.lit("\n    far = Base."), F.when(col("doc_id") == 0, "make").otherwise("far"),
+        F.lit('\n    def make(self, a: Base, *, b=2):\n        """Makes it.\n\n        @param a  first of '), i,
+        F.lit('\n        """\nrun = Box.make\ndef _hidden(x, y): pass\n'))
+    return spread(t.read("documents"), "doc_id").select(
+        F.concat(F.lit("box.m"), i).alias("modname"), F.concat(F.lit("box/m"), i, F.lit(".py")).alias("path"), source.alias("source"))
+
+
+def _page(q, section, title, key, json):
+    return f"{{'q': {q}, 's': {section}, 't': '{title}', 'k': '{key}', 'j': {json}}}"
+
+
+def _boxes_sql():
+    """The pages that every module of `_boxes` has, one struct a row."""
+    base = "CASE WHEN doc_id = 0 THEN '{0}' ELSE 'box.m' || (doc_id // 2) || '.{0}' END"
+    made = '"signature":"(self, a, *, b)","type_label":"function"'
+    told = ',"summary":"Makes it.","has_more":false}'
+    first, plain = '{"part":1,"bullet":"right-circled","name":"', "000000000000000000"
+    led = "'{\"plain_name\":\"%s\",%s,\"import_path\":\"' || %s || '\"%s'"
+    return ", ".join([
+        _page("NULL", 0, "Head", "", """'{"name":"box.m' || doc_id || '","modname":"box.m' || doc_id || '","type_name":"module"}'"""),
+        _page("NULL", 2, "Documentation", "", """'{"summary":"About ' || lang || '.","body":""}'"""),
+        _page("NULL", 6, "Types", "Base", led % ("Base", '"type_label":"type"', base.format("Box"), ',"summary":"A box.","has_more":false}')),
+        _page("NULL", 6, "Types", "Box", """'{"plain_name":"Box","type_label":"type","summary":"A box.","has_more":false}'"""),
+        _page("NULL", 8, "Functions", "_hidden", """'{"plain_name":"_hidden","signature":"(x, y)","type_label":"function","has_more":false}'"""),
+        _page("NULL", 8, "Functions", "run", led % ("run", made, "'Box.make'", told)),
+        _page("'Box'", 0, "Head", "", """'{"name":"Box","qualname":"Box","modname":"box.m' || doc_id || '","type_name":"type"}'"""),
+        _page("'Box'", 2, "Documentation", "", """'{"summary":"A box.","body":""}'"""),
+        _page("'Box'", 3, "Type", plain + "0", """'{"base_mod":"box.m' || (doc_id // 2) || '","base_qual":"Box"}'"""),
+        _page("'Box'", 8, "Methods", "far", led % ("far", made, base.format("Box.far").replace("'Box.far'", "'Box.make'"), told)),
+        _page("'Box'", 8, "Methods", "make", f"""'{{"plain_name":"make",{made}{told}'"""),
+        _page("'Box'", 9, "Attributes", "size", """'{"plain_name":"size","type_label":"int","repr":"' || n_chars || '","has_more":false}'"""),
+        _page("'Box.make'", 0, "Head", "", """'{"name":"make","qualname":"Box.make","modname":"box.m' || doc_id || '","type_name":"function"}'"""),
+        _page("'Box.make'", 2, "Documentation", "", """'{"summary":"Makes it.","body":""}'"""),
+        _page("'Box.make'", 4, "Parameters", f"1.{plain}1", f"""'{first}self"}}'"""),
+        _page("'Box.make'", 4, "Parameters", f"1.{plain}2", f"""'{first}a","doc_type":"' || {base.format("Box")} || '","doc":"first of ' || doc_id || '\\n"}}'"""),
+        _page("'Box.make'", 4, "Parameters", f"1.{plain}3", """'{"part":1,"bullet":"cc-nd","name":"b"}'"""),
+        _page("'Box.size'", 0, "Head", "", """'{"name":"size","qualname":"Box.size","modname":"box.m' || doc_id || '","type_name":"int","repr":"' || n_chars || '"}'"""),
+        _page("'_hidden'", 0, "Head", "", """'{"name":"_hidden","qualname":"_hidden","modname":"box.m' || doc_id || '","type_name":"function"}'"""),
+        _page("'_hidden'", 4, "Parameters", f"1.{plain}1", f"""'{first}x"}}'"""),
+        _page("'_hidden'", 4, "Parameters", f"1.{plain}2", f"""'{first}y"}}'"""),
+    ])
+
+
+@query("g27_source_pages", f"""SELECT 'box.m' || doc_id AS modname, r.q AS qualname, CAST(r.s AS BIGINT) AS section, r.t AS title, r.k AS key, r.j AS json
+FROM (SELECT doc_id, unnest([{_boxes_sql()}]) AS r FROM documents)""")
+def source_pages(t):
+    """Pages as JSON from nothing but source texts."""
+    return K.pages(K.build(_boxes(t)))
 
 
 FIRST_PAR = MARKUP.format(ESCAPED.format("array_to_string(list_transform(string_split(par, chr(10)), lambda l: ltrim(l)), ' ')"))

@@ -177,6 +177,46 @@ def extract_imports(t):
     return E.aliases(E.parse_sources(_sources(t)))
 
 
+def _bound_sources(t):
+    """A module around every document that binds its names in many ways."""
+    n, i = col("n_chars").cast("string"), col("doc_id").cast("string")
+    source = F.concat(
+        F.lit("from pkg.base import helper as h\n__all__ = ['run'] + [\"T"), i, F.lit('"]\nrun = None\ndef run(x, y: int = '), n,
+        F.lit('):\n    "Runs."\nclass C'), i, F.lit("(h, metaclass=type):\n    def __p(self, k="), i,
+        F.lit('): "Private."\n    def q(self, v): pass\n    data = property(__p, q)\n    @data.deleter\n    def data(self): pass\n'
+              "    gone = 1\n    del gone\nC"), i,
+        F.lit(".extra = lambda z, *w: z\nh.lost = 1\ntry:\n    T"), i, F.lit(" = ["), n, F.lit("]\nexcept NameError:\n    T"), i,
+        F.lit(" = None\nif (size := "), n, F.lit(") > 3: pass\n__all__ += ('size',)\n__all__.remove('run')\n"))
+    return spread(t.read("documents"), "doc_id").select(
+        F.concat(F.lit("b.m"), i).alias("modname"), F.concat(F.lit("b/m"), i, F.lit(".py")).alias("path"), source.alias("source"))
+
+
+@query("a09_bindings", """SELECT 'b.m' || doc_id AS modname, r.q AS qualname, r.t AS type_name, CAST(r.s AS BIGINT) AS line_start, CAST(r.e AS BIGINT) AS line_end,
+r.p AS params, r.b AS bases, r.d AS doc, r.n AS names, r.a AS accessors FROM (SELECT doc_id, unnest([
+  {'q': NULL, 't': 'module', 's': 0, 'e': 22, 'p': NULL, 'b': NULL, 'd': NULL, 'n': 'T' || doc_id || ',size', 'a': ''},
+  {'q': 'run', 't': 'function', 's': 3, 'e': 5, 'p': 'x,y:int=' || n_chars, 'b': NULL, 'd': 'Runs.', 'n': NULL, 'a': ''},
+  {'q': 'C' || doc_id, 't': 'type', 's': 5, 'e': 13, 'p': NULL, 'b': 'h', 'd': NULL, 'n': NULL, 'a': ''},
+  {'q': 'C' || doc_id || '._C' || doc_id || '__p', 't': 'function', 's': 6, 'e': 7, 'p': 'self,k=' || doc_id, 'b': NULL, 'd': 'Private.', 'n': NULL, 'a': ''},
+  {'q': 'C' || doc_id || '.q', 't': 'function', 's': 7, 'e': 8, 'p': 'self,v', 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''},
+  {'q': 'C' || doc_id || '.data', 't': 'property', 's': 8, 'e': 9, 'p': NULL, 'b': NULL, 'd': NULL, 'n': NULL, 'a': 'get,set,del'},
+  {'q': 'C' || doc_id || '.extra', 't': 'function', 's': 13, 'e': 14, 'p': 'z,w', 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''},
+  {'q': 'T' || doc_id, 't': 'list', 's': 16, 'e': 17, 'p': NULL, 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''},
+  {'q': 'size', 't': 'int', 's': 19, 'e': 20, 'p': NULL, 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''}]) AS r FROM documents)""")
+def bindings(t):
+    raw = E.parse_sources(_bound_sources(t))
+    shown = F.transform("signature.params", lambda p: F.concat(
+        p["name"], F.coalesce(F.concat(F.lit(":"), p["annotation"]), F.lit("")),
+        F.coalesce(F.concat(F.lit("="), p["default_repr"]), F.lit(""))))
+    listed = E.exports(raw).withColumn("qualname", F.lit(None).cast("string"))
+    objects = E.objects(raw).filter("qualname IS NULL OR qualname <> '__all__'").alias("o").join(
+        listed.alias("l"), (col("o.modname") == col("l.modname")) & col("o.qualname").isNull(), "left")
+    has = [F.when(col(f"has_{r}"), r) for r in ("get", "set", "del")]
+    return objects.select(
+        "o.modname", "o.qualname", "type_name", "line_start", "line_end", F.array_join(shown, ",").alias("params"),
+        F.array_join("bases", ",").alias("bases"), "doc", F.array_join("all_names", ",").alias("names"),
+        F.concat_ws(",", *has).alias("accessors"))
+
+
 CACHES = with_views("scan", "cache1", "cache2")
 SAME = "c.mod_id = s.mod_id AND c.version = s.version AND c.path = s.path AND c.mtime = s.mtime AND c.size = s.size"
 

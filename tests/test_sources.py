@@ -92,7 +92,7 @@ def test_extraction(raw, modules):
     good, failed = E.split_errors(raw)
     assert names(failed) == ["top"]
     core = {r.qualname: r for r in E.objects(good).filter("modname = 'pkg.core'").collect()}
-    assert set(core) == {None, "run", "Box", "Box.total", "Box.__hide", "Box.size", "Box.make", "Box.Inner"}
+    assert set(core) == {None, "run", "Box", "Box.total", "Box._Box__hide", "Box.size", "Box.make", "Box.Inner"}
     assert (core["run"].line_start, core["run"].line_end) == (7, 12)
     assert core["Box"].bases == ["Thing"] and core["Box.make"].type_name == "staticmethod"
     assert core["Box.size"].doc == "The size." and core[None].doc == "Core."

@@ -148,7 +148,11 @@ def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _third_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Codes of the single strings of runs that no smaller document repeats as a whole."""
+    """Codes of the single strings of runs that no smaller document repeats as a whole.
+
+    Strings that a smaller document of the batch holds are settled: neighbours among them
+    travel as one row, from the first start to the last. Of the others, b is not used.
+    """
     for pdf in batches:
         found = []
         for row, doc, text, left in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["left"]):
@@ -157,8 +161,19 @@ def _third_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found.append((ranks(data, LENGTH, _A)[starts], np.full(len(starts), row), np.full(len(starts), doc), starts))
         if found:
             keys, row, doc, a = (np.concatenate(x) for x in zip(*found))
-            a = a.astype(np.int32)
-            yield _frame(keys, row, doc, a, a)
+            low, shared = _once(keys, doc)
+            r, d, at = row[~low], doc[~low], a[~low]
+            first = np.ones(len(r), bool)
+            first[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
+            last = np.append(first[1:], True)[:len(r)]
+            own = _mix(r[first].astype(np.uint64) * _B + at[first].astype(np.uint64))
+            yield pd.DataFrame({
+                "code": np.concatenate([keys[low], own]).view(np.int64), "row": np.concatenate([row[low], r[first]]),
+                "doc_id": np.concatenate([doc[low], d[first]]),
+                "a": np.concatenate([a[low], at[first]]).astype(np.int32),
+                "b": np.concatenate([np.full(int(low.sum()), -1), at[last]]).astype(np.int32),
+                "low": np.repeat([True, False], [int(low.sum()), int(first.sum())]),
+                "known": np.concatenate([shared[low], np.ones(int(first.sum()), bool)])})
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -214,7 +229,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
     left = (second.filter("NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left")))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
-    third = _ranked(rows).filter("NOT low OR least < doc_id").select("row", "a", "b")
+    third = _ranked(rows.drop("known")).filter("NOT low OR least < doc_id").selectExpr("row", "a", "IF(low, a, b) AS b")
     gone = (second.filter("gone").select("row", "a", "b").unionByName(third)
             .groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
     gone = durable(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")

@@ -2,16 +2,18 @@
 
 This is not distributed prefix doubling: no rank that Spark sorted is carried to a later
 round. Doubling is only used within a Python task, to hash the bytes that follow a position.
-Spark groups those codes in three rounds: 20-byte codes of picked positions, sums of 50-byte
-codes over runs of positions, and 50-byte codes of single positions; what no other document
+Spark groups those codes in four rounds: 20-byte codes of picked positions, sums of 50-byte
+codes over runs of positions, 40-byte codes around the picks, and 50-byte codes of single positions; what no other document
 shares drops out between rounds.
 
 The first round is sparse. Of the 31 positions at which a 20-byte piece of a 50-byte string
 can begin, the one with the least code is taken, so two equal strings pick the same one and
 about a sixteenth of all positions is sorted. A picked position stands for the run of
 strings that pick it. The second round ranks whole runs of shared picks: a run that occurs
-in a smaller document goes as a whole. Only first occurrences are left for the third round,
-which ranks their single 50-byte strings. A rank is a 64-bit code of the bytes; two strings
+in a smaller document goes as a whole. Of the others the third round ranks 40-byte pieces
+around the pick, one for each third of the run, which all strings of that third contain:
+what shares no such piece is unique. Only the rest is left for the fourth round, which
+ranks single 50-byte strings. A rank is a 64-bit code of the bytes; two strings
 of a table of n ranked ones get the same by chance with n * n / 2^65.
 
 Exact copies of a text are settled by one aggregate before. Within a batch of documents a
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import durable, query, small_batches, table
 
 LENGTH, SHORT = 50, 20
+# Parts of a run whose strings share a piece, and by how much that is shorter than a string.
+PARTS = 3
+STEP = (LENGTH - SHORT) // PARTS
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -148,6 +153,29 @@ def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _third_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Codes of the pieces that the strings of each part of a run have in common."""
+    for pdf in batches:
+        found = []
+        for row, doc, text, left in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["left"]):
+            data = _bytes(text)
+            at, _, begin, last = runs(data)
+            keep = np.isin(begin, np.array([x["a"] for x in left]))
+            at, begin, last = at[keep], begin[keep], last[keep]
+            full = ranks(data, LENGTH - STEP, _A)
+            for part in range(PARTS):
+                # The piece begins where the part's last string may begin; the part before ends one earlier.
+                piece = at if part == PARTS - 1 else at - (LENGTH - SHORT) + STEP * (part + 1)
+                a = np.maximum(begin, at - (LENGTH - SHORT) + STEP * part + (part > 0))
+                b = np.minimum(last, piece)
+                some = a <= b
+                code = _mix(full[piece[some]] + np.uint64(part))
+                found.append((code, np.full(len(code), row), np.full(len(code), doc), a[some], b[some]))
+        if found:
+            keys, row, doc, a, b = (np.concatenate(x) for x in zip(*found))
+            yield _frame(keys, row, doc, a.astype(np.int32), b.astype(np.int32))
+
+
+def _fourth_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Codes of the single strings of runs that no smaller document repeats as a whole.
 
     Strings that a smaller document of the batch holds are settled: neighbours among them
@@ -227,10 +255,13 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
     second = durable(_ranked(rows).select(
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
-    left = (second.filter("NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left")))
+    left = second.filter("NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left"))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
-    third = _ranked(rows.drop("known")).filter("NOT low OR least < doc_id").selectExpr("row", "a", "IF(low, a, b) AS b")
-    gone = (second.filter("gone").select("row", "a", "b").unionByName(third)
+    third = durable(_ranked(rows).filter("known OR least < most").select("row", "a", "b"))
+    left = third.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left"))
+    rows = wide.join(left, "row").mapInPandas(_fourth_round, _ROW)
+    fourth = _ranked(rows.drop("known")).filter("NOT low OR least < doc_id").selectExpr("row", "a", "IF(low, a, b) AS b")
+    gone = (second.filter("gone").select("row", "a", "b").unionByName(fourth)
             .groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
     gone = durable(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")
                     .select("row", "gone", F.coalesce("copy", F.lit(False)).alias("copy")))

@@ -133,7 +133,8 @@ def _first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Codes of the runs of shared picks; `picked` lists a document's."""
+    """Codes of the runs of shared picks; `picked` lists a document's. Both the last start and the
+    pick are at most 30 behind a run's first start, and b holds the two distances."""
     for pdf in batches:
         found = []
         for row, doc, text, picked in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["picked"]):
@@ -146,7 +147,7 @@ def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # A run's code sums those of its strings: equal sums mean equal strings, in whatever order.
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(full, dtype=np.uint64)])
             code = _pair(sums[last + 1] - sums[begin], size.astype(np.uint64), _A)
-            found.append((code, np.full(len(begin), row), np.full(len(begin), doc), begin, last))
+            found.append((code, np.full(len(begin), row), np.full(len(begin), doc), begin, size + 32 * (at[keep] - begin)))
         if found:
             keys, row, doc, a, b = (np.concatenate(x) for x in zip(*found))
             yield _frame(keys, row, doc, a.astype(np.int32), b.astype(np.int32))
@@ -158,9 +159,9 @@ def _third_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for row, doc, text, left in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["left"]):
             data = _bytes(text)
-            at, _, begin, last = runs(data)
-            keep = np.isin(begin, np.array([x["a"] for x in left]))
-            at, begin, last = at[keep], begin[keep], last[keep]
+            left = np.sort(np.asarray(left))
+            begin = left >> 10
+            last, at = begin + (left & 31), begin + (left >> 5 & 31)
             full = ranks(data, LENGTH - STEP, _A)
             for part in range(PARTS):
                 # The piece begins where the part's last string may begin; the part before ends one earlier.
@@ -185,7 +186,10 @@ def _fourth_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for row, doc, text, left in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["left"]):
             data = _bytes(text)
-            starts = np.unique(np.concatenate([np.arange(x["a"], x["b"] + 1) for x in left]))
+            left = np.sort(np.asarray(left))
+            first, size = left >> 10, (left & 1023) + 1
+            # Parts of runs do not overlap, so their starts are in order.
+            starts = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             found.append((ranks(data, LENGTH, _A)[starts], np.full(len(starts), row), np.full(len(starts), doc), starts))
         if found:
             keys, row, doc, a = (np.concatenate(x) for x in zip(*found))
@@ -216,7 +220,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, copy, gone in zip(pdf["doc_id"], pdf["text"], pdf["copy"], pdf["gone"]):
             data = _bytes(text)
             spans = [(0, len(data))] if copy and len(data) >= LENGTH else sorted(
-                (x["a"], x["b"] + LENGTH) for x in (gone if gone is not None else ()))
+                (int(x) >> 32, (int(x) & 0xFFFFFFFF) + LENGTH) for x in (gone if gone is not None else ()))
             merged: list[list[int]] = []
             for a, b in spans:
                 if merged and a <= merged[-1][1]:
@@ -255,14 +259,15 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
     second = durable(_ranked(rows).select(
         "row", "a", "b", (~F.col("low") | (F.col("least") < F.col("doc_id"))).alias("gone")))
-    left = second.filter("NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left"))
+    # A run, and later a part of one, as one number: its first start, then what b holds.
+    left = second.filter("NOT gone").groupBy("row").agg(F.expr("collect_set(a * 1024L + b)").alias("left"))
     rows = wide.join(left, "row").mapInPandas(_third_round, _ROW)
     third = durable(_ranked(rows).filter("known OR least < most").select("row", "a", "b"))
-    left = third.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("left"))
+    left = third.groupBy("row").agg(F.expr("collect_set(a * 1024L + b - a)").alias("left"))
     rows = wide.join(left, "row").mapInPandas(_fourth_round, _ROW)
     fourth = _ranked(rows.drop("known")).filter("NOT low OR least < doc_id").selectExpr("row", "a", "IF(low, a, b) AS b")
-    gone = (second.filter("gone").select("row", "a", "b").unionByName(fourth)
-            .groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
+    gone = (second.filter("gone").selectExpr("row", "a", "a + b % 32 AS b").unionByName(fourth)
+            .groupBy("row").agg(F.expr("collect_set(shiftleft(CAST(a AS BIGINT), 32) + b)").alias("gone")))
     gone = durable(gone.join(copies.withColumn("copy", F.lit(True)), "row", "full")
                     .select("row", "gone", F.coalesce("copy", F.lit(False)).alias("copy")))
     return (docs.join(gone, "row", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")

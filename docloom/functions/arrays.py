@@ -33,26 +33,42 @@ def repeat_value(value: Column, times: Column | int) -> Column:
     return F.array_repeat(value, times)
 
 
-def subsets(items: Column) -> Column:
-    """All subsets of a short array, by size, then by position of the members."""
-    n = F.size(items)
-
-    def members(mask):
-        return F.transform(
-            F.filter(F.sequence(F.lit(0), n - 1), lambda i: _bit(mask, i) == 1), lambda i: i
-        )
-
-    masks = F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)
-    picked = F.transform(masks, lambda m: F.struct(
-        F.size(members(m)).alias("size"), members(m).alias("at")))
-    chosen = F.transform(
-        F.array_sort(picked), lambda s: F.transform(s["at"], lambda i: F.get(items, i))
-    )
-    return F.when(n > 0, chosen).otherwise(F.array(items))
+def binomial(n: Column, k: Column) -> Column:
+    """Number of subsets of k out of n; every step of the product is a whole number."""
+    zero = F.lit(0).cast("bigint")
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    product = F.aggregate(steps, F.lit(1).cast("bigint"), lambda acc, i: _div(acc * (n - k + i), i))
+    return F.when((k < 0) | (k > n), zero).otherwise(product)
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number quotient of numbers that divide."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
 
 
-def _bit(mask: Column, i: Column) -> Column:
-    return F.floor(mask / F.pow(F.lit(2), i)).cast("bigint") % 2
+def subset_at(n: Column, k: Column, rank: Column) -> Column:
+    """Positions of the subset of k out of n with this rank (from 0) in the order of positions.
+
+    With a position taken, C(m, k - 1) subsets of the m later ones go on from it; a rank below
+    that takes the position, another one leaves it and is lowered by that much. The count is
+    updated from step to step.
+    """
+    state = F.struct(
+        rank.cast("bigint").alias("rank"), k.cast("bigint").alias("k"), binomial(n - 1, k - 1).alias("c"),
+        F.array().cast("array<int>").alias("at"))
+
+    def step(acc, i):
+        m, c = n.cast("bigint") - 1 - i, acc["c"]
+        take = (acc["k"] > 0) & (acc["rank"] < c)
+        later = F.greatest(m, F.lit(1))
+        return F.struct(
+            F.when(take, acc["rank"]).otherwise(acc["rank"] - c).alias("rank"),
+            F.when(take, acc["k"] - 1).otherwise(acc["k"]).alias("k"),
+            _div(c * F.when(take, acc["k"] - 1).otherwise(m - acc["k"] + 1), later).alias("c"),
+            F.when(take, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
+
+    places = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, state, step, lambda acc: acc["at"])
 
 
 def span(start: Column, end: Column, step: int = 1, inclusive=None) -> Column:

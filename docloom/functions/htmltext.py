@@ -44,19 +44,31 @@ GUARDED_PRE_MARK = PRE_MARK.replace(" ", PRE_SPACE)
 MARKS = r"[\x01-\x05]"
 
 
+# Stands in a start tag that no end tag follows, while elements are sought.
+_OPEN = "\ufdd0"
+
+
 def strip_hidden(html: Column) -> Column:
-    """Without comments, scripts and style sheets.
+    """Without comments, scripts and style sheets, in time proportional to the page.
 
-    Elements are sought only up to the last end mark: behind it none is closed, so very
-    many unclosed ones are not each followed to the end of the page.
+    A start without an end behind it would be followed to the end of the page in vain. So
+    comments are sought up to the last `-->` only, and start tags behind the last end tag of
+    their kind are marked before: every other one is closed somewhere, and what is between is
+    read once.
     """
-    def closed(text, last, element):
+    def upto(text, last, change, rest):
         head = F.regexp_extract(text, rf"(?is)^.*{last}", 0)
-        return F.concat(F.regexp_replace(head, element, ""), F.substr(text, F.length(head) + 1))
+        return let(head, lambda h: F.concat(change(h), rest(F.substr(text, F.length(h) + 1))))
+
+    def marked(kind):
+        return lambda text: upto(text, rf"</{kind}\s*>", lambda h: h,
+                                 lambda t: F.regexp_replace(t, rf"(?i)<({kind})\b", f"<{_OPEN}$1"))
 
-    text = let(html, lambda h: closed(h, "-->", r"(?s)<!--.*?-->"))
-    return let(text, lambda t: closed(
-        t, r"</(?:script|style)\s*>", rf"(?is)<(script|style){ATTRS}>.*?</\1\s*>"))
+    text = let(html, lambda h: upto(h, "-->", lambda t: F.regexp_replace(t, r"(?s)<!--.*?-->", ""), lambda t: t))
+    for kind in ("script", "style"):
+        text = let(text, marked(kind))
+    text = F.regexp_replace(text, rf"(?is)<(script|style){ATTRS}>.*?</\1\s*>", "")
+    return F.replace(text, F.lit(f"<{_OPEN}"), F.lit("<"))
 
 
 def _entity_tables() -> dict[str, dict[str, str]]:

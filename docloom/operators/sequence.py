@@ -17,6 +17,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import binomial, subset_at
 from docloom.functions.generate import explode_count
 from docloom.session import durable
 
@@ -233,3 +234,18 @@ def cycles(df: DataFrame, n: int) -> DataFrame:
     """The whole sequence n times; `cycle` numbers the copies from 0."""
     return explode_count(df.withColumn("_n", F.lit(n).cast("bigint")), col("_n"), "cycle").drop(
         "_n").withColumn("cycle", col("cycle") - 1)
+
+
+def subset_rows(df: DataFrame, items: str, largest: int | None = None) -> DataFrame:
+    """One row for every subset of the array `items`: the row's columns, `size`, and `subset`.
+
+    Subsets are numbered by size, then by the positions of their members, and each row works
+    out its own from its number; none is held beside another. `largest` bounds the size.
+    """
+    n = F.coalesce(F.size(items), F.lit(0))
+    top = n if largest is None else F.least(n, F.lit(largest))
+    sizes = F.sequence(F.lit(0).cast("bigint"), top.cast("bigint"))
+    sized = df.filter(col(items).isNotNull()).withColumn("size", F.explode(sizes))
+    ranked = explode_count(sized, binomial(n, col("size")), "_rank")
+    return ranked.withColumn("subset", F.transform(
+        subset_at(n, col("size"), col("_rank") - 1), lambda i: F.get(items, i))).drop("_rank")

@@ -8,6 +8,7 @@ from docloom.functions import arrays as A
 from docloom.functions import names as N
 from docloom.functions import objects as O
 from docloom.operators import members as M
+from docloom.operators.sequence import subset_rows
 from docloom.plans.registry import query
 from docloom.plans.tables import with_views
 
@@ -290,9 +291,8 @@ def repeat(t):
   SELECT p_partkey, p_brand AS a, p_type AS b, CAST(p_size AS VARCHAR) AS c FROM part))""")
 def subsets(t):
     items = F.array("p_brand", "p_type", col("p_size").cast("string"))
-    return t.read("part").select(
-        "p_partkey", F.explode(A.subsets(items)).alias("s")
-    ).select("p_partkey", F.array_join("s", ",").alias("s"))
+    rows = subset_rows(t.read("part").select("p_partkey", items.alias("items")), "items")
+    return rows.select("p_partkey", F.array_join("subset", ",").alias("s"))
 
 
 @query("e10_span", """ SELECT p_partkey, array_to_string(range(p_size, p_size + 9, 3), ',') AS half_open,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import names as N
 from docloom.operators import signatures as S
 from docloom.plans.registry import query
 from docloom.plans.tables import with_views
-from docloom.session import spread
+from docloom.session import shared_folder, spread
 from docloom.sources import cache as C
 from docloom.sources import docset as D
 from docloom.sources import extract as E
@@ -71,6 +74,23 @@ def write_docset(t):
     return D.docset_lines(rows)
 
 
+@query("a02_sets_round_trip", with_views("sym") + """ SELECT modname, qualname, name, type_qual AS type_name, count(*) OVER (PARTITION BY modname) AS found FROM sym""")
+def sets_round_trip(t):
+    """Sets of two modules or so written, read back whole, and counted by reading a module's set only."""
+    spark, folder = t.spark, shared_folder(t.spark, "sets")
+    fields = D.object_json(col("name"), col("type_qual").alias("type_name"))
+    rows = t.sym().select("modname", "qualname", fields.alias("fields"))
+    size = rows.agg(F.sum(F.length("fields")).alias("n")).first().n // 2
+    D.write_docsets(rows, folder, size)
+    back = D.objects(D.flatten(D.read_docsets(spark, folder))).select("modname", "qualname", "name", "type_name")
+    # Region modules are few and fixed in number.
+    names = [r.modname for r in t.sym().filter("qualname IS NULL").select("modname").collect()]
+    single = reduce(DataFrame.unionByName, [
+        D.objects(D.flatten(D.read_docsets(spark, folder, m))).filter(col("modname") == m).groupBy("modname").agg(
+            F.count("*").alias("found")) for m in names])
+    return back.join(single, "modname")
+
+
 @query("a03_object_json", with_views("sym") + """ SELECT concat_ws('.', modname, qualname) AS full_name,
 '{"modname":"' || modname || CASE WHEN qualname IS NULL THEN '' ELSE '","qualname":"' || qualname END || '","name":"' || name || '","type_qual":"' || type_qual || '"}' AS json FROM sym""")
 def object_json(t):
@@ -221,15 +241,27 @@ CACHES = with_views("scan", "cache1", "cache2")
 SAME = "c.mod_id = s.mod_id AND c.version = s.version AND c.path = s.path AND c.mtime = s.mtime AND c.size = s.size"
 
 
-@query("a10_cache_rows", """SELECT user_id AS mod_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events GROUP BY user_id""")
+@query("a10_cache_rows", """SELECT user_id AS mod_id, CAST(CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n,
+CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events WHERE user_id % 5 <> 0 AND (user_id % 3 <> 0 OR event_type = 'click') GROUP BY user_id""")
 def cache_rows(t):
-    """Entries with a payload per module, put in buckets and counted back out of them."""
-    entries = t.read("events").select(
-        col("user_id").cast("string").alias("modname"), F.to_json(F.struct("event_type")).alias("payload"))
-    bucketed = entries.withColumn("bucket", C.bucket_of(col("modname")))
-    return bucketed.groupBy("bucket", "modname").agg(
+    """Entries stored for every module, stored anew for a third of them, some evicted, and read back."""
+    spark, folder = t.spark, shared_folder(t.spark, "cache")
+    events = t.read("events").select(col("user_id").alias("mod_id"), col("user_id").cast("string").alias("modname"), "event_type")
+    entries = events.select("mod_id", "modname", F.to_json(F.struct("event_type")).alias("payload"))
+    prints = events.select("mod_id", "modname").distinct().select(
+        "mod_id", "modname", F.lit(1).alias("version"), F.concat("modname", F.lit(".py")).alias("path"),
+        F.lit(1.0).alias("mtime"), F.lit(1).cast("bigint").alias("size"))
+    third = col("mod_id") % 3 == 0
+    C.commit(spark, folder, entries, prints, "first")
+    C.commit(spark, folder, entries.filter(third & col("payload").contains("click")),
+             prints.filter(third).withColumn("size", F.lit(2).cast("bigint")), "second")
+    # The scan finds a fifth of the modules changed.
+    scan = C.index(spark, folder).withColumn("size", col("size") + F.when(col("modname").cast("bigint") % 5 == 0, 1).otherwise(0))
+    before = C.index(spark, folder).select("modname", "generation")
+    C.compact(spark, folder, scan)
+    return C.load(spark, folder).join(before, "modname").groupBy("modname", "generation").agg(
         F.count("*").alias("n"), F.countDistinct("payload").alias("kinds")
-    ).select(col("modname").cast("bigint").alias("mod_id"), "n", "kinds")
+    ).select(col("modname").cast("bigint").alias("mod_id"), "generation", "n", "kinds")
 
 
 @query("a11_tiered_lookup", CACHES + f""" SELECT s.mod_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM cache1 c WHERE {SAME}) THEN 1
@@ -257,6 +289,21 @@ def precompute_list(t):
     return C.stale(asked, t.cache1(), key="mod_id").select("mod_id")
 
 
+@query("a14_refresh", """SELECT 'docs.m' || doc_id AS modname, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generation,
+CAST(CASE WHEN lang = 'de' THEN 0 ELSE 9 END AS BIGINT) AS n FROM documents""")
+def refresh_twice(t):
+    """Sources extracted into a cache, and again after a third of them was touched."""
+    spark, folder = t.spark, shared_folder(t.spark, "cache")
+    snapshots = _sources(t).select(
+        "*", F.lit(1).alias("version"), F.lit(1.0).alias("mtime"), F.length("source").cast("bigint").alias("size"))
+    C.refresh_sources(spark, snapshots, folder, "first")
+    third = F.regexp_extract("modname", "([0-9]+)$", 1).cast("bigint") % 3 == 0
+    C.refresh_sources(spark, snapshots.withColumn("mtime", F.when(third, 2.0).otherwise(1.0)), folder, "second")
+    found = C.load(spark, folder).groupBy("modname").agg(F.count("*").alias("n"))
+    return C.index(spark, folder).select("modname", "generation").join(found, "modname", "left").select(
+        "modname", "generation", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("a15_cacheable", """SELECT event_id, path IS NOT NULL AS second_tier, path IS NOT NULL AND NOT (path = '/usr/lib/click' OR starts_with(path, '/usr/lib/click/')) AS first_tier
 FROM (SELECT event_id, CASE WHEN event_type <> 'error' THEN '/usr/lib/' || event_type || '/m' || user_id || '.py' END AS path FROM events)""")
 def cacheable(t):
@@ -277,18 +324,18 @@ def bad_sources(t):
 @query("a17_parameter_rows", with_views("params") + """ SELECT obj, pos, name, kind, CASE WHEN kind = 'KEYWORD_ONLY' THEN '1' END AS default_repr,
 CASE WHEN pos = 1 THEN 'int' END AS annotation FROM params""")
 def parameter_rows(t):
-    """Signatures as JSON documents, one per parameter, back to parameter rows."""
+    """Whole signatures, below three wrappers in a class, as JSON documents and back to parameter rows."""
     kind = col("kind")
-    padding = F.array_join(F.array_repeat(F.lit("null"), (col("pos") - 1).cast("int")), ", ")
     own = F.concat(
         F.lit('{"name": "'), "name", F.lit('", "kind": "'), "kind", F.lit('"'),
         F.when(kind == "KEYWORD_ONLY", F.lit(', "default": {"repr": "1"}')).otherwise(""),
         F.when(col("pos") == 1, F.lit(', "annotation": {"$ref": "#/modules/builtins/dict/int"}')).otherwise(""),
         F.lit("}"))
-    lead = F.when(col("pos") > 1, F.concat(padding, F.lit(", "))).otherwise("")
-    nodes = t.params().select(
-        col("obj").alias("modname"), F.lit("f").alias("qualname"), F.lit("self").alias("role"),
-        F.lit(False).alias("is_ref"), F.parse_json(F.concat(
-            F.lit('{"signature": {"params": ['), lead, own, F.lit("]}}"))).alias("node"))
-    return D.params(nodes).filter("name IS NOT NULL").select(
+    # A signature has as many parameters as an order has lines.
+    signed = t.params().groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("pos", own.alias("json")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: p["json"]), ", ")
+    documents = signed.select(F.concat(
+        F.lit('{"modules": {"'), "obj", F.lit('": {"dict": {"C": {"dict": {"f": {"func": {"func": {"func": {"signature": {"params": ['),
+        text, F.lit("]}}}}}}}}}}}}")).alias("json"))
+    return D.params(D.flatten(spread(documents, "json"))).filter("role = 'func.func.func' AND qualname = 'C.f'").select(
         col("modname").alias("obj"), "pos", "name", "kind", "default_repr", "annotation")

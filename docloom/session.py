@@ -74,7 +74,12 @@ def written(df: DataFrame) -> DataFrame:
     many rounds that number grows without bound. A written table is known by its files.
     """
     spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the checkpoint folder, which all executors can reach."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"

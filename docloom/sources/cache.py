@@ -1,18 +1,26 @@
-"""The module cache: fingerprinted object rows, looked up in tiers, refreshed by difference.
+"""The module cache: fingerprinted object rows in generations, looked up in tiers, refreshed by difference.
 
-An entry is good when version, path, mtime and size all equal the scan's. Entries
-are only ever appended or copied to a new folder, so a failed run leaves the old
-state readable.
+An entry is good when version, path, mtime and size all equal the scan's. A cache folder holds
+
+* `entries/run=.../bucket=...`: object rows, written once and never changed,
+* `index/generation=n`: which run holds a module from generation n on, with its fingerprint,
+* `commits/generation=n`: one row in one file, written last.
+
+A generation exists once its commit does, so readers see the old state until then, and what a
+killed run has left is written over by the next one. Only changed modules are written;
+`compact` starts a new base, behind which nothing older is read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import names as N
+from docloom.session import durable
 from docloom.sources import extract, inventory
 
 col = F.col
@@ -23,6 +31,9 @@ VERSION = 1
 PRINT = ("version", "path", "mtime", "size")
 BUCKETS = 256
 
+INDEX = "modname string, version int, path string, mtime double, size bigint, run string, generation bigint"
+COMMIT = "base bigint, generation bigint"
+
 
 def fresh(entries: DataFrame, scan: DataFrame, key: str = "modname") -> DataFrame:
     """Entries whose fingerprint equals the scan's; a missing path never does."""
@@ -63,30 +74,87 @@ def bucket_of(modname: Column) -> Column:
     return F.pmod(F.xxhash64(modname), F.lit(BUCKETS)).cast("int")
 
 
-def store(entries: DataFrame, folder: str, run: str) -> None:
-    """Write entries as one run, bucketed by module name, one file a bucket.
+# -- generations ------------------------------------------------------------
+
+
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    """A table of the cache, or None before its first commit."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """(generation, base) of the last commit; (0, 1) where there is none."""
+    commits = _read(spark, f"{folder}/commits", COMMIT)
+    row = None if commits is None else commits.agg(F.max(F.struct("generation", "base")).alias("c")).first().c
+    return (0, 1) if row is None else (row.generation, row.base)
+
 
-    A repeated run replaces its own folder only, so a retry is harmless. `entries` must
-    not be read from that folder.
+def index(spark: SparkSession, folder: str, generation: int | None = None) -> DataFrame:
+    """The run and fingerprint of every module as of a committed generation (the last one).
+
+    One row a module: the newest entry since the base, found by an aggregate that combines
+    before the shuffle.
+    """
+    if generation is None:
+        generation, base = latest(spark, folder)
+    else:
+        commits = _read(spark, f"{folder}/commits", COMMIT)
+        base = commits.filter(col("generation") == generation).first().base
+    rows = _read(spark, f"{folder}/index", INDEX) if generation else None
+    if rows is None:
+        return spark.createDataFrame([], INDEX)
+    return rows.filter(col("generation").between(base, generation) & col("modname").isNotNull()).groupBy("modname").agg(
+        F.max_by(F.struct(*PRINT, "run", "generation"), "generation").alias("i")).select("modname", "i.*")
+
+
+def commit(spark: SparkSession, folder: str, entries: DataFrame, prints: DataFrame, run: str, full: bool = False) -> int:
+    """Store the entries (modname, payload, ...) of the modules in `prints` (modname and fingerprint) as a
+    new generation, and return its number. With `full`, no older generation counts any more.
+
+    A module without entries is stored too, as one that has none.
     """
+    last, base = latest(spark, folder)
+    number = last + 1
+    name = f"{run}-{number}"
     entries.withColumn("bucket", bucket_of(col("modname"))).repartition("bucket").write.partitionBy("bucket").mode(
-        "overwrite").parquet(f"{folder}/run={run}")
+        "overwrite").parquet(f"{folder}/entries/run={name}")
+    # A row without module marks a generation that changes nothing.
+    mark = spark.createDataFrame([(None,) * 6], INDEX.rsplit(",", 1)[0])
+    prints.select("modname", *PRINT, F.lit(name).alias("run")).unionByName(mark).write.mode("overwrite").parquet(
+        f"{folder}/index/generation={number}")
+    spark.createDataFrame([(number if full else base,)], "base bigint").coalesce(1).write.mode("errorifexists").parquet(
+        f"{folder}/commits/generation={number}")
+    return number
+
 
+def load(spark: SparkSession, folder: str, modname: str | None = None, generation: int | None = None) -> DataFrame:
+    """The entries of one generation, each module from its newest run; or one module's, reading its bucket only."""
+    current = index(spark, folder, generation).select("modname", "run")
+    if modname is not None:
+        current = current.filter(col("modname") == modname)
+    # Runs since the base: their number does not grow with the data, and only their folders are listed.
+    runs = [r.run for r in current.select("run").distinct().collect()]
+    if not runs:
+        raise LookupError(f"nothing stored in {folder}" if modname is None else f"{modname} is not in {folder}")
+    entries = spark.read.option("basePath", f"{folder}/entries").parquet(*[f"{folder}/entries/run={r}" for r in runs])
+    if modname is not None:
+        return entries.filter((col("bucket") == bucket_of(F.lit(modname))) & (col("modname") == modname))
+    return entries.join(current, ["modname", "run"], "left_semi")
 
-def load(spark: SparkSession, folder: str, modname: str | None = None) -> DataFrame:
-    """All entries, or one module's: then only its bucket is read."""
-    entries = spark.read.option("basePath", folder).parquet(f"{folder}/run=*")
-    if modname is None:
-        return entries
-    wanted = bucket_of(F.lit(modname))
-    return entries.filter((col("bucket") == wanted) & (col("modname") == modname))
 
+def compact(spark: SparkSession, folder: str, scan: DataFrame) -> int:
+    """One new run, and a new base, of all modules that survive eviction; returns the generation."""
+    current = durable(evict(index(spark, folder), scan))
+    kept = load(spark, folder).join(current.select("modname", "run"), ["modname", "run"], "left_semi")
+    return commit(spark, folder, kept.drop("run", "bucket"), current, "compact", full=True)
 
-def compact(spark: SparkSession, folder: str, scan: DataFrame, target: str) -> None:
-    """Copy the entries that survive eviction to a new folder."""
-    entries = load(spark, folder)
-    kept = evict(entries.drop("run", "bucket"), scan).distinct()
-    store(kept, target, "compact")
+
+# -- filling ------------------------------------------------------------------
 
 
 def fingerprints(files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -96,14 +164,21 @@ def fingerprints(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def entries_of(sources: DataFrame) -> DataFrame:
-    """Cache entries of sources that carry a fingerprint: one row per object, payload as JSON."""
-    raw = extract.parse_sources(sources)
-    good, _ = extract.split_errors(raw)
-    rows = good.select(
-        "modname", "path", F.to_json(F.struct(*[
-            c for c in good.columns if c not in ("modname", "path")])).alias("payload"))
-    prints = sources.select("modname", *PRINT)
-    return rows.join(prints, ["modname", "path"])
+    """Cache entries of sources: one row per raw row of a module, its fields as JSON."""
+    good, _ = extract.split_errors(extract.parse_sources(sources))
+    return good.select("modname", "path", F.to_json(F.struct(*[
+        c for c in good.columns if c not in ("modname", "path")])).alias("payload"))
+
+
+def refresh_sources(spark: SparkSession, snapshots: DataFrame, folder: str, run: str) -> DataFrame:
+    """Extract and store the snapshots (modname, fingerprint, source) that have no fresh entry.
+
+    Returns their fingerprints. Where all are fresh, no generation is made.
+    """
+    todo = durable(stale(snapshots, index(spark, folder)))
+    if not todo.isEmpty():
+        commit(spark, folder, entries_of(todo), todo, run)
+    return todo.select("modname", *PRINT)
 
 
 def refresh(spark: SparkSession, roots: list[str], packages: list[str], folder: str,
@@ -116,16 +191,7 @@ def refresh(spark: SparkSession, roots: list[str], packages: list[str], folder:
     names = inventory.modules(files)
     wanted = reduce(
         DataFrame.unionByName, [inventory.submodules(names, p) for p in packages]).distinct()
-    scan = fingerprints(files, wanted)
-    try:
-        # This run's own rows are written anew, so a repeated run neither reads nor loses them.
-        known = load(spark, folder).filter(col("run") != run).select("modname", *PRINT).distinct()
-        todo = stale(scan, known)
-    except Exception as exc:  # no cache yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        todo = scan
+    todo = stale(fingerprints(files, wanted), index(spark, folder))
     sources = inventory.read_sources(todo).filter("problem IS NULL").join(
         todo.select("root", "modname", *PRINT), ["root", "modname", "path"])
-    store(entries_of(sources), folder, run)
-    return todo
+    return refresh_sources(spark, sources, folder, run)

@@ -7,7 +7,7 @@ instead. Every field is optional.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import names as N
@@ -169,23 +169,75 @@ def docset_lines(rows: DataFrame) -> DataFrame:
     fields and closes as many levels as the next row leaves, so no module is ever
     gathered in one place.
     """
-    parts = F.coalesce(N.parts(col("qualname")), F.array().cast("array<string>"))
-    placed = rows.withColumn("_parts", parts).withColumn("_depth", F.size("_parts"))
-    ordered = Ordered(placed, (), ["modname", "_parts"])
+    ordered = Ordered(_placed(rows), (), ["modname", "_parts"])
     near = ordered.neighbours({"_next": ("_depth", 1)})
+    return near.select("pos", _line(col("pos") == 0).alias("line"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    parts = F.coalesce(N.parts(col("qualname")), F.array().cast("array<string>"))
+    return rows.withColumn("_parts", parts).withColumn("_depth", F.size("_parts"))
+
+
+def _line(first: Column) -> Column:
+    """Text of one row, given `_next`, the depth of the row after it in the same set."""
     key = F.to_json(F.array(F.coalesce(F.try_element_at("_parts", F.lit(-1)), "modname")))
     name = F.substr(key, F.lit(2), F.length(key) - 2)
     inner = F.substr("fields", F.lit(2), F.length("fields") - 2)
     child = F.coalesce(col("_next") > col("_depth"), F.lit(False))
     up = F.coalesce(col("_depth") - col("_next"), col("_depth"))
     comma = F.when(col("_next").isNotNull(), ",").otherwise("}}")
-    opening = F.concat(F.when(col("pos") == 0, '{"modules": {').otherwise(""), name, F.lit(": {"), inner)
-    text = F.when(
+    opening = F.concat(F.when(first, '{"modules": {').otherwise(""), name, F.lit(": {"), inner)
+    return F.when(
         child, F.concat(opening, F.when(inner != "", ", ").otherwise(""), F.lit('"dict": {'))
     ).otherwise(F.concat(opening, F.lit("}"), F.repeat(F.lit("}}"), up), comma))
-    return near.select("pos", text.alias("line"))
 
 
 def write_docset(rows: DataFrame, path: str) -> None:
-    """Write the lines in order; the part files in name order form the document."""
+    """Write one set: the lines in order; the part files in name order form the document."""
     docset_lines(rows).orderBy("pos").select("line").write.mode("errorifexists").text(path)
+
+
+def set_numbers(rows: DataFrame, size: int) -> DataFrame:
+    """(modname, set): modules in name order, cut where another `size` characters of fields begin.
+
+    A module is never cut. Running sums are taken within ranges of modules; the sums of whole
+    ranges, one row a range, are added to them.
+    """
+    modules = rows.groupBy("modname").agg(F.sum(F.length("fields") + F.lit(16)).alias("_size"))
+    placed = durable(modules.repartitionByRange("modname").withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_range").agg(F.sum("_size").alias("_all")).select(
+        "_range", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_range").orderBy("modname").rowsBetween(Window.unboundedPreceding, 0)
+    # One row a range.
+    return placed.join(F.broadcast(before), "_range").select(
+        "modname", F.floor((col("_before") + F.sum("_size").over(here) - col("_size")) / size).alias("set"))
+
+
+def sets_lines(rows: DataFrame, size: int) -> DataFrame:
+    """Text lines of several sets of about `size` characters: set, pos, modname, line."""
+    numbered = _placed(rows).join(set_numbers(rows, size), "modname")
+    inside = Window.partitionBy("set").orderBy("modname", "_parts")
+    return numbered.select(
+        "*", F.lead("_depth").over(inside).alias("_next"), (F.row_number().over(inside) - 1).cast("bigint").alias("pos")
+    ).select("set", "pos", "modname", _line(col("pos") == 0).alias("line"))
+
+
+def write_docsets(rows: DataFrame, folder: str, size: int = 64 << 20) -> None:
+    """Write sets of about `size` characters, each one a valid document in a folder of its own,
+    and an index that tells the set of every module. A set is written by one task, line by line."""
+    lines = durable(sets_lines(rows, size))
+    (lines.repartition("set").sortWithinPartitions("set", "pos").select("set", "line")
+     .write.partitionBy("set").mode("errorifexists").text(f"{folder}/sets"))
+    lines.select("modname", "set").distinct().write.mode("errorifexists").parquet(f"{folder}/index")
+
+
+def read_docsets(spark: SparkSession, folder: str, modname: str | None = None) -> DataFrame:
+    """The documents of written sets (column `json`), or the one that holds a module: then only it is read."""
+    if modname is None:
+        return read_documents(spark, f"{folder}/sets").select("json")
+    found = spark.read.parquet(f"{folder}/index").filter(col("modname") == modname).first()
+    if found is None:
+        raise LookupError(f"{modname} is in no set of {folder}")
+    return read_documents(spark, f"{folder}/sets/set={found['set']}").select("json")

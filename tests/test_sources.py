@@ -178,36 +178,95 @@ def test_write_docset_round_trip(spark, tmp_path):
         "n": {"name": '"n', "dict": {"Z": {"name": '"Z', "dict": {"q": {"name": '"Z.q'}}}}}}}
 
 
+def test_several_sets_are_read_back(spark, tmp_path):
+    rows = [(f"m{i:03}", q) for i in range(40) for q in (None, "A", "A.x", "A.x.y", "B")]
+    df = spark.createDataFrame(rows, "modname string, qualname string").withColumn(
+        "fields", D.object_json(F.concat("modname", F.lit(":"), F.coalesce("qualname", "modname")).alias("name")))
+    folder = str(tmp_path / "sets")
+    D.write_docsets(df.repartition(5), folder, 1000)
+    sets = [json.loads(r.json)["modules"] for r in D.read_docsets(spark, folder).collect()]
+    assert len(sets) > 5 and sorted(m for s in sets for m in s) == sorted({m for m, _ in rows})
+    back = {(r.modname, r.qualname): r.name for r in D.objects(D.flatten(D.read_docsets(spark, folder))).collect()}
+    assert back == {(m, q): f"{m}:{q or m}" for m, q in rows}
+    one = D.read_docsets(spark, folder, "m017")
+    assert len(one.inputFiles()) == 1 and "m017" in json.loads(one.first().json)["modules"]
+    with pytest.raises(LookupError):
+        D.read_docsets(spark, folder, "gone")
+
+
 def test_cache_refresh(spark, root, tmp_path):
     folder = str(tmp_path / "cache")
+    assert C.index(spark, folder).count() == 0
     first = C.refresh(spark, [root], ["pkg", "pkg.sub"], folder, "one")
-    assert len(names(first)) == 7
+    assert len(names(first)) == 7 and C.latest(spark, folder) == (1, 1)
     second = C.refresh(spark, [root], ["pkg"], folder, "two")
     # The empty helper modules have rows too, so nothing is left to do.
-    assert names(second) == []
+    assert names(second) == [] and C.latest(spark, folder) == (1, 1)
     assert set(names(C.load(spark, folder, "pkg.core"))) == {"pkg.core"}
-    scan = C.load(spark, folder).select("modname", *C.PRINT).distinct().filter("modname = 'pkg.core'")
-    touched = scan.withColumn("size", F.col("size") + 1)
-    target = str(tmp_path / "compact")
-    C.compact(spark, folder, touched, target)
-    assert "pkg.core" not in names(C.load(spark, target)) and "pkg.sub.deep" in names(C.load(spark, target))
+    scan = C.index(spark, folder).filter("modname = 'pkg.core'")
+    C.compact(spark, folder, scan.withColumn("size", F.col("size") + 1))
+    assert C.latest(spark, folder) == (2, 2)
+    left = names(C.load(spark, folder))
+    assert "pkg.core" not in left and "pkg.sub.deep" in left
+    assert "pkg.core" in names(C.load(spark, folder, generation=1))
+    with pytest.raises(LookupError):
+        C.load(spark, folder, "pkg.core")
+
+
+ENTRY, PRINTED = "modname string, payload string", "modname string, version int, path string, mtime double, size bigint"
+
+
+def commit(spark, folder, run, payload, mtime, *modules):
+    C.commit(spark, folder, spark.createDataFrame([(m, payload) for m in modules], ENTRY),
+             spark.createDataFrame([(m, 1, m + ".py", mtime, 5) for m in modules], PRINTED), run)
+
+
+def test_load_gives_one_generation(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "cache")
+
+    def loaded(**kw):
+        return sorted((r.modname, r.payload) for r in C.load(spark, folder, **kw).collect())
+
+    commit(spark, folder, "r", "old", 10.0, "a", "b")
+    commit(spark, folder, "r", "new", 3.0, "a")
+    assert loaded() == [("a", "new"), ("b", "old")] and loaded(generation=1) == [("a", "old"), ("b", "old")]
+    assert {r.modname: r.mtime for r in C.index(spark, folder).collect()} == {"a": 3.0, "b": 10.0}
+    # A run that dies before its commit leaves the old state, and the next one writes over it.
+    made = spark.createDataFrame
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, schema=None, *a, **k: (_ for _ in ()).throw(
+        RuntimeError("killed")) if schema == "base bigint" else made(rows, schema, *a, **k))
+    with pytest.raises(RuntimeError):
+        commit(spark, folder, "r", "lost", 20.0, "a", "c")
+    monkeypatch.undo()
+    assert loaded() == [("a", "new"), ("b", "old")] and C.latest(spark, folder) == (2, 1)
+    commit(spark, folder, "s", "next", 20.0, "b")
+    assert loaded() == [("a", "new"), ("b", "next")]
 
 
 def test_streaming_refresh(spark, tmp_path):
     incoming, folder, checkpoint = (str(tmp_path / n) for n in ("in", "cache", "state"))
+    schema = "modname string, version int, path string, mtime double, size bigint, source string"
 
     def arrive(rows):
-        spark.createDataFrame(
-            rows, "modname string, version int, path string, mtime double, size bigint, source string"
-        ).coalesce(1).write.mode("append").parquet(incoming)
-
-    arrive([("a", 1, "a.py", 1.0, 5, "x = 1\n"), ("b", 1, "b.py", 1.0, 5, "def f(): pass\n")])
-    refresh_available(spark, incoming, folder, checkpoint)
-    assert sorted(set(names(C.load(spark, folder)))) == ["a", "b"]
-    arrive([("a", 1, "a.py", 2.0, 6, "x = 1\ny = 2\n"), ("b", 1, "b.py", 1.0, 5, "def f(): pass\n")])
-    refresh_available(spark, incoming, folder, checkpoint)
-    runs = C.load(spark, folder).groupBy("run").agg(F.collect_set("modname").alias("m")).collect()
-    assert {r.run: sorted(r.m) for r in runs} == {"batch-0": ["a", "b"], "batch-1": ["a"]}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(incoming)
+        refresh_available(spark, incoming, folder, checkpoint)
+        found = {}
+        for r in C.load(spark, folder).collect():
+            found.setdefault(r.modname, set()).add(json.loads(r.payload).get("name"))
+        return found, {r.modname: (r.mtime, r.generation) for r in C.index(spark, folder).collect()}
+
+    one = [("a", 1, "a.py", 2.0, 5, "x = 1\n"), ("b", 1, "b.py", 1.0, 5, "def f(): pass\n")]
+    assert arrive(one) == ({"a": {"a", "x"}, "b": {"b", "f"}}, {"a": (2.0, 1), "b": (1.0, 1)})
+    # A late older snapshot, and one seen before, change nothing.
+    late = arrive([("a", 1, "a.py", 1.0, 9, "old = 1\n"), one[1]])
+    assert late == ({"a": {"a", "x"}, "b": {"b", "f"}}, {"a": (2.0, 1), "b": (1.0, 1)})
+    two = [("a", 1, "a.py", 3.0, 6, "x = 1\ny = 2\n"), ("c", 1, "c.py", 1.0, 1, "")]
+    after = arrive(two)
+    assert after == ({"a": {"a", "x", "y"}, "b": {"b", "f"}, "c": {"c"}}, {"a": (3.0, 2), "b": (1.0, 1), "c": (1.0, 2)})
+    # The same batch again, as after a failure behind the commit.
+    from docloom.streaming.refresh import refresh_batch
+    refresh_batch(spark.createDataFrame(two, schema), 2, folder)
+    assert C.latest(spark, folder) == (2, 1)
 
 
 def test_type_labels(spark):
@@ -250,7 +309,7 @@ def test_a_repeated_run_keeps_its_rows(spark, tmp_path):
     folder = str(tmp_path / "cache")
     for _ in range(2):
         cache.refresh(spark, [str(root)], ["one"], folder, "r1")
-        assert cache.load(spark, folder).count() > 0
+        assert cache.load(spark, folder).count() == 2
 
 
 def test_one_malformed_document_leaves_the_others(spark):

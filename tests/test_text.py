@@ -171,12 +171,25 @@ def test_long_text_is_linear(spark):
 
 
 def test_arrays(value):
-    assert value(A.subsets, [1, 2, 3], "array<int>") == [
-        [], [1], [2], [3], [1, 2], [1, 3], [2, 3], [1, 2, 3]]
-    assert value(A.subsets, [], "array<int>") == [[]]
     one, three = F.lit(1), F.lit(3)
     assert value(lambda c: A.span(one, three, inclusive=True), 0, "int") == [1, 2, 3]
     assert value(lambda c: A.span(one, three, inclusive=False), 0, "int") == [2]
     assert value(lambda c: A.span(three, one), 0, "int") == []
     assert value(lambda c: A.span(one, three, inclusive=(False, True)), 0, "int") == [2, 3]
     assert value(lambda c: A.dot(c, F.array(F.lit(2.0), F.lit(3.0))), [1.0, 1.0, 9.0], "array<double>") == 5.0
+
+
+def test_subsets_are_rows(spark):
+    from itertools import combinations
+
+    from docloom.operators.sequence import subset_rows
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, None), (4, ["x"])], "id int, items array<string>")
+    got = sorted((r.id, r.size, r.subset) for r in subset_rows(df, "items").collect())
+    want = sorted((i, k, list(s)) for i, items in ((1, "abc"), (2, ""), (4, "x"))
+                  for k in range(len(items) + 1) for s in combinations(items, k))
+    assert got == want
+    many = spark.range(1).selectExpr("transform(sequence(0, 34), x -> x) AS items")
+    rows = subset_rows(many, "items", largest=4).select("size", "subset").collect()
+    found = {tuple(r.subset) for r in rows}
+    assert len(rows) == len(found) == 1 + 35 + 595 + 6545 + 52360
+    assert found == {s for k in range(5) for s in combinations(range(35), k)}

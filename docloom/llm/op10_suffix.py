@@ -118,36 +118,33 @@ def _frame(keys, row, doc, a, b) -> pd.DataFrame:
 
 
 def _first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Codes of the picked positions. The first start of a pick's run and its last one are at most
+    30 away, and b holds the two distances."""
     for pdf in batches:
         found = []
         for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
             data = _bytes(text)
             if len(data) >= LENGTH:
-                at, code, _, _ = runs(data)
-                keep = np.unique(at, return_index=True)[1]
-                found.append((code[keep], np.full(len(keep), row), np.full(len(keep), doc), at[keep]))
+                at, code, begin, last = runs(data)
+                found.append((code, np.full(len(at), row), np.full(len(at), doc), at, last - begin + 32 * (at - begin)))
         if found:
-            code, row, doc, at = (np.concatenate(x) for x in zip(*found))
-            yield _frame(code, row, doc, at.astype(np.int32),
-                         np.zeros(len(at), np.int32))
+            code, row, doc, at, b = (np.concatenate(x) for x in zip(*found))
+            yield _frame(code, row, doc, at.astype(np.int32), b.astype(np.int32))
 
 
 def _second_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Codes of the runs of shared picks; `picked` lists a document's. Both the last start and the
-    pick are at most 30 behind a run's first start, and b holds the two distances."""
+    """Codes of the runs of shared picks, which `picked` lists as numbers: pick, then b."""
     for pdf in batches:
         found = []
         for row, doc, text, picked in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["picked"]):
-            data = _bytes(text)
-            at, _, begin, last = runs(data)
-            keep = np.isin(at, np.asarray(picked))
-            begin, last = begin[keep], last[keep]
-            size = last - begin
-            full = ranks(data, LENGTH, _A)
+            picked = np.sort(np.asarray(picked))
+            back, size = picked >> 5 & 31, picked & 31
+            begin = (picked >> 10) - back
+            full = ranks(_bytes(text), LENGTH, _A)
             # A run's code sums those of its strings: equal sums mean equal strings, in whatever order.
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(full, dtype=np.uint64)])
-            code = _pair(sums[last + 1] - sums[begin], size.astype(np.uint64), _A)
-            found.append((code, np.full(len(begin), row), np.full(len(begin), doc), begin, size + 32 * (at[keep] - begin)))
+            code = _pair(sums[begin + size + 1] - sums[begin], size.astype(np.uint64), _A)
+            found.append((code, np.full(len(begin), row), np.full(len(begin), doc), begin, size + 32 * back))
         if found:
             keys, row, doc, a, b = (np.concatenate(x) for x in zip(*found))
             yield _frame(keys, row, doc, a.astype(np.int32), b.astype(np.int32))
@@ -251,10 +248,10 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     copies = durable(coded.join(copies, "code").filter("doc_id > first").select("row").distinct())
     wide = docs.filter("doc_id IS NOT NULL")
     rows = wide.mapInPandas(_first_round, _ROW)
-    shared = _ranked(rows.select("code", "row", "doc_id", "a", "known")) \
-        .filter("known OR least < most").select("row", "a")
+    shared = _ranked(rows.select("code", "row", "doc_id", "a", "b", "known")) \
+        .filter("known OR least < most").select("row", "a", "b")
     # Copies are settled, and whatever they hold is held by the document that they copy.
-    picked = shared.join(copies, "row", "left_anti").groupBy("row").agg(F.collect_set("a").alias("picked"))
+    picked = shared.join(copies, "row", "left_anti").groupBy("row").agg(F.expr("collect_set(a * 1024L + b)").alias("picked"))
     picked = durable(picked)
     rows = wide.join(picked, "row").mapInPandas(_second_round, _ROW)
     second = durable(_ranked(rows).select(

@@ -346,13 +346,16 @@ def parse_doc(text: Column) -> Column:
 #
 # Some segmentations depend on state carried from line to line. The fold keeps a
 # few scalars and one label character per line; segments are then cut from the
-# label string, so nothing but that string grows with the text.
+# label string. A string that grows by one character is copied for every line, so
+# lines are folded in blocks: a block's labels are a short string, the state passes to
+# the next block, and the strings of the blocks are joined once.
+
+# Lines folded into one label string.
+BLOCK = 512
 
 
 def _labels(lines: Column, state: dict, step) -> Column:
     """Fold `step(acc, line) -> (state updates, label)` over lines to a label string."""
-    zero = F.struct(*[v.alias(k) for k, v in state.items()], F.lit("").alias("labels"))
-
     def merge(acc, line):
         new, label = step(acc, line)
         return F.struct(
@@ -360,14 +363,31 @@ def _labels(lines: Column, state: dict, step) -> Column:
             F.concat(acc["labels"], label).alias("labels"),
         )
 
-    return F.aggregate(lines, zero, merge, lambda acc: acc["labels"])
+    def fold(ls):
+        starts = F.when(F.size(ls) > 0, F.sequence(F.lit(1), F.size(ls), F.lit(BLOCK))).when(
+            F.size(ls) == 0, F.array().cast("array<int>"))
+        zero = F.struct(
+            *[v.alias(k) for k, v in state.items()],
+            F.array().cast("array<string>").alias("done"),
+        )
+
+        def block(acc, start):
+            entered = F.struct(*[acc[k].alias(k) for k in state], F.lit("").alias("labels"))
+            left = F.aggregate(F.slice(ls, start, F.lit(BLOCK)), entered, merge)
+            return let(left, lambda end: F.struct(
+                *[end[k].alias(k) for k in state],
+                F.concat(acc["done"], F.array(end["labels"])).alias("done"),
+            ))
+
+        return F.aggregate(starts, zero, block, lambda acc: F.array_join(acc["done"], ""))
+
+    return let(lines, fold)
 
 
 def label_array(labels: Column) -> Column:
     return F.filter(F.split(labels, ""), lambda c: c != "")
 
 
-
 def labelled(lines: Column, labels: Column) -> Column:
     """Array of struct(label, line)."""
     return F.zip_with(

@@ -193,3 +193,20 @@ def test_subsets_are_rows(spark):
     found = {tuple(r.subset) for r in rows}
     assert len(rows) == len(found) == 1 + 35 + 595 + 6545 + 52360
     assert found == {s for k in range(5) for s in combinations(range(35), k)}
+
+
+def test_labels_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """State passes from block to block: any block size gives the labels of one fold."""
+    unit = ["Text:", "", "  >>> f(1)", "  ... more", "  out", "- item", "  more", "", "- item 2", "* other"]
+    rows = [(unit * 3,), ([],), (None,), (["- a"],), ([" >>> x"] + ["out"] * 20,)]
+    df = spark.createDataFrame(rows, f"lines {LINES}")
+    folds = [X.doctest_labels, X.bullet_labels, lambda ls: X.block_labels(ls, F.lit(0))]
+
+    def labels(block):
+        monkeypatch.setattr(X, "BLOCK", block)
+        return df.select(*[f(F.col("lines")).alias(f"c{i}") for i, f in enumerate(folds)]).collect()
+
+    whole = labels(10_000)
+    assert [len(r.c0) for r in whole if r.c0 is not None] == [30, 0, 1, 21]
+    assert list(whole[2]) == [None, None, None]
+    assert labels(1) == labels(3) == labels(7) == whole

@@ -65,13 +65,84 @@ def test_trie_counts_equal_all_segmentations(odd):
 
 
 def test_grammar_scores_clauses():
-    g = op2_toxicity.Grammar({"idiot.": 4.0, "scum.": 3.0})
+    g = op2_toxicity.Grammar({"idiot.": 4.0, "scum.": 3.0, "acht": 3.5})
     plain = g.evidence("there is an idiot here")
-    assert g.evidence("you are an idiot")[0] > plain[0] == 4.0
+    assert plain[0] == 4.0 * op2_toxicity.LONE and plain[1:] == (1, 5)
+    aimed = g.evidence("you are such an idiot")[0]
+    assert aimed == g.evidence("these idiot")[0] == g.evidence("an idiot you are")[0] == 6.0 > plain[0]
     assert g.evidence("that is not an idiot")[0] < plain[0]
-    assert g.evidence("someone said idiot")[0] < plain[0]
-    assert g.evidence("idiot. scum.")[2] == 2
-    assert g.evidence(None) == g.evidence("") == (0.0, 0.0, 0)
+    assert g.evidence("you are not an idiot")[0] < plain[0]
+    assert g.evidence("someone said you idiot")[0] < plain[0]
+    assert g.evidence("the word scum appears here")[0] < plain[0]
+    assert g.evidence("you achtung")[0] == 3.5 * op2_toxicity.LONE  # beginnings are not aimed
+    assert g.evidence("idiot. scum.")[1] == 2
+    assert g.evidence("an idiot. a scum.")[0] == 3.0 + 4.0 * op2_toxicity.LONE
+    assert g.evidence(None) == g.evidence("") == (0.0, 0, 0)
+
+
+@pytest.mark.parametrize("text, threat", [
+    ("I will break your legs", True), ("we are going to kill them", True), ("you will die", True),
+    ("ich werde dich töten", True), ("je vais te tuer", True), ("voy a matarte", False),
+    ("yo voy a golpear a ti", True), ("I will beat the eggs", False), ("sie will die Blumen", False),
+    ("they kill time", False), ("your legs will break", True), ("we will see you and then burn wood", False),
+    ("I will go home now and then we saw people hurt", False)])
+def test_threats(text, threat):
+    assert (op2_toxicity.Grammar({}).evidence(text)[0] > 0) == threat
+
+
+def separate(words, weights):
+    """What each machine says of every place, from the rules alone, without states."""
+    sym = [op2_toxicity.SYMBOLS.get(w, op2_toxicity.PLAIN) for w in words]
+    any_ = [np.bitwise_or.reduce(s) for s in sym]
+    is_a = lambda i, kinds: bool(any_[i] & kinds)
+    light = op2_toxicity.COPULA | op2_toxicity.FILLER
+    whole = [w in weights for w in words]
+
+    def aimed(i):
+        back = next((j for j in range(i - 1, -1, -1)
+                     if is_a(j, op2_toxicity.TARGET) or not is_a(j, light | op2_toxicity.NEGATION)), None)
+        return back is not None and is_a(back, op2_toxicity.TARGET)
+
+    def negated(i):
+        last = max((j for j in range(i) if is_a(j, op2_toxicity.NEGATION)), default=None)
+        return last is not None and sum(not is_a(j, light) for j in range(last + 1, i)) < op2_toxicity.NEAR
+
+    sure, bare = 0.0, []
+    for i, w in enumerate(words):
+        factor = (op2_toxicity.DAMPED if negated(i) else 1.0) * (
+            op2_toxicity.REPORTED if any(is_a(j, op2_toxicity.REPORT) for j in range(i)) else 1.0)
+        if not whole[i]:
+            continue
+        x = weights[w] * factor
+        if aimed(i) or (i + 1 < len(words) and is_a(i + 1, op2_toxicity.TARGET) and not whole[i + 1]):
+            sure += x * op2_toxicity.AIMED
+        else:
+            bare.append(x)
+    return sure, bare
+
+
+def test_composition_equals_separate_machines():
+    weights = {"idiot": 4.0, "scum": 3.0}
+    g = op2_toxicity.Grammar({f"{w}.": x for w, x in weights.items()})
+    vocabulary = ["you", "are", "an", "idiot", "scum", "not", "said", "tree", "these", "kein", "pas", "word"]
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        words = [vocabulary[i] for i in rng.integers(0, len(vocabulary), rng.integers(1, 12))]
+        sure, bare = g.clause([g.word(w) for w in words])
+        want = separate(words, weights)
+        assert sure == pytest.approx(want[0]) and bare == pytest.approx(want[1]), words
+    # Walked arcs give what fresh steps give.
+    for (state, number), (after, matches) in g.arcs.items():
+        symbol = next(s for s, n in g.symbols.items() if n == number)
+        assert op2_toxicity.composed_step(g.named[state], *symbol) == (g.named[after], matches)
+
+
+def test_arcs_are_made_anew_beyond_their_number(monkeypatch):
+    text = "you are not an idiot and I will hurt your tree, said these scum of an idiot. you idiot"
+    weights = {"idiot.": 4.0, "scum.": 3.0}
+    want = op2_toxicity.Grammar(weights).evidence(text)
+    monkeypatch.setattr(op2_toxicity, "MOST", 2)
+    assert op2_toxicity.Grammar(weights).evidence(text) == want
 
 
 def test_toxicity_held_out_accuracy(spark):
@@ -82,6 +153,15 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_held_out_precision_and_recall(spark):
+    folder = "/root/testdata/sf0.1"
+    got = op2_toxicity.op2_toxicity(spark, folder).join(
+        spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in got)
+    assert hits >= 0.95 * sum(r.predicted for r in got)
+    assert hits >= 0.87 * sum(r.toxic for r in got)
+
+
 def test_toxicity_of_odd_rows_and_without_labels(odd, spark):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     model = op2_toxicity.learn(odd, labels)

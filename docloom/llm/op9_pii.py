@@ -13,11 +13,13 @@ equal values get equal pseudonyms in all documents and different values differen
 | date | `yyyy-mm-dd` and `dd.mm.yyyy` / `dd/mm/yyyy` of 1900-2099: year, and month with day |
 | phone, national | `+1 (ddd) ddd-dddd`, `ddd-ddd-dddd`, `ddd-dd-dddd`: digits; a leading 0-1 of a group and 2-9 stay apart |
 | address | four octets: each within its number of digits |
-| mail | letters and digits before the `@` |
-| secret | letters and digits of `AKIA...` keys and of `password=` and `token = "..."` values, markers in any case and spacing |
+| mail | ASCII letters and digits before the `@`; other letters stay |
+| secret | ASCII letters and digits of `AKIA...` keys and of values behind a marker (`password`, `passwd`, `pwd`, `passwort`, `secret`, `api_key`, `token`) with `=` or `:`, in any case and spacing: in quotes the whole value, else up to a space; behind `:`, and behind `token` without quotes, only values with a digit |
 
 A run of numbers is searched for cards from left to right, the longest first at each number;
-what belongs to no card is judged number by number. Values that fail validation stay as they are. Null texts stay null; empty texts stay empty.
+what belongs to no card is judged number by number. Values that fail validation stay as they are. The key is
+the session's `spark.docloom.pii.key`; the fallback `KEY` is public and for tests. Not found:
+phone numbers and dates of other forms, IBANs, IPv6 addresses. Null texts stay null; empty texts stay empty.
 Repeated rows are treated alike; other columns are kept, whatever their names, but for one
 named like `changed`, which is replaced.
 """
@@ -31,18 +33,28 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import query, table
 
-KEY = "docloom"
+KEY = "docloom"  # for tests; whoever knows the key can undo the pseudonyms
+SETTING = "spark.docloom.pii.key"
 TURNS = 8
 KINDS = ("mail", "secret", "phone", "national", "date", "address", "card")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_MAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_LOCAL = r"\p{L}\p{N}._%+-"
+_MAIL = rf"[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_PASS = r"password|passwd|passwort|pwd|secret|api[_-]?key"
 # What stands before a secret; it belongs to the match and stays.
-_MARK = r"(?i:password\s*+=\s*+[\"']?+|token\s*+=\s*+[\"'])"
+_MARK = rf"(?i:(?:{_PASS}|token)\s*+[=:]\s*+[\"']?+)"
+_BARE = r"[^\s\"'<>]*[A-Za-z0-9]"
+_SECRET = "|".join((
+    rf"(?i:(?:{_PASS}|token)\s*+=\s*+)(?:\"(?!{_MAIL})[^\"\n]+(?=\"|\z)|'(?!{_MAIL})[^'\n]+(?='|\z))",
+    rf"(?i:(?:{_PASS})\s*+=\s*+)[\"']?+(?!{_MAIL}){_BARE}",
+    rf"(?i:token\s*+=\s*+)[\"'](?!{_MAIL})[A-Za-z0-9]+",
+    rf"(?i:(?:{_PASS}|token)\s*+[=:]\s*+)[\"']?+(?!{_MAIL})(?=[^\s\"'<>]*[0-9]){_BARE}",
+))
 _CARD = r"\d(?:[ -]?\d){12,18}"
 PATTERNS = {
-    "mail": rf"(?<![A-Za-z0-9._%+-]){_MAIL}",
-    "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{_MARK}(?!{_MAIL})[A-Za-z0-9]+",
+    "mail": rf"(?<![{_LOCAL}]){_MAIL}",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{_SECRET}",
     "phone": r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])"
@@ -240,17 +252,19 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
             .otherwise(value))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY,
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None,
                  changed: str = "n_changed") -> DataFrame:
     """`docs` with `text` replaced, and `changed`: number of values that got a pseudonym.
 
+    Without `key`, the session's setting is the key.
     Texts without a digit or `@` are passed on after one quick search.
     """
+    key = docs.sparkSession.conf.get(SETTING, KEY) if key is None else key
     taken = {c.lower() for c in docs.columns}
     found, fresh = (next(c for c in (stem + "_" * k for k in range(len(taken) + 1)) if c not in taken)
                     for stem in ("found", "fresh"))
     whole = F.col(text)
-    has = whole.rlike(r"[0-9@]|(?i:password|token)\s*+=") & whole.rlike(ANY)
+    has = whole.rlike(rf"[0-9@]|(?i:{_PASS}|token)\s*+=") & whole.rlike(ANY)
     parts = docs.select("*", F.when(has, F.transform(
         F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces)).alias(found))
     parts = parts.withColumn(fresh, F.transform(F.flatten(found), lambda v: pseudonym(v, key)))

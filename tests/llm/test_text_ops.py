@@ -237,6 +237,35 @@ def test_secrets_in_any_case_and_spacing(docs):
     assert [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(kept)))).orderBy("doc_id").collect()] == kept
 
 
+def test_secrets_are_whole(docs):
+    secrets = [("password=", "hun-ter$2x9", ""), ('password="', "my secret word", '" and more'), ("pwd=", "abcd", " x"),
+               ("token=", "abc123def", "."), ("secret: ", "s3cr-et", ""), ("API_KEY = '", "k9/x+y", "'"),
+               ("password: ", "x1", ", then"), ("Passwort=", "größe7", " und"), ("mail ", "josé.nuñez", "@ex.com now")]
+    lines = ["".join(s) for s in secrets]
+    got = [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(lines)))).orderBy("doc_id").collect()]
+    for (before, value, after), new in zip(secrets, got):
+        fresh = new[len(before):len(new) - len(after)]
+        assert new.startswith(before) and new.endswith(after) and len(fresh) == len(value), new
+        # Every part of letters and digits changes; what is not ASCII stays.
+        for old_part, new_part in zip(re.findall("[A-Za-z0-9]+", value), re.findall("[A-Za-z0-9]+", fresh)):
+            assert len(old_part) < 3 or old_part != new_part
+        assert fresh != value and re.sub("[a-z]", "a", re.sub(r"\d", "9", fresh)) == re.sub("[a-z]", "a", re.sub(r"\d", "9", value))
+    kept = ["password: see below", "the secret: never give up", "token: next", 'he said "secret" to all', "tokens = [a, b]"]
+    assert [r.text for r in op9_pii.pseudonymise(docs(list(enumerate(kept)))).orderBy("doc_id").collect()] == kept
+
+
+def test_key_of_the_session(docs, spark):
+    rows = docs([(1, "call 555-123-4567"), (2, "on 2024-02-03")])
+    texts = lambda df: [r.text for r in df.orderBy("doc_id").collect()]
+    public = texts(op9_pii.pseudonymise(rows))
+    try:
+        spark.conf.set(op9_pii.SETTING, "another")
+        assert texts(op9_pii.pseudonymise(rows)) == texts(op9_pii.pseudonymise(rows, key="another")) != public
+    finally:
+        spark.conf.unset(op9_pii.SETTING)
+    assert texts(op9_pii.pseudonymise(rows)) == public
+
+
 def test_cards_beside_other_numbers(docs):
     card = "4387513035237269"
     spaced = "4111 1111 1111 1111"

@@ -7,9 +7,12 @@ The posterior of a page's language multiplies three kinds of evidence:
   that by all pages; each level is a grouped sum of the text posteriors, less the page's own.
 
 The letter-pair model is fitted on at most `SAMPLE` rows of `documents` for each language,
-chosen by a hash; it has at most `PAIRS` pairs. Counts of hosts, suffixes and declarations
-cover all pages. Sums are combined before they are shuffled, so a hot host is one row from
-each task; pages are joined to host priors with one row a host.
+chosen by a hash; it has at most `PAIRS` pairs, and every language that a document states.
+Counts of hosts, suffixes and declarations cover all pages. Sums are combined before they are
+shuffled, so a hot host is one row from each task. Fewer than `SHARE` hosts can hold more than
+one page in `SHARE` each; their priors are broadcast, so that no join key of the other pages is
+hot. Hosts meet their domains and suffixes in the same way. Declarations have two or three
+letters, so their table is bounded too.
 
 Null or empty html has no text evidence; null or odd addresses have the prior of all pages;
 a page without declaration has none. Every page gives one row, also when page_id is null or
@@ -25,7 +28,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import durable, query, small_batches, table
@@ -34,6 +37,7 @@ SAMPLE = 500
 PAIRS = 20_000
 TEMPER = 0.3  # letter pairs of one text are far from independent
 HOST, DOMAIN, SUFFIX, DECLARED = 20.0, 20.0, 20.0, 5.0  # pseudo-counts of each level
+SHARE = 1000  # a key with more than one row in SHARE is hot
 
 _HIDDEN = re.compile(r"<(script|style)\b[^>]*>(?:(?!</\1)[\s\S])*+(?:</\1[^>]*>)?|<!--(?:(?!-->)[\s\S])*+(?:-->)?", re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -56,15 +60,12 @@ def pairs(text: str) -> dict[str, int]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, list[float]], list[float]]:
     """(languages, log-probabilities of each pair, those of an unseen pair)."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r.lang for r in labelled.groupBy("lang").count()
-                       .orderBy(F.desc("count"), "lang").limit(100).select("lang").collect())
-    picked = None
-    for lang in languages:
-        part = (labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-                .limit(sample).select("lang", "text"))
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    if not languages:
         return [], {}, []
+    order = Window.partitionBy("lang").orderBy("chosen", "doc_id", F.xxhash64("text"))
+    picked = (labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("chosen"))
+              .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample).select("lang", "text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,7 +110,18 @@ def _posterior(logs):
     return F.transform(odds, lambda x: x / total)
 
 
-def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def look_up(rows: DataFrame, priors: DataFrame, key: str, total: int, share: int = SHARE) -> DataFrame:
+    """`rows` with the columns of `priors`, which has one row a key with `n`, its number of `rows`.
+
+    Fewer than `share` keys can hold more than one of `total` rows in `share`; those are broadcast.
+    """
+    hot = F.col("n") * share > total
+    few = F.broadcast(priors.filter(hot).drop("n"))
+    rest = rows.join(few.select(key), key, "left_anti").join(priors.filter(~hot).drop("n"), key, "left")
+    return rows.join(few, key).unionByName(rest)
+
+
+def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE, share: int = SHARE) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared, host: one row for each page."""
     model = fit(docs, sample)
     languages = model[0]
@@ -125,17 +137,19 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     one = [F.sum(F.element_at("own", i + 1)).alias(f"s{i}") for i in range(k)]
     vector = lambda p="s": F.array(*[F.col(f"{p}{i}") for i in range(k)])
     add = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
-    hosts = seen.groupBy("host").agg(*one) \
-        .withColumn("domain", F.substring_index("host", ".", -2)) \
-        .withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = hosts.groupBy("domain").agg(*add).select("domain", vector().alias("vd"))
-    suffixes = hosts.groupBy("suffix").agg(*add).select("suffix", vector().alias("vs"))
-    total = [x or 0.0 for x in hosts.agg(*add).first()]
+    hosts = durable(seen.groupBy("host").agg(*one, F.count("*").alias("n"))
+                    .withColumn("domain", F.substring_index("host", ".", -2))
+                    .withColumn("suffix", F.substring_index("host", ".", -1)))
+    many = F.count("*").alias("n")
+    domains = hosts.groupBy("domain").agg(*add, many).select("domain", "n", vector().alias("vd"))
+    suffixes = hosts.groupBy("suffix").agg(*add, many).select("suffix", "n", vector().alias("vs"))
+    *total, n_pages, n_hosts = (x or 0 for x in hosts.agg(*add, F.sum("n"), F.count("*")).first())
     base = [(x + 1.0) / (sum(total) + k) for x in total]
-    levels = (hosts.select("host", "domain", "suffix", vector().alias("vh"))
-              .join(domains, "domain", "left").join(suffixes, "suffix", "left"))
+    levels = hosts.select("host", "domain", "suffix", F.col("n").alias("held"), vector().alias("vh"))
+    levels = look_up(look_up(levels, domains, "domain", n_hosts, share), suffixes, "suffix", n_hosts, share)
+    levels = durable(levels.select("host", F.col("held").alias("n"), "vh", "vd", "vs"))
     stated = seen.filter("declared IS NOT NULL").groupBy("declared").agg(*one).select("declared", vector().alias("vm"))
-    joined = seen.join(levels.select("host", "vh", "vd", "vs"), "host", "left").join(stated, "declared", "left")
+    joined = look_up(seen, levels, "host", n_pages, share).join(F.broadcast(stated), "declared", "left")
     start = F.array(*[F.lit(x) for x in base])
 
     def level(counts: str, strength: float, under):

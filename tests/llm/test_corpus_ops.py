@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -232,6 +233,65 @@ def test_languages(spark):
     assert op6_language.identify(pages.limit(0), docs).count() == 0
 
 
+def brute_languages(rows, model):
+    """(lang, confidence) of each (url, html), by the docstring's rule and plain loops."""
+    names, weights, unseen = model
+    k = len(names)
+    norm = lambda v: [x / sum(v) for x in v]
+    add = lambda vs: [sum(c) for c in zip(*vs)]
+    seen = []
+    for url, html in rows:
+        text = [op6_language.TEMPER * sum(n * weights.get(p, unseen)[i] for p, n in
+                                          op6_language.pairs(op6_language.visible(html)).items()) for i in range(k)]
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        host = host[1].lower() if host else ""
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", html or "", re.I)
+        own = norm([math.exp(x - max(text)) for x in text])
+        seen.append((text, own, [host, ".".join(host.split(".")[-2:]), host.split(".")[-1]], said and said[1].lower()))
+    total = add([s[1] for s in seen])
+    out = []
+    for text, own, names_, said in seen:
+        prior = [(x + 1) / (sum(total) + k) for x in total]
+        for level, strength in ((2, op6_language.SUFFIX), (1, op6_language.DOMAIN), (0, op6_language.HOST)):
+            rest = [max(a - b, 0) for a, b in zip(add([s[1] for s in seen if s[2][level] == names_[level]]), own)]
+            prior = [(c + strength * p) / (sum(rest) + strength) for c, p in zip(rest, prior)]
+        logs = [t + math.log(p) for t, p in zip(text, prior)]
+        if said:
+            rest = [max(a - b, 0) for a, b in zip(add([s[1] for s in seen if s[3] == said]), own)]
+            logs = [x + math.log((c + op6_language.DECLARED / k) / (t + op6_language.DECLARED))
+                    for x, c, t in zip(logs, rest, total)]
+        both = norm([math.exp(x - max(logs)) for x in logs])
+        out.append((names[both.index(max(both))], max(both)))
+    return out
+
+
+@pytest.mark.parametrize("share", [3, op6_language.SHARE])
+def test_languages_equal_brute_force(spark, share):
+    """With hot keys (share 3: a host, domain or suffix of over a third of the rows) and without."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    r = random.Random(5)
+    texts = [t.text[:r.choice((0, 20, 400))] for t in docs.filter("text IS NOT NULL").orderBy("doc_id").limit(90).collect()]
+    hosts = ["hot.one.example"] * 6 + ["b.one.example", "c.two.example", "d.three.test", "e.test", "HOT.one.example"]
+    rows = [(f"https://{r.choice(hosts)}/{i}", f"<html{r.choice(['', ' lang=de', ' lang=xx'])}><p>{t}")
+            for i, t in enumerate(texts)] + [(None, None), ("nonsense", ""), ("https://u@hot.one.example:80/", "<html lang='fr'>")]
+    pages = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id long, url string, html string")
+    got = {x.page_id: x for x in op6_language.identify(pages, docs, share=share).collect()}
+    want = brute_languages(rows, op6_language.fit(docs))
+    assert sorted(got) == list(range(len(rows)))
+    for i, (lang, confidence) in enumerate(want):
+        assert got[i].confidence == pytest.approx(confidence, rel=1e-6)
+        assert got[i].lang == lang or want[i][1] < 0.500001
+
+
+def test_no_language_is_left_out(spark):
+    """120 languages, each with letters of its own, are all known and found."""
+    word = lambda i: chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i)
+    docs = spark.createDataFrame([(i, f"{word(i)} " * 30, f"l{i:03}") for i in range(120)], "doc_id long, text string, lang string")
+    pages = docs.selectExpr("doc_id AS page_id", "'https://h.example/' AS url", "text AS html", "lang AS true")
+    got = op6_language.identify(pages.drop("true"), docs).join(pages.select("page_id", "true"), "page_id").collect()
+    assert len(got) == 120 and all(x.lang == x.true for x in got)
+
+
 def test_language_accuracy(spark):
     """Documents wrapped as pages without any declaration keep their language."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) > 200")

@@ -3,6 +3,8 @@
 Seeds are runs of `SEED` words; of every `SPAN` neighbouring ones the least code is taken,
 so equal stretches of SEED + SPAN - 1 words share a seed. A seed's smallest document is its
 source; each other document that has the seed is joined to the source, never to all others.
+Seeds that no passage with a source then explains have a second way: documents that share two
+of them, as far apart as the ends of a chain, are joined to each other by all seeds they share.
 The shared seeds of a pair are chained in order: the best chain that ends at a seed is the
 best one before it in both texts less a cost for the gap, found by a Fenwick tree over the
 source places. Chains are cut out best first, and the word stretches of each chain are
@@ -13,7 +15,9 @@ words, so every part of it is tried: the longest part of at least `WORDS` words
 
 The seed counts are combined before the shuffle and the join's source side has one row a
 seed, so a passage held by a third of the documents is split by the adaptive join. A seed
-that a text repeats counts at its first place. Null, empty and short texts have no passages;
+that a text repeats counts at its first place. The second way grows with the square of the
+documents that share unexplained seeds, such as a notice shorter than a passage; its joins
+spill and are split, and nothing is left out. Null, empty and short texts have no passages;
 rows without doc_id are not compared; of rows that repeat a doc_id the longest text is used.
 Other columns are not read.
 """
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import durable, query, small_batches, table
 from docloom.llm.op5_minhash import Known, _mix, word_codes
+from docloom.session import written
 
 SEED, SPAN = 6, 10
 WORDS, IDENTITY = 50, 0.8
@@ -59,7 +64,9 @@ def _seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         code, doc, place = [], [], []
         for d, text in zip(pdf["doc_id"], pdf["text"]):
-            c, p = seeds(word_codes(text, known))
+            words = word_codes(text, known)
+            # A passage has at least WORDS words on both sides.
+            c, p = seeds(words if len(words) >= WORDS else words[:0])
             code.append(c)
             place.append(p)
             doc.append(np.full(len(c), d))
@@ -271,15 +278,10 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                          "source_end", "n_seeds", "identity"])
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """One row for each passage of a document that a source document also has."""
-    docs = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    rows = docs.mapInPandas(_seed_rows, "code long, doc_id long, place int")
-    sources = (rows.groupBy("code").agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("most"))
-               .filter("s.doc_id < most").select("code", F.col("s.doc_id").alias("source"), F.col("s.place").alias("y")))
-    matches = (rows.join(sources, "code").filter("doc_id > source")
-               .groupBy("doc_id", "source").agg(F.collect_set(F.struct(F.col("place").alias("x"), "y")).alias("matches"))
-               .filter(F.size("matches") >= 2))
+def _compared(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """The passages of pairs of documents, from the places (doc_id, source, x, y) of their shared seeds."""
+    matches = matches.groupBy("doc_id", "source").agg(F.collect_set(F.struct("x", "y")).alias("matches")).filter(
+        F.size("matches") >= 2)
     found = matches.mapInPandas(_chained, "doc_id long, source long, a int, b int, c int, d int, seeds int")
     found = durable(found.withColumn("key", F.xxhash64("doc_id", "source", "a", "b", "c", "d")).dropDuplicates(
         ["doc_id", "source", "a", "b", "c", "d"]))
@@ -300,6 +302,49 @@ def passages(docs: DataFrame) -> DataFrame:
                                       " source_end int, n_seeds int, identity double")
 
 
+# A chain's words and SPAN on either side hold a passage, so its outer seeds are this far apart at least. The
+# first seed that far from a chain's first one is looked for within 100 words more.
+LEAST = WORDS - SEED - 2 * SPAN
+MOST = LEAST + 100
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """(doc_id, one, two): pairs of seeds of a text that stand LEAST to MOST words apart, in order."""
+    places = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "code"))).alias("s"))
+    each = places.select("doc_id", "s", F.posexplode("s").alias("i", "p"))
+    after = F.filter(F.slice("s", F.col("i") + 2, F.lit(MOST)), lambda q: (q["place"] - F.col("p.place")).between(LEAST, MOST))
+    return each.select("doc_id", F.col("p.code").alias("one"), F.explode(after).alias("q")).select(
+        "doc_id", "one", F.col("q.code").alias("two"))
+
+
+def _unexplained(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source) that share the ends of a chain which no found passage of the document holds."""
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    held = F.exists("spans", lambda s: (F.col("place") >= s["start"]) & (F.col("place") + SEED <= s["end"]))
+    rest = written(shared.filter("doc_id > source").join(spans, "doc_id", "left").filter(
+        ~F.coalesce(held, F.lit(False))).select("code", "doc_id", "place"))
+    others = _ends(shared.join(rest.select("code").distinct(), "code", "left_semi")).withColumnRenamed("doc_id", "source")
+    return _ends(rest).join(others, ["one", "two"]).filter("doc_id > source").select("doc_id", "source").distinct()
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """One row for each passage of a document that a source document also has."""
+    docs = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    rows = written(docs.mapInPandas(_seed_rows, "code long, doc_id long, place int"))
+    sources = (rows.groupBy("code").agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("most"))
+               .filter("s.doc_id < most").select("code", F.col("s.doc_id").alias("source"), F.col("s.place").alias("y")))
+    shared = written(rows.join(sources, "code"))
+    found = written(_compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y")))
+
+    pairs = written(_unexplained(shared, found))
+    left = shared.select("doc_id", "code", F.col("place").alias("x"))
+    right = shared.select(F.col("doc_id").alias("source"), "code", F.col("place").alias("y"))
+    more = _compared(docs, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"))
+    # A pair that is compared again is compared by more seeds.
+    return found.join(pairs.withColumnRenamed("source", "source_id"), ["doc_id", "source_id"], "left_anti").select(
+        *more.columns).unionByName(more)
+
+
 @query("op1_chaining")
 def op1_chaining(spark: SparkSession, folder: str) -> DataFrame:
     return passages(table(spark, folder, "documents"))

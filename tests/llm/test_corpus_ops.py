@@ -216,6 +216,18 @@ def test_chains_equal_quadratic_programming():
     assert abs(total - max(score)) < 1e-6
 
 
+def test_passages_whose_seeds_have_other_sources(docs):
+    draw = random.Random(5)
+    fill = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    passage = fill(90)
+    rows = [(i, " ".join(fill(40) + passage[at:at + 18] + fill(40))) for i, at in enumerate(range(0, 90, 10))]
+    rows += [(50, " ".join(fill(30) + passage + fill(30))), (60, " ".join(fill(7) + passage)),
+             (70, " ".join(passage[:45])), (71, " ".join(passage[:45]))]
+    found = op1_chaining.passages(docs(rows)).collect()
+    assert [(r.doc_id, r.source_id, r.start, r.end, r.source_start, r.source_end, r.identity) for r in found] == [
+        (60, 50, 7, 97, 30, 120, 1.0)]
+
+
 def test_passages_of_odd_rows(odd):
     assert op1_chaining.passages(odd.limit(0)).count() == 0
     assert op1_chaining.passages(odd).count() == 0

@@ -11,7 +11,7 @@ from docloom.functions import names as N
 from docloom.operators import signatures as S
 from docloom.plans.registry import query
 from docloom.plans.tables import with_views
-from docloom.session import shared_folder, spread
+from docloom.session import durable, shared_folder, spread
 from docloom.sources import cache as C
 from docloom.sources import docset as D
 from docloom.sources import extract as E
@@ -223,7 +223,7 @@ r.p AS params, r.b AS bases, r.d AS doc, r.n AS names, r.a AS accessors FROM (SE
   {'q': 'T' || doc_id, 't': 'list', 's': 16, 'e': 17, 'p': NULL, 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''},
   {'q': 'size', 't': 'int', 's': 19, 'e': 20, 'p': NULL, 'b': NULL, 'd': NULL, 'n': NULL, 'a': ''}]) AS r FROM documents)""")
 def bindings(t):
-    raw = E.parse_sources(_bound_sources(t))
+    raw = durable(E.parse_sources(_bound_sources(t)))
     shown = F.transform("signature.params", lambda p: F.concat(
         p["name"], F.coalesce(F.concat(F.lit(":"), p["annotation"]), F.lit("")),
         F.coalesce(F.concat(F.lit("="), p["default_repr"]), F.lit(""))))

@@ -48,17 +48,23 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+# Rows of an input that one task of row-wise heavy work takes.
+ROWS_PER_TASK = 20_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give row-wise heavy work enough tasks.
+    """Give row-wise heavy work enough tasks, each with a bounded number of rows.
 
     A small input may come as one or two splits and would keep the other cores idle;
-    it is then hashed by its unique key. An input with more splits than cores, as any
-    large one has, is left as it is: no shuffle.
+    it is then hashed by its unique key, and so is one whose splits hold many rows. An
+    input with enough splits is left as it is: no shuffle. `df` is read for its count, so
+    it should be a table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    tasks = max(2 * cores, -(-df.count() // ROWS_PER_TASK))
+    if df.rdd.getNumPartitions() >= tasks:
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(tasks, key)
 
 
 def durable(df: DataFrame) -> DataFrame:

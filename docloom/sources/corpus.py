@@ -94,7 +94,7 @@ def build(sources: DataFrame, packages: DataFrame | None = None) -> Corpus:
     are packages, whose relative imports start at themselves."""
     raw = durable(E.parse_sources(sources))
     good, failed = E.split_errors(raw)
-    bound = durable(E.bindings(good))
+    bound = E.bindings(good)
     modules = bound.filter("kind = 'module'").select("modname")
     stars = E.star_aliases(good, packages)
     keys = bound.select("modname", col("qualname").alias("member_name"))

@@ -19,6 +19,7 @@ from docloom.functions import names as N
 from docloom.functions import objects as O
 from docloom.functions.generate import explode_rows
 from docloom.operators.signatures import SIGNATURE, param_rows, source_of
+from docloom.session import durable
 
 col = F.col
 
@@ -46,8 +47,10 @@ RAW = T.StructType([
         T.StructField("role", T.StringType()), T.StructField("name", T.StringType())]))),
 ])
 
-# Object rows handed back to Spark at a time.
+# Sources handed to a worker at a time; object rows, and characters of sources, handed back at a time.
+SOURCES_PER_BATCH = 200
 ROWS_PER_BATCH = 2_000
+CHARS_PER_BATCH = 1 << 22
 
 # Decorators that change what a function is, property accessors, and the
 # arguments of `property` in order.
@@ -316,19 +319,21 @@ def _module_rows(modname, path, source):
 def _parse(batches):
     schema = to_arrow_schema(RAW)
     for batch in batches:
-        rows = []
+        rows, chars = [], 0
         # One source at a time: only its own tree is in memory.
         for source in zip(*(batch.column(name) for name in ("modname", "path", "source"))):
             rows += _module_rows(*(value.as_py() for value in source))
-            if len(rows) >= ROWS_PER_BATCH:
+            chars += len(source[-1].as_py() or "")
+            if len(rows) >= ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows = []
+                rows, chars = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
     """Raw rows of every source (modname, path, source), one per binding."""
+    sources.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SOURCES_PER_BATCH)
     return sources.select("modname", "path", "source").mapInArrow(_parse, RAW)
 
 
@@ -372,6 +377,8 @@ def bindings(raw: DataFrame) -> DataFrame:
           if c not in ("modname", "qualname", "kind")],
         *[has(role).alias(f"has_{role}") for role in ROLE_BY_ACCESSOR.values()],
     ).filter("kind <> 'delete'").select(*raw.columns, "has_get", "has_set", "has_del")
+    # The holders would otherwise be worked out by the whole aggregate once more.
+    bound = durable(bound)
     holders = bound.filter(col("kind").isin("type", "function")).select("modname", col("qualname").alias("owner"))
     return bound.filter("NOT attached").unionByName(
         bound.filter("attached").join(holders, ["modname", "owner"], "left_semi").select(*bound.columns))

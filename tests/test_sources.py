@@ -2,9 +2,11 @@ import gzip
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import session
 from docloom.functions import objects as O
 from docloom.operators import members as M
 from docloom.operators import refs as R
@@ -317,3 +319,22 @@ def test_one_malformed_document_leaves_the_others(spark):
     docs = spark.createDataFrame([('{"modules": {"m": {"type": {}}}}',), ("{broken",)], "json string")
     assert [r.modname for r in docset.flatten(docs).collect()] == ["m"]
     assert docset.bad_documents(docs).count() == 1
+
+
+def test_row_wise_work_is_spread_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10, raising=False)
+    assert session.spread(spark.range(1000), "id").rdd.getNumPartitions() >= 100
+
+
+def test_bindings_parse_the_sources_once(spark):
+    sources = spark.createDataFrame([("m", "m.py", "class C: pass\nC.x = 1\n")], "modname string, path string, source string")
+    bound = E.bindings(E.parse_sources(sources))
+    assert "MapInArrow" not in bound._jdf.queryExecution().executedPlan().toString()
+    assert {r.qualname for r in bound.collect()} == {None, "C", "C.x"}
+
+
+def test_rows_of_long_sources_are_handed_back_in_small_batches(monkeypatch):
+    monkeypatch.setattr(E, "CHARS_PER_BATCH", 100, raising=False)
+    rows = [{"modname": f"m{i}", "path": f"m{i}.py", "source": f'"""{"x" * 200}"""\na = {i}\n'} for i in range(5)]
+    batches = list(E._parse([pa.RecordBatch.from_pylist(rows)]))
+    assert [b.num_rows for b in batches] == [2] * 5

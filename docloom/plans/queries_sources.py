@@ -337,5 +337,5 @@ def parameter_rows(t):
     documents = signed.select(F.concat(
         F.lit('{"modules": {"'), "obj", F.lit('": {"dict": {"C": {"dict": {"f": {"func": {"func": {"func": {"signature": {"params": ['),
         text, F.lit("]}}}}}}}}}}}}")).alias("json"))
-    return D.params(D.flatten(spread(documents, "json"))).filter("role = 'func.func.func' AND qualname = 'C.f'").select(
+    return D.params(D.flatten(documents)).filter("role = 'func.func.func' AND qualname = 'C.f'").select(
         col("modname").alias("obj"), "pos", "name", "kind", "default_repr", "annotation")

@@ -369,18 +369,33 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     exactly n with all: every shortest way of n + 1 to 2n hops has a node n hops along it,
     so the distance doubles and each pair is found with its least one. A loop adds pairs
     only while its own length is not reached, so cycles end by themselves.
+
+    Between rounds the ancestors of a node travel as arrays in one row, and only those of
+    nodes that stand n hops above another are looked up. Pairs become rows behind the
+    shuffle by node, where their least distance is found, so each is shuffled in no form
+    but that; the last round's pairs are not written.
     """
-    known = durable(edges.select("child", col("base").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")).distinct())
+    pairs = edges.select("child", col("base").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")).distinct()
     reach = 1
     while True:
-        far = known.filter(col("depth") == reach).select("child", col("ancestor").alias("_via"))
-        near = known.select(col("child").alias("_via"), "ancestor", (col("depth") + reach).alias("depth"))
-        # One aggregate: a known pair keeps its distance, as a new way is longer.
-        fresh = far.join(near, "_via").select("child", "ancestor", "depth")
-        known = durable(known.unionByName(fresh).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        known = written(pairs.groupBy("child").agg(
+            F.sort_array(F.collect_list(F.struct("depth", "ancestor"))).alias("_p")).select(
+            "child", col("_p.ancestor").alias("_names"), col("_p.depth").alias("_depths")))
+        far = explode_rows(known, ["child"], F.filter(
+            F.arrays_zip("_names", "_depths"), lambda p: p["_depths"] == reach), "_far").select(
+            "child", col("_far._names").alias("_via"))
+        # Written, so that few of them are known to be few and `known` need not be shuffled to find them.
+        vias = written(far.select(col("_via").alias("child")).distinct())
+        near = written(known.join(vias, "child", "left_semi").select(
+            col("child").alias("_via"), "_names", F.transform("_depths", lambda d: d + reach).alias("_depths")))
+        # Merged by via, as rows of one via then stand together and their equal arrays are packed.
+        ways = far.join(near.hint("merge"), "_via").select("child", "_names", "_depths")
+        both = known.unionByName(ways).repartition("child")
+        pairs = explode_rows(both, ["child"], F.arrays_zip("_names", "_depths"), "_p").groupBy(
+            "child", col("_p._names").alias("ancestor")).agg(F.min("_p._depths").alias("depth"))
         reach *= 2
-        if known.filter(col("depth") >= reach).isEmpty():
-            return known
+        if near.filter(F.array_contains("_depths", F.lit(reach).cast("bigint"))).isEmpty():
+            return pairs
 
 
 def linearize(edges: DataFrame) -> DataFrame:

@@ -214,6 +214,17 @@ def test_closure_equals_brute_force(spark):
     assert {(x.child, x.ancestor): x.depth for x in got} == want
 
 
+def test_closure_pairs_travel_as_arrays(spark):
+    edges = [(f"d{i}", f"d{i // k}") for i in range(1, 300) for k in (2, 3)] + [("d7", None), (None, "d1")]
+    got = R.ancestor_closure(spark.createDataFrame(edges, "child string, base string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # Nothing is copied to a checkpoint, and pairs are not shuffled one by one.
+    assert "ExistingRDD" not in plan and "Exchange hashpartitioning(child" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "ancestor" in line]
+    rows = {(r.child, r.ancestor): r.depth for r in got.collect()}
+    assert rows[("d7", None)] == 1 and rows[(None, "d1")] == 1 and rows[("d255", "d1")] == 5 and rows[("d299", "d0")] == 6
+
+
 def test_orders_equal_those_of_python(spark):
     import random
     r = random.Random(5)

@@ -46,12 +46,18 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    """Mixed in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _pair(x: np.ndarray, y: np.ndarray, salt: np.uint64) -> np.ndarray:
-    return _mix(x * salt + _mix(y + salt))
+    # The parts are mixed codes already, so their weighted sum is mixed once.
+    out = x * salt
+    out += y
+    return _mix(out)
 
 
 def ranks(data: np.ndarray, length: int, salt: np.uint64) -> np.ndarray:

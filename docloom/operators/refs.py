@@ -370,10 +370,10 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     so the distance doubles and each pair is found with its least one. A loop adds pairs
     only while its own length is not reached, so cycles end by themselves.
 
-    Between rounds the ancestors of a node travel as arrays in one row, and only those of
-    nodes that stand n hops above another are looked up. Pairs become rows behind the
-    shuffle by node, where their least distance is found, so each is shuffled in no form
-    but that; the last round's pairs are not written.
+    Between rounds the ancestors of a node are arrays in one row, and only those of nodes
+    that stand n hops above another are looked up. Every round shuffles the arrays by node;
+    pairs become rows behind that shuffle, where the least distance is taken, so all that is
+    found for one node meets in one task. The last round's pairs are not written.
     """
     pairs = edges.select("child", col("base").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")).distinct()
     reach = 1

@@ -59,18 +59,20 @@ def enrich(objects: DataFrame, doc: str = "doc", params: str = "params") -> Data
 # -- member rows ----------------------------------------------------------
 
 
-def member_rows(members: DataFrame, objects: DataFrame, web: bool = False) -> DataFrame:
+def member_rows(members: DataFrame, objects: DataFrame, web: bool = False,
+                ends: DataFrame | None = None) -> DataFrame:
     """One display row per member, refs read through to what they lead to.
 
     `members`: parent_mod, parent_qual, member_name, is_ref, target_mod, target_qual.
     `objects`: modname, qualname, type_mod, type_qual, type_name, name, has_get,
     has_set, has_del, params, function_like, repr, summary, body. A ref that leads
-    nowhere keeps its own row, without details.
+    nowhere keeps its own row, without details. `ends`: what `refs.resolve_refs`
+    gives for the refs among the members, where it is known.
     """
     place_qual = N.child(col("parent_qual"), col("member_name"))
     refs = members.filter("is_ref").select(
         col("parent_mod").alias("modname"), place_qual.alias("qualname"), "target_mod", "target_qual")
-    ends = R.resolve_refs(refs).select(
+    ends = (R.resolve_refs(refs) if ends is None else ends).select(
         col("modname").alias("_m"), col("qualname").alias("_n"), "final_mod", "final_qual")
     led = members.join(
         ends, (col("parent_mod") == col("_m")) & (place_qual == col("_n")) & col("is_ref"), "left",

@@ -61,7 +61,7 @@ def resolve_refs(refs: DataFrame, with_path: bool = False) -> DataFrame:
         N.ancestor_names(col("target_qual")), "_prefix"
     ).join(places, ["target_mod", "_prefix"], "left_semi")
     if not below.isEmpty():
-        ends = _rewritten(durable(ends), with_path)
+        ends = _rewritten(written(ends), with_path)
     cyclic = col("is_cycle")
     return ends.select(
         "modname", "qualname", *[F.when(~cyclic, col(a)).alias(b) for a, b in (
@@ -127,7 +127,7 @@ def _chain_ends(keyed: DataFrame, with_path: bool) -> DataFrame:
     ).distinct()
     # Only refs that are themselves targets take part in the rounds.
     inner = keyed.join(targets, ["modname", "qualname"], "left_semi")
-    jump = durable(inner.select(
+    jump = written(inner.select(
         "modname", "qualname",
         col("target_mod").alias("cur_mod"), col("target_qual").alias("cur_qual"),
         F.lit(1).cast("bigint").alias("hops"), F.lit(False).alias("done"),
@@ -147,7 +147,7 @@ def _chain_ends(keyed: DataFrame, with_path: bool) -> DataFrame:
             "left",
         )
         at_end = col("_modname").isNull()
-        moved = durable(moved.select(
+        moved = written(moved.select(
             "modname", "qualname",
             F.when(at_end, col("cur_mod")).otherwise(col("_cur_mod")).alias("cur_mod"),
             F.when(at_end, col("cur_qual")).otherwise(col("_cur_qual")).alias("cur_qual"),
@@ -201,17 +201,18 @@ def look_up(requests: DataFrame, objects: DataFrame) -> DataFrame:
     return requests.join(first, ["modname", "qualname"], "left")
 
 
-def look_up_through(requests: DataFrame, objects: DataFrame, aliases: DataFrame) -> DataFrame:
+def look_up_through(requests: DataFrame, objects: DataFrame, aliases: DataFrame,
+                    ends: DataFrame | None = None) -> DataFrame:
     """Look up each requested name, following refs wherever they stand on the way.
 
     `aliases`: modname, member_name (a name of any depth), target_mod, target_qual. Adds
     found_mod, found_qual, status (found, missing_module, missing_name) and missing_name.
     A round passes all plain parts up to the next ref at once, so names take one round more
     than the refs that they lead through, however many parts they have; refs are followed
-    to their ends before.
+    to their ends before. `ends`: what `resolve_aliases` gives for `aliases`, where it is known.
     """
     plain = objects.select(col("modname").alias("_m"), col("qualname").alias("_q"))
-    ends = resolve_aliases(aliases).filter("NOT is_cycle").select(
+    ends = (resolve_aliases(aliases) if ends is None else ends).filter("NOT is_cycle").select(
         col("modname").alias("_m"), col("member_name").alias("_q"),
         col("final_mod").alias("_to_mod"), col("final_qual").alias("_to_qual"))
     # One table of places: an object has no onward path; a ref counts if it leads to an object.

@@ -85,6 +85,15 @@ SIGNATURE = T.StructType([
 
 def source_of(node: ast.AST) -> str:
     """Source text of an expression; a marker where it is nested too deeply to be written out."""
+    # The plain cases, which are most, without the visitor.
+    names, at = [], node
+    while isinstance(at, ast.Attribute):
+        names.append(at.attr)
+        at = at.value
+    if isinstance(at, ast.Name):
+        return ".".join([at.id, *names[::-1]])
+    if isinstance(node, ast.Constant) and type(node.value) in (int, bool):
+        return repr(node.value)
     try:
         return ast.unparse(node)
     except (RecursionError, MemoryError):

@@ -19,7 +19,7 @@ from docloom.functions.generate import explode_rows
 from docloom.operators import listings as L
 from docloom.operators import refs as R
 from docloom.operators import signatures as S
-from docloom.session import durable
+from docloom.session import written
 from docloom.sources import extract as E
 
 col = F.col
@@ -37,6 +37,7 @@ class Corpus:
     has_del, params. refs: modname, qualname, target_mod, target_qual. members: rows for
     `listings.member_rows`, with `exported`. bases: modname, qualname, pos, base_mod, base_qual.
     annotations: modname, qualname, pos, target_mod, target_qual. failed: modname, path, problem.
+    ends: what `refs.resolve_refs` gives for refs.
     """
 
     objects: DataFrame
@@ -45,30 +46,37 @@ class Corpus:
     bases: DataFrame
     annotations: DataFrame
     failed: DataFrame
+    ends: DataFrame
 
 
-def resolve_uses(uses: DataFrame, places: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
+def resolve_uses(uses: DataFrame, places: DataFrame, refs: DataFrame, objects: DataFrame,
+                 ends: DataFrame | None = None) -> DataFrame:
     """Add target_mod and target_qual to uses (modname, owner, name): what the name leads to there.
 
     `places` (modname, qualname): every bound name, refs included. A name that leads out of the
     known modules gets the path that the refs give; one that nothing binds is a builtin. A null
-    name leads nowhere.
+    name leads nowhere. `ends`: what `refs.resolve_refs` gives for `refs`, where it is known.
     """
     asked = uses.select("modname", "owner", "name").filter("name IS NOT NULL").distinct()
     head = F.substring_index("name", ".", 1)
     scopes = F.filter(
         F.array(F.when(col("owner").isNotNull(), N.child(col("owner"), head)), head), lambda s: s.isNotNull())
     tried = explode_rows(asked, ["modname", "owner", "name"], scopes, "qualname", pos="_rank")
-    found = tried.join(places.select("modname", "qualname").filter("qualname IS NOT NULL").distinct(),
+    found = tried.join(places.select("modname", "qualname").filter("qualname IS NOT NULL"),
                        ["modname", "qualname"], "left_semi")
-    heads = found.groupBy("modname", "owner", "name").agg(F.min_by("qualname", "_rank").alias("_head"))
+    # A number is kept in a hash aggregate, a name would have to be sorted.
+    heads = found.groupBy("modname", "owner", "name").agg(F.min("_rank").alias("_rank")).withColumn(
+        "_head", F.get(scopes, col("_rank").cast("int")))
     rest = F.substr("name", F.length(F.substring_index("name", ".", 1)) + 1)
-    paths = durable(heads.select("modname", "owner", "name", "_head", F.concat("_head", rest).alias("qualname"),
+    paths = written(heads.select("modname", "owner", "name", "_head", F.concat("_head", rest).alias("qualname"),
                                  rest.alias("_rest")))
     wide = refs.withColumnRenamed("qualname", "member_name")
-    met = R.look_up_through(paths.select("modname", "qualname").distinct(), objects, wide).filter(
-        "status = 'found'").select("modname", "qualname", "found_mod", "found_qual", F.lit(True).alias("_found"))
-    ends = R.resolve_refs(refs).filter("NOT is_cycle").select(
+    ends = written(R.resolve_refs(refs)) if ends is None else ends
+    met = R.look_up_through(
+        paths.select("modname", "qualname").distinct(), objects, wide, ends.withColumnRenamed("qualname", "member_name")
+    ).filter("status = 'found'").select(
+        "modname", "qualname", "found_mod", "found_qual", F.lit(True).alias("_found"))
+    ends = ends.filter("NOT is_cycle").select(
         "modname", col("qualname").alias("_head"), "final_mod", "final_qual")
     out = F.nullif(F.ltrim(F.concat(F.coalesce("final_qual", F.lit("")), "_rest"), F.lit(".")), F.lit(""))
     known = paths.join(met, ["modname", "qualname"], "left").join(ends, ["modname", "_head"], "left").select(
@@ -92,7 +100,7 @@ def _uses(bound: DataFrame, *roles: str) -> DataFrame:
 def build(sources: DataFrame, packages: DataFrame | None = None) -> Corpus:
     """Tables of all sources (modname, path, source). `packages` (modname) names the modules that
     are packages, whose relative imports start at themselves."""
-    raw = durable(E.parse_sources(sources))
+    raw = written(E.parse_sources(sources))
     good, failed = E.split_errors(raw)
     bound = E.bindings(good)
     modules = bound.filter("kind = 'module'").select("modname")
@@ -101,45 +109,46 @@ def build(sources: DataFrame, packages: DataFrame | None = None) -> Corpus:
     # What a module binds itself goes before what `*` brings.
     edges = E.settle_module_targets(
         E.aliases(bound, packages).unionByName(stars.join(keys, ["modname", "member_name"], "left_anti")), modules)
-    imports = durable(edges.withColumnRenamed("member_name", "qualname"))
+    imports = written(edges.withColumnRenamed("member_name", "qualname"))
     plain = E.objects(bound)
-    places = durable(plain.select("modname", "qualname").unionByName(imports.select("modname", "qualname")))
+    places = written(plain.select("modname", "qualname").unionByName(imports.select("modname", "qualname")))
 
     # `a = b`: a ref, if it leads to a function or class or out of the corpus; else a value like b.
-    same = resolve_uses(_uses(bound, "same"), places, imports, places).filter(
-        col("target_mod") != N.BUILTINS).select("modname", "qualname", "target_mod", "target_qual")
-    candidates = durable(imports.unionByName(same))
+    same = written(resolve_uses(_uses(bound, "same"), places, imports, places).filter(
+        col("target_mod") != N.BUILTINS).select("modname", "qualname", "target_mod", "target_qual"))
+    candidates = written(imports.unionByName(same))
     ends = R.resolve_refs(candidates).filter("NOT is_cycle").select("modname", "qualname", "final_mod", "final_qual")
     values = plain.filter(F.coalesce(~col("type_name").isin("type", "module", "function", *E.WRAPPERS), F.lit(True)))
     copies = ends.join(same.select("modname", "qualname"), ["modname", "qualname"], "left_semi").join(
         values.select(col("modname").alias("final_mod"), col("qualname").alias("final_qual"), col("type_name").alias("_type")),
         ["final_mod", "final_qual"])
-    copies = durable(copies.select("modname", "qualname", "_type"))
-    refs = durable(candidates.join(copies, ["modname", "qualname"], "left_anti"))
+    copies = written(copies.select("modname", "qualname", "_type"))
+    refs = written(candidates.join(copies, ["modname", "qualname"], "left_anti"))
     objects = plain.join(refs.select("modname", "qualname"), ["modname", "qualname"], "left_anti").join(
         copies, ["modname", "qualname"], "left").withColumn("type_name", F.coalesce("type_name", "_type")).drop("_type")
-    objects = durable(objects)
-    places = durable(objects.select("modname", "qualname"))
+    objects = written(objects)
+    places = written(objects.select("modname", "qualname"))
     everywhere = places.unionByName(refs.select("modname", "qualname"))
 
-    def resolved(uses):
-        return resolve_uses(uses, everywhere, refs, places)
+    ref_ends = written(R.resolve_refs(refs))
 
     bases = explode_rows(objects, ["modname", "qualname", "owner"], col("bases"), "name").filter(col("name").rlike(NAME))
     told = explode_rows(objects, ["modname", "qualname", "owner"], col("signature.params"), "p").select(
         "modname", "qualname", "owner", col("p.pos").alias("pos"), col("p.annotation").alias("name")).filter(col("name").rlike(NAME))
     # One pass of joins for every kind of use.
-    uses = durable(resolved(
+    uses = written(resolve_uses(
         _uses(objects, "type", "get", "func").withColumn("pos", F.lit(None).cast("bigint"))
-        .unionByName(bases.withColumn("role", F.lit("base"))).unionByName(told.withColumn("role", F.lit("annotation")))))
+        .unionByName(bases.withColumn("role", F.lit("base"))).unionByName(told.withColumn("role", F.lit("annotation"))),
+        everywhere, refs, places, ref_ends))
     placed = ["modname", "qualname", "pos"]
     detailed = _with_uses(objects, uses)
+    exports = written(E.exports(good))
     return Corpus(
-        objects=durable(_finished(detailed, E.exports(good), bound)), refs=refs,
-        members=_members(objects, refs, E.exports(good)),
+        objects=written(_finished(detailed, exports, bound)), refs=refs,
+        members=_members(objects, refs, exports),
         bases=uses.filter("role = 'base'").select(*placed, col("target_mod").alias("base_mod"), col("target_qual").alias("base_qual")),
         annotations=uses.filter("role = 'annotation'").select(*placed, "target_mod", "target_qual"),
-        failed=failed)
+        failed=failed, ends=ref_ends)
 
 
 def _with_uses(objects: DataFrame, uses: DataFrame) -> DataFrame:
@@ -205,8 +214,8 @@ def _members(objects: DataFrame, refs: DataFrame, exports: DataFrame) -> DataFra
 def pages(corpus: Corpus) -> DataFrame:
     """Pages of all objects, as `listings.page_rows` gives them."""
     rich = L.enrich(corpus.objects).withColumn("summary", col("docs.summary")).withColumn("body", col("docs.body"))
-    details = durable(rich.drop("docs"))
-    rows = L.member_rows(corpus.members, details)
+    details = written(rich.drop("docs"))
+    rows = L.member_rows(corpus.members, details, ends=corpus.ends)
     documented = explode_rows(
         details, ["modname", "qualname", "params"], col("documented.params"), "d", pos="_at"
     ).select("modname", "qualname", col("d.pos").alias("pos"), col("d.kind").alias("kind"), "d.name",
@@ -226,7 +235,8 @@ def pages_of(names: DataFrame, corpus: Corpus, rows: DataFrame) -> DataFrame:
     asked = R.resolve_names(names, known).filter("modname IS NOT NULL").select(
         "name", col("modname").alias("_am"), col("qualname").alias("_aq"))
     ends = R.look_up_through(
-        asked.select(col("_am").alias("modname"), col("_aq").alias("qualname")).distinct(), corpus.objects, refs
+        asked.select(col("_am").alias("modname"), col("_aq").alias("qualname")).distinct(), corpus.objects, refs,
+        corpus.ends.withColumnRenamed("qualname", "member_name")
     ).filter("status = 'found'").select(
         col("modname").alias("_em"), col("qualname").alias("_eq"), "found_mod", "found_qual")
     led = asked.join(ends, (col("_am") == col("_em")) & col("_aq").eqNullSafe(col("_eq")))

@@ -8,6 +8,7 @@ worked out by DataFrame operators afterwards. No analysed code is imported or ru
 from __future__ import annotations
 
 import ast
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from docloom.functions import names as N
 from docloom.functions import objects as O
 from docloom.functions.generate import explode_rows
 from docloom.operators.signatures import SIGNATURE, param_rows, source_of
-from docloom.session import durable
+from docloom.session import written
 
 col = F.col
 
@@ -297,6 +298,8 @@ class _Bindings:
         todo = [node] if node is not None else []
         while todo:
             at = todo.pop()
+            if isinstance(at, (ast.Constant, ast.Name, ast.expr_context)):
+                continue
             if isinstance(at, ast.NamedExpr):
                 self.assign(at.target, at.value, at, owner, cls, fallback)
             if not isinstance(at, ast.Lambda):
@@ -318,17 +321,25 @@ def _module_rows(modname, path, source):
 
 def _parse(batches):
     schema = to_arrow_schema(RAW)
-    for batch in batches:
-        rows, chars = [], 0
-        # One source at a time: only its own tree is in memory.
-        for source in zip(*(batch.column(name) for name in ("modname", "path", "source"))):
-            rows += _module_rows(*(value.as_py() for value in source))
-            chars += len(source[-1].as_py() or "")
-            if len(rows) >= ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
+    # Trees have no cycles, and looking for some while they grow took a quarter of the time;
+    # what else leaves cycles is collected after some batches.
+    gc.disable()
+    try:
+        for i, batch in enumerate(batches, 1):
+            rows, chars = [], 0
+            # One source at a time: only its own tree is in memory.
+            for source in zip(*(batch.column(name) for name in ("modname", "path", "source"))):
+                rows += _module_rows(*(value.as_py() for value in source))
+                chars += len(source[-1].as_py() or "")
+                if len(rows) >= ROWS_PER_BATCH or chars >= CHARS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, chars = [], 0
+            if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, chars = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if i % 20 == 0:
+                gc.collect()
+    finally:
+        gc.enable()
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:
@@ -378,7 +389,7 @@ def bindings(raw: DataFrame) -> DataFrame:
         *[has(role).alias(f"has_{role}") for role in ROLE_BY_ACCESSOR.values()],
     ).filter("kind <> 'delete'").select(*raw.columns, "has_get", "has_set", "has_del")
     # The holders would otherwise be worked out by the whole aggregate once more.
-    bound = durable(bound)
+    bound = written(bound)
     holders = bound.filter(col("kind").isin("type", "function")).select("modname", col("qualname").alias("owner"))
     return bound.filter("NOT attached").unionByName(
         bound.filter("attached").join(holders, ["modname", "owner"], "left_semi").select(*bound.columns))
@@ -458,10 +469,12 @@ def star_aliases(raw: DataFrame, packages: DataFrame | None = None) -> DataFrame
     """
     stars = _targets(raw, packages).filter("item = '*'").select(
         "modname", col("from_mod").alias("target_mod")).distinct()
+    # Only names of modules that a star stands for travel.
     own = raw.filter(
         ~col("kind").isin("module", "error", "delete") & col("qualname").isNotNull()
         & ~col("qualname").contains(".") & (col("qualname") != "*")
-    ).select(col("modname").alias("target_mod"), col("qualname").alias("target_qual")).distinct()
+    ).select(col("modname").alias("target_mod"), col("qualname").alias("target_qual")).join(
+        stars.select("target_mod").distinct(), "target_mod", "left_semi").distinct()
     listed = exports(raw).withColumnRenamed("modname", "target_mod")
     public = own.join(listed, "target_mod", "left").filter(F.coalesce(
         F.array_contains("all_names", col("target_qual")), ~col("target_qual").startswith("_")))

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from docloom.operators import refs as R
 from docloom.sources import corpus as K
 from docloom.sources import extract as E
 
@@ -126,3 +127,17 @@ def test_pages_from_sources(spark, corpus):
     one = K.pages_of(spark.createDataFrame([("app.area",), ("app.Sq",), ("gone",)], "name string"), corpus, rows)
     heads = {r.name: (r.modname, r.qualname) for r in one.filter("section = 0").collect()}
     assert heads == {"app.area": ("app.base", "Shape.size"), "app.Sq": ("app.shapes", "Square")}
+
+
+def test_every_set_of_refs_is_followed_once(spark, monkeypatch):
+    followed = []
+    follow = R.resolve_refs
+    monkeypatch.setattr(R, "resolve_refs", lambda *a, **k: followed.append(a) or follow(*a, **k))
+    sources = spark.createDataFrame(
+        [("p", "p.py", "class A:\n    def f(self): 'F.'\nrun = A.f\n"), ("q", "q.py", "from p import A as B, run\ngo = B.f\n")],
+        "modname string, path string, source string")
+    got = {(r.modname, r.key): json.loads(r.json) for r in K.pages(K.build(sources)).filter("section > 4").collect()}
+    # The imports, then these with assigned names, then what of them stays a ref.
+    assert len(followed) == 3
+    assert got["q", "go"]["summary"] == got["q", "run"]["summary"] == got["p", "run"]["summary"] == "F."
+    assert got["q", "go"]["import_path"] == "p.A.f" and got["p", "f"]["type_label"] == "function"

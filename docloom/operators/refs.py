@@ -4,7 +4,7 @@ Objects are keyed by (modname, qualname), aliases by (modname, member_name), bot
 unique. Every step is an equi-join on such a key: the many rows that may point at
 one key sit on the left side, which AQE splits when a key is hot; the right side
 holds one row per key. Iterative jobs send only unfinished rows to the next round
-and cut lineage with `durable`.
+and cut lineage with `written`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import names as N
 from docloom.functions.generate import explode_rows
-from docloom.session import durable, written
+from docloom.session import written
 
 col = F.col
 

@@ -5,6 +5,9 @@ so equal stretches of SEED + SPAN - 1 words share a seed. A seed's smallest docu
 source; each other document that has the seed is joined to the source, never to all others.
 Seeds that no passage with a source then explains have a second way: documents that share two
 of them, as far apart as the ends of a chain, are joined to each other by all seeds they share.
+Where more than `FEW` documents share two seeds, only those are joined that share a word as well:
+of every document so many words are picked, rare ones of the group first, that no passage of it
+can do without all of them, so no pair that holds a passage is left out.
 The shared seeds of a pair are chained in order: the best chain that ends at a seed is the
 best one before it in both texts less a cost for the gap, found by a Fenwick tree over the
 source places. Chains are cut out best first, and the word stretches of each chain are
@@ -15,9 +18,9 @@ words, so every part of it is tried: the longest part of at least `WORDS` words
 
 The seed counts are combined before the shuffle and the join's source side has one row a
 seed, so a passage held by a third of the documents is split by the adaptive join. A seed
-that a text repeats counts at its first place. The second way grows with the square of the
-documents that share unexplained seeds, such as a notice shorter than a passage; its joins
-spill and are split, and nothing is left out. Null, empty and short texts have no passages;
+that a text repeats counts at its first place. The second way still grows faster than the input
+where documents that share unexplained seeds, such as a notice shorter than a passage, share their
+picked words too; its joins spill and are split, and nothing is left out. Null, empty and short texts have no passages;
 rows without doc_id are not compared; of rows that repeat a doc_id the longest text is used.
 Other columns are not read.
 """
@@ -317,14 +320,101 @@ def _ends(rows: DataFrame) -> DataFrame:
         "doc_id", "one", F.col("q.code").alias("two"))
 
 
-def _unexplained(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (doc_id, source) that share the ends of a chain which no found passage of the document holds."""
+# Documents of a seed pair that are all compared; where more have it, one of the words of `picks` must be shared as well.
+FEW = 4
+
+
+def picks(cost: np.ndarray) -> np.ndarray:
+    """Places of a text, cheap ones if possible, one of which every passage of the text has as an equal word.
+
+    A passage begins and ends with equal words, and so do the rows of 50 words or a little more that it can be cut
+    into; one of these reaches the identity. So every stretch of that length needs one chosen place more than it may
+    have unequal words, or a chosen place at an end: what is left of it is then no passage.
+    """
+    chosen = cost == 0
+    for size in range(WORDS, min(int(2 * WORDS / IDENTITY), len(cost)) + 1):
+        need = int(size * (1 - IDENTITY) + 1e-9) + 1
+        total = np.concatenate([[0], np.cumsum(chosen)])
+        short = (total[size:] - total[:-size] < need) & ~chosen[:len(cost) - size + 1] & ~chosen[size - 1:]
+        for at in np.flatnonzero(short).tolist():
+            here = chosen[at:at + size]
+            lack = need - int(here.sum())
+            # Of equal costs the last one, which more of the next stretches hold.
+            for k in size - 1 - np.argsort(cost[at:at + size][::-1], kind="stable"):
+                if lack <= 0 or here[0] or here[-1]:
+                    break
+                lack -= not here[k]
+                here[k] = True
+    return np.flatnonzero(chosen)
+
+
+def _said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Known()
+    for pdf in batches:
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            code, word = np.unique(word_codes(text, known), return_inverse=True)
+            places = np.split(np.argsort(word, kind="stable"), np.cumsum(np.bincount(word))[:-1]) if len(code) else []
+            yield pd.DataFrame({"doc_id": np.full(len(code), doc, np.int64), "word": code.view(np.int64),
+                                "places": places})
+
+
+def _picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for doc, words in zip(pdf["doc_id"], pdf["words"]):
+            cost = np.empty(sum(len(w["places"]) for w in words), np.int64)
+            word = np.empty(len(cost), np.int64)
+            for w in words:
+                cost[w["places"]], word[w["places"]] = w["cost"], w["word"]
+            at = picks(cost)
+            # A word that no other document of its groups has is equal to none.
+            code = np.unique(word[at[cost[at] > 0]])
+            yield pd.DataFrame({"doc_id": np.full(len(code), doc, np.int64), "word": code})
+
+
+def _longest(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents of `ids`; of rows that repeat a doc_id the longest text."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+
+
+def _worded(docs: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source) of a pair of seeds that may hold a passage, told by one of the words of `picks`."""
+    # Pairs of seeds of the same documents are one group.
+    code = F.xxhash64("source").cast("decimal(20,0)")
+    same = written(others.groupBy("one", "two").agg(F.count("*").alias("n"), F.sum(code).alias("s"), F.sum(
+        F.xxhash64("source", F.lit(1)).cast("decimal(20,0)")).alias("t")).select("one", "two", F.struct("n", "s", "t").alias("g")))
+    others = written(others.join(same, ["one", "two"]).select("g", "source").distinct())
+    mine = written(mine.join(same, ["one", "two"]).select("g", "doc_id").distinct())
+
+    said = written(_longest(docs, mine.select("doc_id").union(others.select("source"))).mapInPandas(
+        _said, "doc_id long, word long, places array<int>"))
+    held = written(others.join(said.select(F.col("doc_id").alias("source"), "word"), "source"))
+    # A word costs the documents that it would lead to.
+    cost = (mine.join(said, "doc_id").join(held.groupBy("g", "word").agg(F.count("*").alias("n")), ["g", "word"], "left")
+            .groupBy("doc_id", "word").agg(F.sum(F.coalesce("n", F.lit(1)) - 1).alias("cost"), F.any_value("places").alias("places")))
+    picked = written(cost.groupBy("doc_id").agg(F.collect_list(F.struct("cost", "word", "places")).alias("words")).mapInPandas(
+        _picked, "doc_id long, word long"))
+    return (mine.join(picked, "doc_id").join(held, ["g", "word"])
+            .filter("doc_id > source").select("doc_id", "source").distinct())
+
+
+def _unexplained(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source) that share the ends of a chain which no found passage of the document holds.
+
+    Of a pair of seeds that many documents have, only documents that can hold a passage are paired.
+    """
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     held = F.exists("spans", lambda s: (F.col("place") >= s["start"]) & (F.col("place") + SEED <= s["end"]))
     rest = written(shared.filter("doc_id > source").join(spans, "doc_id", "left").filter(
         ~F.coalesce(held, F.lit(False))).select("code", "doc_id", "place"))
+    mine = written(_ends(rest))
     others = _ends(shared.join(rest.select("code").distinct(), "code", "left_semi")).withColumnRenamed("doc_id", "source")
-    return _ends(rest).join(others, ["one", "two"]).filter("doc_id > source").select("doc_id", "source").distinct()
+    others = written(others.join(mine.select("one", "two").distinct(), ["one", "two"], "left_semi"))
+    many = written(others.groupBy("one", "two").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("one", "two"))
+    few = (mine.join(many, ["one", "two"], "left_anti").join(others.join(many, ["one", "two"], "left_anti"), ["one", "two"])
+           .filter("doc_id > source").select("doc_id", "source"))
+    return few.union(_worded(docs, mine.join(many, ["one", "two"], "left_semi"),
+                             others.join(many, ["one", "two"], "left_semi"))).distinct()
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -336,7 +426,7 @@ def passages(docs: DataFrame) -> DataFrame:
     shared = written(rows.join(sources, "code"))
     found = written(_compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y")))
 
-    pairs = written(_unexplained(shared, found))
+    pairs = written(_unexplained(docs, shared, found))
     left = shared.select("doc_id", "code", F.col("place").alias("x"))
     right = shared.select(F.col("doc_id").alias("source"), "code", F.col("place").alias("y"))
     more = _compared(docs, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"))

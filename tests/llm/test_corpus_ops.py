@@ -228,6 +228,51 @@ def test_passages_whose_seeds_have_other_sources(docs):
         (60, 50, 7, 97, 30, 120, 1.0)]
 
 
+def test_picks_leave_no_passage():
+    import numpy as np
+    r = random.Random(3)
+    for n in (49, 50, 80, 130, 300, 400):
+        for notice in (0, 20, 39, 49, 60):
+            # A stretch that many have among words that few have, some of them none.
+            at = r.randrange(n)
+            cost = np.array([9 if at <= i < at + notice else r.choice([0, 1, 1, 2, 5, 9]) for i in range(n)])
+            left = np.ones(n, bool)
+            left[op1_chaining.picks(cost)] = False
+            ends = np.flatnonzero(left)
+            size, equal = (v[None, :] - v[:, None] + 1 for v in (ends, np.arange(len(ends))))
+            assert not ((size >= 50) & (5 * equal >= 4 * size)).any()
+
+
+def test_documents_that_share_notices_only_are_not_compared(spark, docs, monkeypatch):
+    draw = random.Random(8)
+    fill = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    head, notice, foot, passage = fill(20), fill(38), fill(20), fill(48)
+    plain = lambda: head + fill(24) + foot
+    rows = [(i, plain()) for i in range(30)] + [(i, fill(40) + notice + fill(60)) for i in range(30, 50)]
+    # The middle shares no seed: every fifth word differs.
+    middle = fill(24)
+    spoilt = [w if i % 5 else "odd" for i, w in enumerate(middle)]
+    rows += [(60, head + middle + foot), (61, head + spoilt + foot), (62, fill(30) + notice + passage[:12]),
+             (63, fill(20) + notice + passage[:12] + fill(9))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    compared = []
+    inner = op1_chaining._unexplained
+
+    def unexplained(*args):
+        compared.append(sorted((r.doc_id, r.source) for r in inner(*args).collect()))
+        return spark.createDataFrame(compared[0], "doc_id long, source long")
+
+    monkeypatch.setattr(op1_chaining, "_unexplained", unexplained)
+    found = {(r.doc_id, r.source_id) for r in op1_chaining.passages(docs(rows)).collect()}
+    assert found == {(61, 60), (63, 62)}
+    # All pairs of the first thirty alone would be 435; pairs of seeds that few have are compared.
+    assert set(compared[0]) >= found and len(compared[0]) <= 30
+    monkeypatch.setattr(op1_chaining, "FEW", 10**6)
+    compared.clear()
+    assert {(r.doc_id, r.source_id) for r in op1_chaining.passages(docs(rows)).collect()} == found
+    assert len(compared[0]) > 600
+
+
 def test_passages_of_odd_rows(odd):
     assert op1_chaining.passages(odd.limit(0)).count() == 0
     assert op1_chaining.passages(odd).count() == 0

@@ -389,9 +389,11 @@ def _worded(docs: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
     said = written(_longest(docs, mine.select("doc_id").union(others.select("source"))).mapInPandas(
         _said, "doc_id long, word long, places array<int>"))
     held = written(others.join(said.select(F.col("doc_id").alias("source"), "word"), "source"))
-    # A word costs the documents that it would lead to.
-    cost = (mine.join(said, "doc_id").join(held.groupBy("g", "word").agg(F.count("*").alias("n")), ["g", "word"], "left")
-            .groupBy("doc_id", "word").agg(F.sum(F.coalesce("n", F.lit(1)) - 1).alias("cost"), F.any_value("places").alias("places")))
+    # A word costs the other documents that it would lead to.
+    own = mine.join(others.select("g", F.col("source").alias("doc_id"), F.lit(1).alias("own")), ["g", "doc_id"], "left")
+    cost = (own.join(said, "doc_id").join(held.groupBy("g", "word").agg(F.count("*").alias("n")), ["g", "word"], "left")
+            .groupBy("doc_id", "word").agg(F.sum(F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("cost"),
+                                           F.any_value("places").alias("places")))
     picked = written(cost.groupBy("doc_id").agg(F.collect_list(F.struct("cost", "word", "places")).alias("words")).mapInPandas(
         _picked, "doc_id long, word long"))
     return (mine.join(picked, "doc_id").join(held, ["g", "word"])

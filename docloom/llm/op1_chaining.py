@@ -36,47 +36,76 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, query, small_batches, table
+from docloom.llm.common import maybe_in, query, small_batches, table, written
 from docloom.llm.op5_minhash import Known, _mix, word_codes
-from docloom.session import written
+from docloom.session import remove
 
 SEED, SPAN = 6, 10
 WORDS, IDENTITY = 50, 0.8
 MATCH, GAP = 6.0, 0.1
 
 
-def seeds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, place) of the chosen seeds of a text, each code at its first place."""
-    n = len(codes) - SEED + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+# Words whose seeds are made at once.
+BLOCK = 1 << 17
+
+
+def seeds(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, place) of the chosen seeds of texts of `WORDS` words at least, each code at its first place."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    words = np.concatenate(texts)
+    n = len(words) - SEED + 1
     total = np.zeros(n, np.uint64)
     for i in range(SEED):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + n])
-    if n <= SPAN:
-        at = np.array([int(total.argmin())])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(total, SPAN)
-        at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    code, first = np.unique(total[at], return_index=True)
-    return code, at[first]
+        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n])
+    least, width = total, 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    # Stretches that reach into the next text have no least code.
+    across = (ends[:-1, None] - np.arange(1, SEED + SPAN - 1)).ravel()
+    inside = np.ones(len(least), bool)
+    inside[across] = False
+    # A seed is chosen where it is the least of some stretch that holds it, of equal ones the first.
+    edge = np.zeros(SPAN - 1, np.uint64)
+    most = np.concatenate([edge, np.where(inside, least, np.uint64(0)), edge])
+    some = np.concatenate([[0], np.cumsum(np.concatenate([edge, inside, edge]).astype(np.int64))])
+    width = 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        most, width = np.maximum(most[:-step], most[step:]), width + step
+    at = np.flatnonzero((total == most) & (some[SPAN:] > some[:-SPAN]))
+    text = np.searchsorted(ends, at, "right")
+    order = np.lexsort((total[at], text))  # stable: places of a code stay in order
+    at, text = at[order], text[order]
+    code = total[at]
+    first = np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])
+    return text[first], code[first], (at - (ends - sizes)[text])[first]
 
 
 def _seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Known()
+
+    def rows(docs: list[int], texts: list[np.ndarray]) -> pd.DataFrame:
+        text, code, place = seeds(texts)
+        return pd.DataFrame({"code": code.view(np.int64), "doc_id": np.array(docs, np.int64)[text],
+                             "place": place.astype(np.int32)})
+
     for pdf in batches:
-        code, doc, place = [], [], []
+        docs, texts, size = [], [], 0
         for d, text in zip(pdf["doc_id"], pdf["text"]):
             words = word_codes(text, known)
             # A passage has at least WORDS words on both sides.
-            c, p = seeds(words if len(words) >= WORDS else words[:0])
-            code.append(c)
-            place.append(p)
-            doc.append(np.full(len(c), d))
-        if code:
-            yield pd.DataFrame({"code": np.concatenate(code).view(np.int64),
-                                "doc_id": np.concatenate(doc).astype(np.int64),
-                                "place": np.concatenate(place).astype(np.int32)})
+            if len(words) < WORDS:
+                continue
+            docs.append(d)
+            texts.append(words)
+            size += len(words)
+            if size >= BLOCK:
+                yield rows(docs, texts)
+                docs, texts, size = [], [], 0
+        if docs:
+            yield rows(docs, texts)
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -171,7 +200,10 @@ def _anchors(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     _, p, q = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
     p, q = once[0][1][p], once[1][1][q]
     order = np.argsort(p)
+    rising = bool((np.diff(q[order]) > 0).all())
     p, q = p[order].tolist(), q[order].tolist()
+    if rising:
+        return list(zip(p, q))
     # The longest rising row of the second places.
     ends: list[int] = []
     tails: list[int] = []
@@ -187,23 +219,37 @@ def _anchors(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _run(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of equal words that two stretches begin with."""
+    n, step = min(len(x), len(y)), 32
+    at = 0
+    while at < n:
+        odd = x[at:min(at + step, n)] != y[at:min(at + step, n)]
+        if odd.any():
+            return at + int(odd.argmax())
+        at, step = at + step, 2 * step
+    return n
+
+
 def aligned(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of equal words in both stretches, in order: exact runs at anchors, best alignments between."""
-    out: list[tuple[int, int]] = []
+    out: list[np.ndarray] = []
     i = j = 0
     for p, q in [*_anchors(x, y), (len(x), len(y))]:
         if p < i or q < j:  # within the run of the anchor before, or across it
             continue
         a, b = i, j
-        end = p < len(x)
-        while end and p > a and q > b and x[p - 1] == y[q - 1]:
-            p, q = p - 1, q - 1
-        out += [(a + u, b + v) for u, v in _common(x[a:p], y[b:q])]
-        while p < len(x) and q < len(y) and x[p] == y[q]:
-            out.append((p, q))
-            p, q = p + 1, q + 1
-        i, j = p, q
-    both = np.array(out, np.int64).reshape(-1, 2)
+        if p < len(x):
+            back = _run(x[a:p][::-1], y[b:q][::-1])
+            p, q = p - back, q - back
+        between = _common(x[a:p], y[b:q])
+        if between:
+            out.append(np.array(between, np.int64) + (a, b))
+        n = _run(x[p:], y[q:])
+        if n:
+            out.append(np.arange(n)[:, None] + (p, q))
+        i, j = p + n, q + n
+    both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
     return both[:, 0], both[:, 1]
 
 
@@ -252,19 +298,17 @@ def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "source", "a", "b", "c", "d", "seeds"])
 
 
-def _slices(lead: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Known()
-        for pdf in batches:
-            rows = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-                codes = word_codes(text, known)
-                for s in spans:
-                    # A few words more on either side: the ends of a passage lie beyond its outer seeds.
-                    low, high = max(0, s["low"] - SPAN), min(len(codes), s["high"] + SPAN)
-                    rows.append((s["key"], low, codes[low:high].tobytes()))
-            yield pd.DataFrame(rows, columns=["key", f"{lead}_at", f"{lead}_words"])
-    return run
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Known()
+    for pdf in batches:
+        rows = []
+        for text, spans in zip(pdf["text"], pdf["spans"]):
+            codes = word_codes(text, known)
+            for s in spans:
+                # A few words more on either side: the ends of a passage lie beyond its outer seeds.
+                low, high = max(0, s["low"] - SPAN), min(len(codes), s["high"] + SPAN)
+                rows.append((s["key"], s["side"], low, codes[low:high].tobytes()))
+        yield pd.DataFrame(rows, columns=["key", "side", "at", "words"])
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,23 +330,26 @@ def _compared(docs: DataFrame, matches: DataFrame) -> DataFrame:
     matches = matches.groupBy("doc_id", "source").agg(F.collect_set(F.struct("x", "y")).alias("matches")).filter(
         F.size("matches") >= 2)
     found = matches.mapInPandas(_chained, "doc_id long, source long, a int, b int, c int, d int, seeds int")
-    found = durable(found.withColumn("key", F.xxhash64("doc_id", "source", "a", "b", "c", "d")).dropDuplicates(
+    found = written(found.withColumn("key", F.xxhash64("doc_id", "source", "a", "b", "c", "d")).dropDuplicates(
         ["doc_id", "source", "a", "b", "c", "d"]))
 
-    def cut(who: str, low: str, high: str, lead: str) -> DataFrame:
-        """The words of one side of every chain; a source of very many chains is cut in blocks."""
-        span = F.struct("key", F.col(low).alias("low"), F.col(high).alias("high"))
-        block = F.pmod(F.col("key"), F.lit(64))
-        spans = found.groupBy(F.col(who).alias("doc_id"), block.alias("block")).agg(F.collect_list(span).alias("spans"))
-        texts = docs.join(found.select(F.col(who).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-        return spans.join(texts, "doc_id").mapInPandas(
-            _slices(lead), f"key long, {lead}_at int, {lead}_words binary")
-
-    both = (found.select("key", "doc_id", "source", "seeds").join(cut("doc_id", "a", "b", "x"), "key")
-            .join(cut("source", "c", "d", "y"), "key"))
-    return both.mapInPandas(_aligned, "doc_id long, source_id long, start int, end int, source_start int,"
-                                      " source_end int, n_seeds int, identity double")
+    def side(who: str, low: str, high: str, n: int) -> DataFrame:
+        return found.select(F.col(who).alias("doc_id"), F.struct(
+            "key", F.lit(n).alias("side"), F.col(low).alias("low"), F.col(high).alias("high")).alias("span"))
+
+    # The words of both sides of every chain, from one pass over the texts; a source of very many chains is cut in blocks.
+    spans = side("doc_id", "a", "b", 0).unionByName(side("source", "c", "d", 1))
+    texts = _longest(docs, spans)
+    spans = spans.groupBy("doc_id", F.pmod("span.key", F.lit(64)).alias("block")).agg(F.collect_list("span").alias("spans"))
+    words = spans.join(texts, "doc_id").mapInPandas(_slices, "key long, side int, at int, words binary")
+    words = words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("side", "at", "words"))).alias("s")).select(
+        "key", F.col("s")[0]["at"].alias("x_at"), F.col("s")[0]["words"].alias("x_words"),
+        F.col("s")[1]["at"].alias("y_at"), F.col("s")[1]["words"].alias("y_words"))
+    both = found.select("key", "doc_id", "source", "seeds").join(words, "key")
+    out = written(both.mapInPandas(_aligned, "doc_id long, source_id long, start int, end int, source_start int,"
+                                             " source_end int, n_seeds int, identity double"))
+    remove(found)
+    return out
 
 
 # A chain's words and SPAN on either side hold a passage, so its outer seeds are this far apart at least. The
@@ -339,6 +386,8 @@ def picks(cost: np.ndarray) -> np.ndarray:
         for at in np.flatnonzero(short).tolist():
             here = chosen[at:at + size]
             lack = need - int(here.sum())
+            if lack <= 0 or here[0] or here[-1]:
+                continue
             # Of equal costs the last one, which more of the next stretches hold.
             for k in size - 1 - np.argsort(cost[at:at + size][::-1], kind="stable"):
                 if lack <= 0 or here[0] or here[-1]:
@@ -351,87 +400,123 @@ def picks(cost: np.ndarray) -> np.ndarray:
 def _said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Known()
     for pdf in batches:
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            code, word = np.unique(word_codes(text, known), return_inverse=True)
-            places = np.split(np.argsort(word, kind="stable"), np.cumsum(np.bincount(word))[:-1]) if len(code) else []
-            yield pd.DataFrame({"doc_id": np.full(len(code), doc, np.int64), "word": code.view(np.int64),
-                                "places": places})
+        said = [np.unique(word_codes(text, known)) for text in pdf["text"]]
+        if said:
+            yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(np.int64), [len(s) for s in said]),
+                                "word": np.concatenate(said).view(np.int64)})
 
 
 def _picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Known()
     for pdf in batches:
-        for doc, words in zip(pdf["doc_id"], pdf["words"]):
-            cost = np.empty(sum(len(w["places"]) for w in words), np.int64)
-            word = np.empty(len(cost), np.int64)
-            for w in words:
-                cost[w["places"]], word[w["places"]] = w["cost"], w["word"]
+        for doc, text, words, costs in zip(pdf["doc_id"], pdf["text"], pdf["words"], pdf["costs"]):
+            codes = word_codes(text, known)
+            # A word that no other document of its groups has is equal to none, and costs nothing.
+            word = np.asarray(words, np.int64).view(np.uint64)
+            order = np.argsort(word)
+            word, price = word[order], np.asarray(costs, np.int64)[order]
+            at = np.minimum(np.searchsorted(word, codes), len(word) - 1)
+            cost = np.where(word[at] == codes, price[at], 0)
             at = picks(cost)
-            # A word that no other document of its groups has is equal to none.
-            code = np.unique(word[at[cost[at] > 0]])
-            yield pd.DataFrame({"doc_id": np.full(len(code), doc, np.int64), "word": code})
+            code = np.unique(codes[at[cost[at] > 0]])
+            yield pd.DataFrame({"doc_id": np.full(len(code), doc, np.int64), "word": code.view(np.int64)})
 
 
 def _longest(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents of `ids`; of rows that repeat a doc_id the longest text."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
+    return maybe_in(docs, ids, "doc_id").join(ids.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(
         F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
 
 
-def _worded(docs: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
+def _worded(texts: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs (doc_id, source) of a pair of seeds that may hold a passage, told by one of the words of `picks`."""
     # Pairs of seeds of the same documents are one group.
     code = F.xxhash64("source").cast("decimal(20,0)")
     same = written(others.groupBy("one", "two").agg(F.count("*").alias("n"), F.sum(code).alias("s"), F.sum(
         F.xxhash64("source", F.lit(1)).cast("decimal(20,0)")).alias("t")).select("one", "two", F.struct("n", "s", "t").alias("g")))
-    others = written(others.join(same, ["one", "two"]).select("g", "source").distinct())
-    mine = written(mine.join(same, ["one", "two"]).select("g", "doc_id").distinct())
-
-    said = written(_longest(docs, mine.select("doc_id").union(others.select("source"))).mapInPandas(
-        _said, "doc_id long, word long, places array<int>"))
-    held = written(others.join(said.select(F.col("doc_id").alias("source"), "word"), "source"))
+    # Groups travel by a number that is certain: a group has one least pair of seeds.
+    least = same.groupBy("g").agg(F.min(F.struct("one", "two")).alias("least"))
+    named = written(same.join(least, "g").select("one", "two", F.col("least").alias("g")))
+    remove(same)
+    others = written(others.join(named, ["one", "two"]).select("g", "source").distinct())
+    mine = written(mine.join(named, ["one", "two"]).select("g", "doc_id").distinct())
+    remove(named)
+
+    said = written(texts.join(mine.select("doc_id").union(others.select("source")).distinct(), "doc_id", "left_semi").mapInPandas(
+        _said, "doc_id long, word long"))
+    held = written(others.join(said.withColumnRenamed("doc_id", "source"), "source").select("g", "word", "source"))
     # A word costs the other documents that it would lead to.
     own = mine.join(others.select("g", F.col("source").alias("doc_id"), F.lit(1).alias("own")), ["g", "doc_id"], "left")
-    cost = (own.join(said, "doc_id").join(held.groupBy("g", "word").agg(F.count("*").alias("n")), ["g", "word"], "left")
-            .groupBy("doc_id", "word").agg(F.sum(F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("cost"),
-                                           F.any_value("places").alias("places")))
-    picked = written(cost.groupBy("doc_id").agg(F.collect_list(F.struct("cost", "word", "places")).alias("words")).mapInPandas(
-        _picked, "doc_id long, word long"))
-    return (mine.join(picked, "doc_id").join(held, ["g", "word"])
-            .filter("doc_id > source").select("doc_id", "source").distinct())
-
+    cost = (own.join(said, "doc_id").join(held.groupBy("g", "word").agg(F.count("*").alias("n")), ["g", "word"])
+            .groupBy("doc_id", "word").agg(F.sum(F.col("n") - F.coalesce("own", F.lit(0))).alias("cost")).filter("cost > 0"))
+    cost = cost.groupBy("doc_id").agg(F.collect_list(F.struct("word", "cost")).alias("s")).select(
+        "doc_id", F.col("s.word").alias("words"), F.col("s.cost").alias("costs"))
+    picked = written(cost.join(maybe_in(texts, mine, "doc_id"), "doc_id").mapInPandas(_picked, "doc_id long, word long"))
+    asked = written(mine.join(picked, "doc_id"))
+    out = written(asked.join(maybe_in(held, asked, "g", "word"), ["g", "word"])
+                  .filter("doc_id > source").select("doc_id", "source").distinct())
+    for done in (others, mine, said, held, picked, asked):
+        remove(done)
+    return out
 
-def _unexplained(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (doc_id, source) that share the ends of a chain which no found passage of the document holds.
 
-    Of a pair of seeds that many documents have, only documents that can hold a passage are paired.
-    """
+def _left(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, one, two), the ends of chains which no found passage of the document holds; all that have them as sources."""
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     held = F.exists("spans", lambda s: (F.col("place") >= s["start"]) & (F.col("place") + SEED <= s["end"]))
     rest = written(shared.filter("doc_id > source").join(spans, "doc_id", "left").filter(
         ~F.coalesce(held, F.lit(False))).select("code", "doc_id", "place"))
     mine = written(_ends(rest))
-    others = _ends(shared.join(rest.select("code").distinct(), "code", "left_semi")).withColumnRenamed("doc_id", "source")
+    others = maybe_in(shared, rest, "code").join(rest.select("code").distinct(), "code")
+    others = _ends(others).withColumnRenamed("doc_id", "source")
     others = written(others.join(mine.select("one", "two").distinct(), ["one", "two"], "left_semi"))
+    remove(rest)
+    return mine, others
+
+
+def _unexplained(texts: DataFrame, mine: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source) that share the ends of a chain which no found passage of the document holds.
+
+    Of a pair of seeds that many documents have, only documents that can hold a passage are paired.
+    """
     many = written(others.groupBy("one", "two").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("one", "two"))
     few = (mine.join(many, ["one", "two"], "left_anti").join(others.join(many, ["one", "two"], "left_anti"), ["one", "two"])
            .filter("doc_id > source").select("doc_id", "source"))
-    return few.union(_worded(docs, mine.join(many, ["one", "two"], "left_semi"),
-                             others.join(many, ["one", "two"], "left_semi"))).distinct()
+    worded = _worded(texts, mine.join(many, ["one", "two"], "left_semi"), others.join(many, ["one", "two"], "left_semi"))
+    pairs = written(few.union(worded).distinct())
+    remove(many)
+    remove(worded)
+    return pairs
+
+
+# The seeds are joined to their sources in so many rounds, whose shuffle files do not lie on the disk together.
+ROUNDS = 4
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """One row for each passage of a document that a source document also has."""
     docs = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     rows = written(docs.mapInPandas(_seed_rows, "code long, doc_id long, place int"))
-    sources = (rows.groupBy("code").agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("most"))
-               .filter("s.doc_id < most").select("code", F.col("s.doc_id").alias("source"), F.col("s.place").alias("y")))
-    shared = written(rows.join(sources, "code"))
-    found = written(_compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y")))
-
-    pairs = written(_unexplained(docs, shared, found))
-    left = shared.select("doc_id", "code", F.col("place").alias("x"))
-    right = shared.select(F.col("doc_id").alias("source"), "code", F.col("place").alias("y"))
-    more = _compared(docs, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"))
+
+    def part(df: DataFrame, k: int) -> DataFrame:
+        return df.filter(F.pmod("code", F.lit(ROUNDS)) == k)
+
+    sources = written(*(part(rows, k).groupBy("code").agg(F.min(F.struct("doc_id", "place")).alias("s"), F.max("doc_id").alias("most"))
+                        .filter("s.doc_id < most").select("code", F.col("s.doc_id").alias("source"), F.col("s.place").alias("y"))
+                        for k in range(ROUNDS)))
+    shared = written(*(maybe_in(part(rows, k), part(sources, k), "code").join(part(sources, k), "code") for k in range(ROUNDS)))
+    remove(rows)
+    remove(sources)
+    found = _compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y"))
+
+    mine, others = _left(shared, found)
+    texts = written(_longest(docs, mine.select("doc_id").union(others.select("source"))))
+    pairs = _unexplained(texts, mine, others)
+    left = maybe_in(shared.select("doc_id", "code", F.col("place").alias("x")), pairs, "doc_id")
+    right = maybe_in(shared.select(F.col("doc_id").alias("source"), "code", F.col("place").alias("y")), pairs, "source")
+    more = _compared(texts, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"))
+    for done in (mine, others, shared, texts):
+        remove(done)
     # A pair that is compared again is compared by more seeds.
     return found.join(pairs.withColumnRenamed("source", "source_id"), ["doc_id", "source_id"], "left_anti").select(
         *more.columns).unionByName(more)

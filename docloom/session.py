@@ -85,6 +85,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of a `written` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        # Only tables of `written`, never an input that `df` may read as well.
+        if folder.rpartition("/")[2].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder name below the checkpoint folder, which all executors can reach."""
     _ensure_checkpoint_dir(spark)

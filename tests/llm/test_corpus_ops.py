@@ -273,6 +273,69 @@ def test_documents_that_share_notices_only_are_not_compared(spark, docs, monkeyp
     assert len(compared[0]) > 435
 
 
+def test_passages_leave_little_on_disk(spark, docs):
+    import os
+    from urllib.parse import urlparse
+
+    from docloom import session
+
+    folder = urlparse(os.path.dirname(session.shared_folder(spark, "none"))).path
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(
+        "\n").count("shuffle_")
+    tables = lambda: {name for name in os.listdir(folder) if name.startswith(("table-", "rdd-"))}
+    passage, notice = words(80, 5), words(45, 6)
+    rows = [(i, " ".join(words(40, 800 + i) + (passage if i % 2 else notice) + words(40, 900 + i))) for i in range(16)]
+    spark._jvm.System.gc()
+    before, held = shuffles(), tables()
+    found = op1_chaining.passages(docs(rows))
+    # What is left is what the result reads; shuffle files do not wait for the driver's garbage collection.
+    assert len(tables() - held) <= 3 and shuffles() <= before
+    assert {(r.doc_id, r.source_id) for r in found.collect()} >= {(i, 1) for i in range(3, 16, 2)}
+
+
+def test_only_tables_of_a_job_are_removed(spark, tmp_path):
+    from docloom import session
+
+    spark.range(5).write.parquet(str(tmp_path / "input"))
+    given, own = spark.read.parquet(str(tmp_path / "input")), session.written(spark.range(7))
+    session.remove(given.crossJoin(own.withColumnRenamed("id", "other")))
+    assert given.count() == 5
+    assert not [f for f in own.inputFiles() if spark._jvm.java.io.File(spark._jvm.java.net.URI(f)).exists()]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_filter_before_a_shuffle_loses_nothing(spark, monkeypatch, bits):
+    from docloom.llm import common
+    monkeypatch.setattr(common, "BITS", bits)
+    df = spark.range(3000).selectExpr("IF(id % 7 = 0, NULL, id) AS a", "CAST(id % 5 AS string) AS b", "id AS _kept")
+    keys = spark.range(0, 3000, 11).selectExpr("id AS a", "CAST(id % 5 AS string) AS b")
+    near = common.maybe_in(df, keys.union(keys), "a", "b")
+    assert near.columns == df.columns
+    same = df.join(keys, ["a", "b"]).count()
+    assert same > 100 and near.join(keys, ["a", "b"]).count() == same
+    assert near.count() == near.distinct().count() and (bits == 64 or near.count() < same + 20)
+    assert common.maybe_in(df, keys.limit(0), "a").count() == 0
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    import numpy as np
+    r = random.Random(1)
+    for _ in range(30):
+        texts = [np.array([r.randrange(1, r.choice([2, 4, 1000])) for _ in range(r.randrange(50, 120))], np.uint64)
+                 for _ in range(r.randrange(1, 5))]
+        expected = []
+        for t, codes in enumerate(texts):
+            total = np.zeros(len(codes) - op1_chaining.SEED + 1, np.uint64)
+            for i in range(op1_chaining.SEED):
+                total = op5_minhash._mix(total * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + len(total)])
+            first = {}
+            for j in range(len(total) - op1_chaining.SPAN + 1):
+                at = j + int(total[j:j + op1_chaining.SPAN].argmin())
+                first[int(total[at])] = min(at, first.get(int(total[at]), at))
+            expected += sorted((t, code, place) for code, place in first.items())
+        assert list(zip(*(v.tolist() for v in op1_chaining.seeds(texts)))) == expected
+
+
 def test_passages_of_odd_rows(odd):
     assert op1_chaining.passages(odd.limit(0)).count() == 0
     assert op1_chaining.passages(odd).count() == 0

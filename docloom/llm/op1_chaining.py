@@ -325,29 +325,43 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                          "source_end", "n_seeds", "identity"])
 
 
-def _compared(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """The passages of pairs of documents, from the places (doc_id, source, x, y) of their shared seeds."""
+# The words of all chains of a round are at most this part of the words of the corpus, so that texts which
+# mostly repeat others do not lie on the disk several times over.
+PART = 0.5
+
+
+def _compared(docs: DataFrame, matches: DataFrame, size: int) -> DataFrame:
+    """The passages of pairs of documents, from the places (doc_id, source, x, y) of their shared seeds.
+
+    `size` is about the number of words of the corpus.
+    """
     matches = matches.groupBy("doc_id", "source").agg(F.collect_set(F.struct("x", "y")).alias("matches")).filter(
         F.size("matches") >= 2)
     found = matches.mapInPandas(_chained, "doc_id long, source long, a int, b int, c int, d int, seeds int")
     found = written(found.withColumn("key", F.xxhash64("doc_id", "source", "a", "b", "c", "d")).dropDuplicates(
         ["doc_id", "source", "a", "b", "c", "d"]))
 
-    def side(who: str, low: str, high: str, n: int) -> DataFrame:
+    def side(found: DataFrame, who: str, low: str, high: str, n: int) -> DataFrame:
         return found.select(F.col(who).alias("doc_id"), F.struct(
             "key", F.lit(n).alias("side"), F.col(low).alias("low"), F.col(high).alias("high")).alias("span"))
 
-    # The words of both sides of every chain, from one pass over the texts; a source of very many chains is cut in blocks.
-    spans = side("doc_id", "a", "b", 0).unionByName(side("source", "c", "d", 1))
-    texts = _longest(docs, spans)
-    spans = spans.groupBy("doc_id", F.pmod("span.key", F.lit(64)).alias("block")).agg(F.collect_list("span").alias("spans"))
-    words = spans.join(texts, "doc_id").mapInPandas(_slices, "key long, side int, at int, words binary")
-    words = words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("side", "at", "words"))).alias("s")).select(
-        "key", F.col("s")[0]["at"].alias("x_at"), F.col("s")[0]["words"].alias("x_words"),
-        F.col("s")[1]["at"].alias("y_at"), F.col("s")[1]["words"].alias("y_words"))
-    both = found.select("key", "doc_id", "source", "seeds").join(words, "key")
-    out = written(both.mapInPandas(_aligned, "doc_id long, source_id long, start int, end int, source_start int,"
-                                             " source_end int, n_seeds int, identity double"))
+    def passages_of(found: DataFrame) -> DataFrame:
+        # The words of both sides of every chain, from one pass over the texts; a source of very many chains is cut in blocks.
+        spans = side(found, "doc_id", "a", "b", 0).unionByName(side(found, "source", "c", "d", 1))
+        texts = _longest(docs, spans)
+        spans = spans.groupBy("doc_id", F.pmod("span.key", F.lit(64)).alias("block")).agg(F.collect_list("span").alias("spans"))
+        words = spans.join(texts, "doc_id").mapInPandas(_slices, "key long, side int, at int, words binary")
+        words = words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("side", "at", "words"))).alias("s")).select(
+            "key", F.col("s")[0]["at"].alias("x_at"), F.col("s")[0]["words"].alias("x_words"),
+            F.col("s")[1]["at"].alias("y_at"), F.col("s")[1]["words"].alias("y_words"))
+        both = found.select("key", "doc_id", "source", "seeds").join(words, "key")
+        return both.mapInPandas(_aligned, "doc_id long, source_id long, start int, end int, source_start int,"
+                                          " source_end int, n_seeds int, identity double")
+
+    # Rounds by document, so that only the texts of sources are read in several of them.
+    sliced = found.agg(F.sum(F.expr(f"b - a + d - c + {4 * SPAN}"))).first()[0] or 0
+    rounds = max(1, math.ceil(sliced / (PART * max(size, 1))))
+    out = written(*(passages_of(found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)) for k in range(rounds)))
     remove(found)
     return out
 
@@ -497,6 +511,8 @@ def passages(docs: DataFrame) -> DataFrame:
     """One row for each passage of a document that a source document also has."""
     docs = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     rows = written(docs.mapInPandas(_seed_rows, "code long, doc_id long, place int"))
+    # Of neighbouring stretches of SPAN seeds, two in SPAN + 1 have another least one.
+    size = rows.count() * (SPAN + 1) // 2
 
     def part(df: DataFrame, k: int) -> DataFrame:
         return df.filter(F.pmod("code", F.lit(ROUNDS)) == k)
@@ -507,14 +523,14 @@ def passages(docs: DataFrame) -> DataFrame:
     shared = written(*(maybe_in(part(rows, k), part(sources, k), "code").join(part(sources, k), "code") for k in range(ROUNDS)))
     remove(rows)
     remove(sources)
-    found = _compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y"))
+    found = _compared(docs, shared.filter("doc_id > source").select("doc_id", "source", F.col("place").alias("x"), "y"), size)
 
     mine, others = _left(shared, found)
     texts = written(_longest(docs, mine.select("doc_id").union(others.select("source"))))
     pairs = _unexplained(texts, mine, others)
     left = maybe_in(shared.select("doc_id", "code", F.col("place").alias("x")), pairs, "doc_id")
     right = maybe_in(shared.select(F.col("doc_id").alias("source"), "code", F.col("place").alias("y")), pairs, "source")
-    more = _compared(texts, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"))
+    more = _compared(texts, pairs.join(left, "doc_id").join(right, ["source", "code"]).select("doc_id", "source", "x", "y"), size)
     for done in (mine, others, shared, texts):
         remove(done)
     # A pair that is compared again is compared by more seeds.

@@ -293,6 +293,21 @@ def test_passages_leave_little_on_disk(spark, docs):
     assert {(r.doc_id, r.source_id) for r in found.collect()} >= {(i, 1) for i in range(3, 16, 2)}
 
 
+def test_rounds_of_chains_give_the_same_passages(docs, monkeypatch):
+    rows = [(i, " ".join(words(90, 5) + words(40, 800 + i) + words(70, 6 + i % 3))) for i in range(14)]
+    parts = []
+    inner = op1_chaining.written
+    monkeypatch.setattr(op1_chaining, "written", lambda *dfs: parts.append((len(dfs), dfs[0].columns)) or inner(*dfs))
+    plain = lambda: sorted(op1_chaining.passages(docs(rows)).collect())
+    found = plain()
+    # Nearly all words repeat an earlier text: at most half the words of the corpus lie on the disk at once.
+    assert len({r.doc_id for r in found}) == 13
+    assert max(n for n, columns in parts if "identity" in columns) >= 3
+    monkeypatch.setattr(op1_chaining, "PART", 1e9)
+    parts.clear()
+    assert plain() == found and {n for n, columns in parts if "identity" in columns} == {1}
+
+
 def test_only_tables_of_a_job_are_removed(spark, tmp_path):
     from docloom import session
 
